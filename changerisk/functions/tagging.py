@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from changerisk.functions.binding import let
 from changerisk.functions.volatility import unknown_functions, volatility_name, volatility_rank
 from changerisk.seeds import literal_map, tables
 from changerisk.seeds.forms import action_rows, form_rows
 
 # One lexical token: quoted text, a comment, a semicolon, or a run of the rest.
 # No alternative loops over alternatives, so long scripts do not nest matches.
-_TOKEN = (r"(?s)[eE]'[^'\\]*+(?:\\.[^'\\]*+)*+'|'[^']*+'?|\"[^\"]*+\"?|--[^\n]*+|/\*.*?\*/"
-          r"|(\$(?:[A-Za-z_]\w*+)?\$).*?\1|;|[^;'\"$/eE-]++|.")
+_TOKEN = (r"(?s)(?<=\W[eE])'[^'\\]*+(?:\\.[^'\\]*+)*+'|'[^']*+'?|\"[^\"]*+\"?|--[^\n]*+"
+          r"|/\*.*?\*/|(\$(?:[A-Za-z_]\w*+)?\$).*?\1|;|[^;'\"$/-]++|.")
 _CUT = "\u0001"
 IDENT = r'(?:"(?:[^"]|"")+"|[A-Za-z_][\w$]*)'
 NAME = rf"({IDENT}(?:\.{IDENT})*)"
@@ -132,6 +133,10 @@ def statement_kind(sql: Column) -> Column:
     """Kind of a normalised statement; ``other`` when it is not recognised."""
     base = F.coalesce(F.try_element_at(literal_map(dict(form_rows())), statement_form(sql)),
                       F.lit("other"))
+    return let(base, lambda b: _refined_kind(sql, b))
+
+
+def _refined_kind(sql: Column, base: Column) -> Column:
     has_where = _is(sql, r"\bWHERE\b")
     batched = F.size(batch_signals(sql)) > 0
 
@@ -245,18 +250,22 @@ def statement_attrs(sql: Column, kind: Column) -> Column:
     lock = F.coalesce(F.try_element_at(literal_map(_LOCK_WORDS), F.upper(_grab(
         sql, r"\bIN ([A-Z ]+?) MODE\b"))), F.lit(8))
     object_class = F.upper(F.replace(_grab(sql, rf"^ALTER {_OBJECT}"), F.lit(" "), F.lit("_")))
+    def entry(key: str, value: Column) -> Column:
+        return F.struct(F.lit(key).alias("key"), value.alias("value"))
+
+    def flag(pattern: str) -> Column:
+        return F.when(_is(sql, pattern), "true").otherwise("false")
+
+    fills = kind.isin("create_table_as", "create_matview", "refresh_matview")
     entries = F.filter(F.array(
-        F.struct(F.lit("source").alias("key"), F.when(kind == "insert", source).alias("value")),
-        F.struct(F.lit("no_data"), F.when(
-            kind.isin("create_table_as", "create_matview", "refresh_matview"),
-            F.when(_is(sql, r"\bWITH NO DATA\b"), "true").otherwise("false"))),
-        F.struct(F.lit("scope"), F.when(kind.startswith("reindex"), F.lower(
+        entry("source", F.when(kind == "insert", source)),
+        entry("no_data", F.when(fills, flag(r"\bWITH NO DATA\b"))),
+        entry("scope", F.when(kind.startswith("reindex"), F.lower(
             _grab(sql, r"^REINDEX (?:\([^)]*\) ?)?(\w+)")))),
-        F.struct(F.lit("mode"), F.when(kind == "lock_table", lock.cast("string"))),
-        F.struct(F.lit("object_type"), F.when(
-            kind == "rename_other", F.concat(F.lit("OBJECT_"), object_class))),
-        F.struct(F.lit("chain"), F.when(kind.isin("commit", "rollback"), F.when(
-            _is(sql, r"\bAND CHAIN\b"), "true").otherwise("false"))),
+        entry("mode", F.when(kind == "lock_table", lock.cast("string"))),
+        entry("object_type", F.when(kind == "rename_other",
+                                    F.concat(F.lit("OBJECT_"), object_class))),
+        entry("chain", F.when(kind.isin("commit", "rollback"), flag(r"\bAND CHAIN\b"))),
     ), lambda e: e["value"].isNotNull())
     return F.map_from_entries(entries)
 
@@ -292,15 +301,18 @@ _COLUMN_HEAD = rf"^ADD (?:COLUMN )?(?:IF NOT EXISTS )?({IDENT}) "
 
 def add_column_kind(action: Column) -> Column:
     """Form of ADD COLUMN, the costliest property first."""
-    default = default_expression(action)
+    return let(default_expression(action), lambda d: let(
+        volatility_rank(d), lambda rank: _add_column_kind(action, d, rank)))
+
+
+def _add_column_kind(action: Column, default: Column, rank: Column) -> Column:
     null_default = F.coalesce(_is(default, r"^(?:\()?NULL\b"), F.lit(False))
     not_null = _is(action, r"\bNOT NULL\b")
     serial = _is(action, _COLUMN_HEAD + r"(?:small|big)?serial[248]?\b")
-    rank = volatility_rank(default)
+    generated = _is(action, r"\bGENERATED ALWAYS AS ?\(")
     return (
-        F.when(_is(action, r"\bGENERATED ALWAYS AS ?\(") & ~_is(action, r"\bVIRTUAL\b"),
-               "add_column_generated_stored")
-        .when(_is(action, r"\bGENERATED ALWAYS AS ?\("), "add_column_generated_virtual")
+        F.when(generated & ~_is(action, r"\bVIRTUAL\b"), "add_column_generated_stored")
+        .when(generated, "add_column_generated_virtual")
         .when(_is(action, r"\bGENERATED (?:ALWAYS|BY DEFAULT) AS IDENTITY\b"),
               "add_column_identity")
         .when(serial, "add_column_serial")
@@ -350,7 +362,10 @@ def action_kind(action: Column) -> Column:
 
 def parse_action(action: Column) -> Column:
     """One ALTER TABLE sub-action as a struct of the action schema."""
-    kind = action_kind(action)
+    return let(action_kind(action), lambda kind: _action_fields(action, kind))
+
+
+def _action_fields(action: Column, kind: Column) -> Column:
     adds = kind.startswith("add_column")
     altered = _grab(action, rf"^(?:ALTER|DROP) (?:COLUMN )?(?:IF EXISTS )?({IDENT})")
     column = F.when(adds, _grab(action, rf"^ADD (?:COLUMN )?(?:IF NOT EXISTS )?({IDENT})")).when(
@@ -363,6 +378,10 @@ def parse_action(action: Column) -> Column:
         kind == "alter_column_type", _grab(action, rf"\bTYPE {_TYPE}"))
     default = F.when(adds, default_expression(action)).when(
         kind == "set_column_default", _grab(action, r"\bSET DEFAULT (.+)$"))
+    defaults = let(default, lambda d: F.struct(
+        F.when(d.isNotNull(), volatility_name(volatility_rank(d))).alias("volatility"),
+        d.alias("expression"),
+        F.when(d.isNotNull(), unknown_functions(d)).alias("unknown")))
     return F.struct(
         kind.alias("kind"), fold_name(column).alias("column"), type_.alias("column_type"),
         fold_name(_grab(action, rf"\bCONSTRAINT (?:IF EXISTS )?({IDENT})")
@@ -374,10 +393,9 @@ def parse_action(action: Column) -> Column:
         _is(action, r"\bIF (?:NOT )?EXISTS\b").alias("missing_ok"),
         fold_name(_grab(action, rf"\bREFERENCES {NAME}")).alias("referenced_table"),
         fold_name(_grab(action, rf"\b(?:ATTACH|DETACH) PARTITION {NAME}")).alias("partition"),
-        F.when(default.isNotNull(), volatility_name(volatility_rank(default))
-               ).alias("default_volatility"),
-        default.alias("default_expression"),
-        F.when(default.isNotNull(), unknown_functions(default)).alias("unknown_functions"))
+        defaults["volatility"].alias("default_volatility"),
+        defaults["expression"].alias("default_expression"),
+        defaults["unknown"].alias("unknown_functions"))
 
 
 def alter_actions(sql: Column) -> Column:

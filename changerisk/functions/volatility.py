@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from changerisk.functions.binding import let
 from changerisk.seeds import literal_map, tables
 
 # Syntax that looks like a call but adds no volatility of its own.
@@ -58,23 +59,18 @@ def volatility_rank(expression: Column, live: Column | None = None) -> Column:
     dictionary leaves unknown.
     """
     def rank(name: Column) -> Column:
-        static = _static_rank(name)
         if live is None:
-            return static
-        return F.when(static != 3, static).otherwise(
-            F.coalesce(F.try_element_at(live, name), F.lit(3)))
-
-    bare = _bare(expression)
-    parts = F.concat(
-        F.array(F.lit(1)),
-        F.transform(_calls(expression), rank),
-        F.when(bare.rlike(_VALUE_WORDS), F.array(F.lit(2))).otherwise(
-            F.array().cast("array<int>")),
-        F.when(bare.rlike(r"(?i)\bselect\b") | _unknown_operator(expression),
-               F.array(F.lit(3))).otherwise(F.array().cast("array<int>")),
-    )
-    return (F.when(expression.isNull() | bare.rlike(_CONSTANT), F.lit(0))
-            .otherwise(F.array_max(parts)))
+            return _static_rank(name)
+        return let(_static_rank(name), lambda static: F.when(static != 3, static).otherwise(
+            F.coalesce(F.try_element_at(live, name), F.lit(3))))
+
+    def worst(bare: Column) -> Column:
+        return F.when(bare.isNull() | bare.rlike(_CONSTANT), F.lit(0)).otherwise(F.greatest(
+            F.lit(1), F.array_max(F.transform(_calls(bare), rank)),
+            F.when(bare.rlike(_VALUE_WORDS), F.lit(2)),
+            F.when(bare.rlike(r"(?i)\bselect\b") | _unknown_operator(bare), F.lit(3))))
+
+    return let(_bare(expression), worst)
 
 
 def volatility_name(rank: Column) -> Column:

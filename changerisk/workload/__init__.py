@@ -1,0 +1,6 @@
+"""Queries over the given tables that exercise every operator."""
+
+from changerisk.workload import preflight, texts  # noqa: F401
+from changerisk.workload.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
