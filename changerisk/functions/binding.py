@@ -15,3 +15,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     repeating a costly expression would evaluate it at every use.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def record(**fields: Column) -> Column:
+    """A struct whose field names hold however its values are typed."""
+    return F.named_struct(*[part for name, value in fields.items()
+                            for part in (F.lit(name), value)])

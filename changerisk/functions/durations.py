@@ -40,34 +40,46 @@ def boundary_spread(calibration: Column, profiles: Column, cross_spread: Column)
             .otherwise(F.greatest(observed, F.lit(tables.BOUNDARY_FLOOR))))
 
 
+def _widen_of(row: dict) -> int:
+    """:func:`base_widen` of one constant row, for the lookup maps."""
+    if row["calibration"] == "uncalibrated":
+        return tables.WIDEN_GUESS
+    if row["calibration"] == "calibrated":
+        return tables.WIDEN_CALIBRATED
+    if row["runs"] < 2:
+        return tables.WIDEN_ONE_RUN
+    return min(max(row["spread"], tables.WIDEN_FLOOR), tables.WIDEN_CAP)
+
+
+def _boundary_of(row: dict) -> int:
+    """:func:`boundary_spread` of one constant row, for the lookup maps."""
+    if row["calibration"] == "uncalibrated":
+        return tables.WIDEN_GUESS
+    observed = row["cross_spread"] if row["profiles"] >= tables.BOUNDARY_MIN_PROFILES else 0
+    return max(observed, tables.BOUNDARY_FLOOR)
+
+
 class RateTable:
     """Lookups over the rate constants; pass other rows to re-assess with them."""
 
     def __init__(self, rows: list[dict] | None = None) -> None:
         rows = tables.rate_rows() if rows is None else rows
-        self._entries = F.create_map(*[
-            part for row in rows for part in (
-                F.lit(row["key"]),
-                F.struct(*[F.lit(row[n]).cast("bigint").alias(n)
-                           for n in ("value", "runs", "spread", "profiles", "cross_spread")],
-                         F.lit(row["calibration"]).alias("calibration")),
-            )
-        ])
-
-    def _entry(self, family: Column) -> Column:
-        return F.try_element_at(self._entries, family)
+        self._value = {r["key"]: r["value"] for r in rows}
+        self._widen = {r["key"]: _widen_of(r) for r in rows}
+        self._spread = {r["key"]: _boundary_of(r) for r in rows}
+
+    @staticmethod
+    def _look(mapping: dict[str, int], family: Column) -> Column:
+        return F.try_element_at(literal_map(mapping), family).cast("bigint")
 
     def value(self, family: Column) -> Column:
-        return self._entry(family)["value"]
+        return self._look(self._value, family)
 
     def widen(self, family: Column) -> Column:
-        entry = self._entry(family)
-        return base_widen(entry["calibration"], entry["runs"], entry["spread"])
+        return self._look(self._widen, family)
 
     def spread(self, family: Column) -> Column:
-        entry = self._entry(family)
-        return F.when(entry.isNotNull(), boundary_spread(
-            entry["calibration"], entry["profiles"], entry["cross_spread"]))
+        return self._look(self._spread, family)
 
 
 # --- inputs ----------------------------------------------------------------
@@ -96,9 +108,7 @@ def age_widen(facts: Column, server_now: Column) -> Column:
         return F.when(has(fact), fact["value"])
 
     newest = F.greatest(known_time(facts["last_analyze"]), known_time(facts["last_autoanalyze"]))
-    age = F.greatest(F.timestamp_diff("SECOND", newest, F.when(has(server_now),
-                                                               server_now["value"])),
-                     F.lit(0).cast("bigint"))
+    age = F.timestamp_diff("SECOND", newest, F.when(has(server_now), server_now["value"]))
     out = F.when(age.isNull(), F.lit(tables.AGE_WIDEN_OLD))
     for limit, tenths in tables.AGE_WIDEN:
         out = out.when(age <= limit, F.lit(tenths))

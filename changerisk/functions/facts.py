@@ -10,25 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from changerisk.functions.binding import record
+
 
 def known(value: Column) -> Column:
-    return F.struct(F.lit(True).alias("available"), value.alias("value"),
-                    F.lit(None).cast("string").alias("reason"))
+    return record(available=F.lit(True), value=value, reason=F.lit(None).cast("string"))
 
 
 def unavailable(reason: Column, type_: str) -> Column:
-    return F.struct(F.lit(False).alias("available"), F.lit(None).cast(type_).alias("value"),
-                    reason.alias("reason"))
+    return record(available=F.lit(False), value=F.lit(None).cast(type_), reason=reason)
 
 
 def fact(ok: Column, value: Column, reason: Column, type_: str) -> Column:
     """A fact known where ``ok`` holds, else unavailable for ``reason``."""
     ok = F.coalesce(ok, F.lit(False))
-    return F.struct(
-        ok.alias("available"),
-        F.when(ok, value.cast(type_)).alias("value"),
-        F.when(~ok, reason).alias("reason"),
-    )
+    return record(available=ok, value=F.when(ok, value.cast(type_)),
+                  reason=F.when(~ok, reason))
 
 
 def has(column: Column) -> Column:

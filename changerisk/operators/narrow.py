@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from changerisk.functions.binding import let
 from changerisk.functions.facts import has, has_value
 from changerisk.functions.text import proves_not_null
 from changerisk.functions.types import assess_type_change
@@ -94,6 +95,10 @@ def no_rewrite_with_indexes(facts: Column, column: Column) -> Column:
         rebuilt_indexes(facts, column),
         lambda ix: F.when(ix["has_expressions"] | (ix["method"] != "btree"),
                           "index_build_expression").otherwise("index_build_btree"))
+    return let(families, lambda f: _rebuild_result(unknown, f))
+
+
+def _rebuild_result(unknown: Column, families: Column) -> Column:
     return (
         F.when(unknown, _result("unresolved", "no rewrite, but the dependent indexes are unknown"))
         .when(F.size(families) == 0,
@@ -106,6 +111,11 @@ def no_rewrite_with_indexes(facts: Column, column: Column) -> Column:
 def alter_column_type(action: Column, facts: Column, change: Column, pg_version: Column,
                       target: Column) -> Column:
     judged = assess_type_change(change, action["column_type"], action["has_using"], pg_version)
+    return let(judged, lambda j: _type_change_result(action, facts, change, target, j))
+
+
+def _type_change_result(action: Column, facts: Column, change: Column, target: Column,
+                        judged: Column) -> Column:
     return (
         F.when(target.isNull() | action["column"].isNull() | action["column_type"].isNull(),
                _result("unresolved", "the relation, column or new type is not recorded"))
@@ -158,7 +168,10 @@ def _named(action: Column, facts: Column) -> Column:
 
 
 def validate_constraint(action: Column, facts: Column) -> Column:
-    gap, named = _constraint_gap(facts), _named(action, facts)
+    return let(_named(action, facts), lambda named: _validated(_constraint_gap(facts), named))
+
+
+def _validated(gap: Column, named: Column) -> Column:
     return (
         F.when(gap.isNotNull(), _result("unresolved", F.concat(
             F.lit("constraint facts unavailable: "), gap)))
@@ -173,12 +186,16 @@ def validate_constraint(action: Column, facts: Column) -> Column:
 
 
 def drop_constraint(action: Column, facts: Column) -> Column:
-    gap, named = _constraint_gap(facts), _named(action, facts)
+    return let(_named(action, facts), lambda named: _dropped(
+        _constraint_gap(facts), named, F.coalesce(action["missing_ok"], F.lit(False))))
+
+
+def _dropped(gap: Column, named: Column, missing_ok: Column) -> Column:
     return (
         F.when(gap.isNotNull(), _result("unresolved", F.concat(
             F.lit("constraint facts unavailable: "), gap)))
         .when(named.isNull(), F.when(
-            F.coalesce(action["missing_ok"], F.lit(False)),
+            missing_ok,
             _result("constant", "the constraint is absent: IF EXISTS does nothing"))
             .otherwise(_result("constant", "the constraint is absent: the statement fails")))
         .when(named["contype"] == "f", _result(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changerisk.functions.binding import record
 from changerisk.functions.durations import int_div
 from changerisk.operators.distribution import CHUNK_ROWS, prefix_scan
 from changerisk.seeds import tables
@@ -71,7 +72,7 @@ def transaction_groups(statements: DataFrame) -> DataFrame:
         (F.col("inside") & ~closes & ~begins).alias("explicit"),
         F.when(begins & F.col("inside"), "begin inside an open block")
         .when(closes & ~F.col("inside"), "no block to close").alias("warning"),
-        (F.col("__boundary") == 1).alias("is_boundary"), chained.alias("chained"),
+        (F.col("__boundary") == 1).alias("is_boundary"), (closes & chained).alias("chained"),
     )
 
 
@@ -192,24 +193,23 @@ def created_state(statements: DataFrame, requests: DataFrame) -> DataFrame:
     chain, each over the rename rows only.
     """
     marks = _marks(statements)
-    renames = marks.filter(F.col("what") == "renamed")
     extra = [c for c in requests.columns if c not in ("file_id", "idx", "inner_pos", "name")]
-    seen = _scan_marks(marks, requests.withColumn("at", F.lit(0)), extra)
-
     # what each rename reads: the old name's state and the new name's own
-    reads = renames.select(
+    reads = marks.filter(F.col("what") == "renamed").select(
         "file_id", "idx", "inner_pos", F.col("name").alias("new_name"),
-        (2 * F.col("inner_pos") + 1).alias("at"),
-        F.explode(F.array(F.struct(F.lit("old").alias("pointer"), F.col("old_name").alias("name")),
-                          F.struct(F.lit("new").alias("pointer"), F.col("name"))))
-        .alias("read")).select("*", "read.*").drop("read")
-    involved = reads.select("file_id", "name").distinct()
-    touched = marks.join(broadcast_if_small(involved), ["file_id", "name"], "left_semi")
-    resolved = _resolve_renames(_scan_marks(touched, reads, ["new_name", "pointer"])).select(
+        (2 * F.col("inner_pos") + 1).alias("at"), F.explode(F.array(
+            record(pointer=F.lit("old"), name=F.col("old_name")),
+            record(pointer=F.lit("new"), name=F.col("name")))).alias("read")
+    ).select("*", "read.*").drop("read")
+    seen = cut_lineage(_scan_marks(marks, requests.withColumn("at", F.lit(0)).unionByName(
+        reads, allowMissingColumns=True), [*extra, "new_name", "pointer"]))
+    resolved = _resolve_renames(seen.filter(F.col("pointer").isNotNull())).select(
         "file_id", F.col("new_name").alias("name"), F.col("idx").alias("from_idx"),
         F.col("inner_pos").alias("from_pos"), F.col("state").alias("renamed_state"))
 
-    joined = seen.join(resolved, ["file_id", "name", "from_idx", "from_pos"], "left")
+    asked = seen.filter(F.col("pointer").isNull())
+    joined = asked.join(broadcast_if_small(resolved),
+                        ["file_id", "name", "from_idx", "from_pos"], "left")
     state = F.when(F.col("state") != "renamed", F.col("state")).when(
         F.col("renamed_state").isNotNull(),
         F.when(F.col("loaded_since"), "loaded").otherwise(F.col("renamed_state")))
@@ -249,22 +249,23 @@ def _resolve_renames(pointers: DataFrame) -> DataFrame:
     """
     keys = ["file_id", "idx", "inner_pos", "new_name"]
 
-    def side(name: str) -> DataFrame:
+    def side(pointer: str) -> list[Column]:
+        def only(value: Column, name: str) -> Column:
+            return F.max(F.when(F.col("pointer") == pointer, value)).alias(f"{pointer}_{name}")
+
         state = F.col("state")
-        return pointers.filter(F.col("pointer") == name).select(
-            *keys, F.col("name").alias(f"{name}_ref"),
-            F.when(state != "renamed", state).alias(f"{name}_state"),
-            (F.coalesce(state, F.lit("")) == "renamed").alias(f"{name}_open"),
-            F.col("loaded_since").alias(f"{name}_loaded"),
-            F.col("from_idx").alias(f"{name}_idx"), F.col("from_pos").alias(f"{name}_pos"))
-
-    table = cut_lineage(side("old").join(side("new"), keys)
-                        .withColumn("done", F.lit(False))
-                        .withColumn("state", F.lit(None).cast("string")))
+        is_open = F.coalesce(state == "renamed", F.lit(False))
+        return [only(F.col("name"), "ref"), only(F.when(~is_open, state), "state"),
+                only(is_open, "open"), only(F.col("loaded_since"), "loaded"),
+                only(F.col("from_idx"), "idx"), only(F.col("from_pos"), "pos")]
+
+    table = (pointers.groupBy(*keys).agg(*side("old"), *side("new"))
+             .withColumn("done", F.lit(False)).withColumn("state", F.lit(None).cast("string")))
     while True:
         settled = ~F.col("old_open") & (F.col("old_state").isNotNull() | ~F.col("new_open"))
         table = table.withColumn("done", F.col("done") | settled).withColumn(
             "state", F.when(F.col("done"), F.coalesce("old_state", "new_state")))
+        table = cut_lineage(table)
         if table.filter(~F.col("done")).isEmpty():
             return table.select(*keys, "state")
         done = table.filter(F.col("done")).select(
@@ -285,7 +286,6 @@ def _resolve_renames(pointers: DataFrame) -> DataFrame:
                   if c not in (f"{name}_state", f"{name}_open")],
                 F.when(hit, value).otherwise(F.col(f"t.{name}_state")).alias(f"{name}_state"),
                 (F.col(f"t.{name}_open") & ~hit).alias(f"{name}_open"))
-        table = cut_lineage(table)
 
 
 def _opens_block() -> Column:

@@ -19,6 +19,9 @@ from changerisk.operators.rules import READ_BIT, WRITE_BIT
 from changerisk.seeds import literal_map, tables
 from changerisk.session import broadcast_if_small
 
+NARROW_TYPE = ("struct<outcome:string,method:string,reason:string,condition:string,"
+               "extra_relation:string,extra_level:int,family:string,relabel:boolean,"
+               "rebuilds:array<string>>")
 VERDICT_TYPE = ("struct<tier:string,method:string,band:string,rationale:string,"
                 "conditions:array<string>,refusal:string,refused_from:string>")
 
@@ -261,6 +264,8 @@ def add_row_verdicts(units: DataFrame, online: bool, rates: du.RateTable) -> Dat
         d, block, live_ax, F.when(b == "live_proportional", tiers.weakest(
             proven, F.coalesce(narrowed["method"], F.lit("unverified")))).otherwise(proven),
         spread)
+    sizes = (b == "live_proportional") | ((b == "generic")
+                                          & rule["duration"].isin("rows", "index_bytes"))
     batched = kind.endswith("_batched")
     first = (
         F.when(b == "empty", verdict("unknown", "unverified", F.when(
@@ -291,13 +296,11 @@ def add_row_verdicts(units: DataFrame, online: bool, rates: du.RateTable) -> Dat
         .when(b == "live_unresolved", verdict("unknown", "unverified", F.when(
             narrowed["reason"].isNotNull(), F.concat(live_gap, F.lit(": "), narrowed["reason"])
             ).otherwise(live_gap)))
-        .when(b == "live_constant", constant_verdict(block, tiers.weakest(
-            proven, F.coalesce(narrowed["method"], F.lit("unverified")))))
-        .when(b == "live_proportional", sized)
-        .otherwise(F.when(rule["duration"] == "constant", constant_verdict(block, proven))
-                   .when(rule["duration"].isin("rows", "index_bytes"), sized)
-                   .otherwise(verdict("unknown", "unverified",
-                                      "the work scales with matched rows")))
+        .when(sizes, sized)
+        .when((b == "live_constant") | (rule["duration"] == "constant"), constant_verdict(
+            block, F.when(b == "live_constant", tiers.weakest(
+                proven, F.coalesce(narrowed["method"], F.lit("unverified")))).otherwise(proven)))
+        .otherwise(verdict("unknown", "unverified", "the work scales with matched rows"))
     )
     return staged.withColumn("verdict", first)
 

@@ -26,6 +26,9 @@ from changerisk.session import (
     estimated_bytes,
 )
 
+# columns no later step reads
+_SPENT = ["sql", "attrs", "actions", "type_facts", "change", "live_functions", "server_now",
+          "probe", "new_name", "missing_ok", "referenced_tables", "partition_of", "index_name"]
 UNIT = ["file_id", "idx", "inner_pos", "action_pos"]
 
 
@@ -155,19 +158,18 @@ def assess(statements: DataFrame, snapshot: Snapshot | None = None, *,
     rule_table = seeds.rules(spark) if rule_table is None else rule_table
     rates = du.RateTable() if rates is None else rates
     online = snapshot is not None
-    # Everything below reads the resolved parts several times.
-    units = cut_lineage(resolve_units(statements, rule_table, pg_version,
-                                      snapshot.servers if online else None))
-    held = order.held_locks(units).select("file_id", "idx", "blocking_held")
+    units = resolve_units(statements, rule_table, pg_version,
+                          snapshot.servers if online else None)
     units = units.withColumn("size_relation", verdict.duration_relation())
     if online:
         units = verdict.add_narrowing(join_facts(units, snapshot))
         units = du.with_sizing(units)
     else:
-        units = units.withColumn("narrow", F.lit(None).cast(
-            "struct<outcome:string,method:string,reason:string,condition:string,"
-            "extra_relation:string,extra_level:int,family:string,relabel:boolean,"
-            "rebuilds:array<string>>")).withColumn("all_locks", F.col("locks"))
+        units = units.withColumn("narrow", F.lit(None).cast(verdict.NARROW_TYPE)).withColumn(
+            "all_locks", F.col("locks"))
+    # The steps below read the parts several times: write them once.
+    units = cut_lineage(units.drop(*_SPENT))
+    held = order.held_locks(units).select("file_id", "idx", "blocking_held")
     state = unit_state(statements, units.select(
         *UNIT, "db_id", "all_locks", "size_relation"), snapshot.waiters if online else None)
     baseline = order.baseline_files(statements).filter("baseline").select(
@@ -180,8 +182,8 @@ def assess(statements: DataFrame, snapshot: Snapshot | None = None, *,
     unnamed_ax = F.exists("all_locks", lambda k: k["certain"] & (k["level"] == 8)
                           & k["relation"].isNull())
     flags = {
-        "file_local": is_base | ((F.size(certain) > 0) & F.forall(
-            certain, lambda k: k["relation"].isNotNull()) & all_created),
+        "file_local": is_base | F.coalesce((F.size(certain) > 0) & F.forall(
+            certain, lambda k: k["relation"].isNotNull()) & all_created, F.lit(False)),
         "live_exclusive": ~is_base & (F.coalesce("live_ax", F.lit(False))
                                       | F.coalesce(unnamed_ax, F.lit(False))),
         "relation_state": F.when(is_base, "clean").otherwise(F.col("relation_state")),

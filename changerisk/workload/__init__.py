@@ -1,6 +1,14 @@
 """Queries over the given tables that exercise every operator."""
 
-from changerisk.workload import preflight, texts  # noqa: F401
+from changerisk.workload import (  # noqa: F401
+    narrowing,
+    ordering,
+    preflight,
+    resolution,
+    sizing,
+    texts,
+    verdicts,
+)
 from changerisk.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

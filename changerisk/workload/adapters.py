@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changerisk.functions.binding import record
 from changerisk.functions.facts import known, unavailable
 from changerisk.seeds import tables
 
@@ -34,7 +35,7 @@ create_table_as select alter_table vacuum drop_index comment_on delete alter_tab
 begin create_view alter_enum_add_value update_batched rollback reindex copy_from drop_view
 alter_table delete_without_where create_matview create_trigger analyze commit insert
 create_table grant other alter_table create_function refresh_matview create_sequence cluster
-merge alter_table create_schema do_block set""".split()
+merge alter_table create_schema do_block set create_table_partition_of""".split()
 ACTION_MIX = sorted({r["kind"] for r in tables.rule_rows() if r["is_action"]})
 SOURCES = ["values", "default_values", "select"]
 SCOPES = ["index", "table", "schema"]
@@ -118,7 +119,7 @@ base AS (
 stmts AS (
   SELECT * FROM base
   UNION ALL
-  SELECT * REPLACE (x.p AS inner_pos, x.k AS kind, true AS in_block, idx % 4 = 0 AS conditional,
+  SELECT * EXCLUDE (x) REPLACE (x.p AS inner_pos, x.k AS kind, true AS in_block, idx % 4 = 0 AS conditional,
                     false AS opaque)
   FROM (SELECT *, unnest([{{'p': 1, 'k': 'drop_table'}}, {{'p': 2, 'k': 'create_index'}}]) AS x
         FROM base WHERE kind = 'do_block' AND idx % 5 <> 0)
@@ -168,7 +169,7 @@ relation_stats AS (
   SELECT l_orderkey % 5 AS db_id, 't' || CAST(l_suppkey % 7 AS VARCHAR) AS relation,
          count(*) * ({SCALE})[l_suppkey % 7 + 1] AS row_count,
          count(*) * 8192 * (l_suppkey % 7 + 1) AS bytes,
-         count_if(l_linenumber = 1) * (CAST(sum(l_quantity) AS BIGINT) % 6) AS mods,
+         count(*) FILTER (WHERE l_linenumber = 1) * (CAST(sum(l_quantity) AS BIGINT) % 6) AS mods,
          CAST(sum(l_quantity) AS BIGINT) % 45 AS age_days, l_suppkey % 7 AS r
   FROM lineitem GROUP BY l_orderkey % 5, l_suppkey % 7)
 """
@@ -211,3 +212,56 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
         none_time.alias("last_autoanalyze"), known(F.col("bytes")).alias("size_bytes"),
         known(F.array(index)).alias("indexes"), known(columns).alias("columns"),
         known(F.array(constraint)).alias("constraints")).alias("facts"))
+
+
+def types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type facts of ``int`` in four of the five databases."""
+    r = table(spark, sf_dir, "region").filter("r_regionkey <> 2")
+    k = F.col("r_regionkey")
+    return r.select(k.cast("bigint").alias("db_id"), F.lit("int").alias("type_name"), record(
+        exists=known(F.lit(True)), is_domain=known(k % 2 == 1), domain_not_null=known(k == 3),
+        domain_constraint_count=known(F.lit(0).cast("bigint"))).alias("type_facts"))
+
+
+def type_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of any of five columns to ``int``: rewrite, relabel or unknown by relation."""
+    s = relation_stats(spark, sf_dir).select("db_id", "relation", "r")
+    r, no = F.col("r"), F.lit(False)
+    missing = unavailable(F.lit("timeout"), "boolean")
+    change = record(
+        current_type=known(F.when(r % 3 == 1, "integer").otherwise("smallint")),
+        current_is_domain=known(no), new_type=known(F.lit("integer")), new_is_domain=known(no),
+        new_domain_not_null=known(no), new_domain_constraint_count=known(
+            F.lit(0).cast("bigint")),
+        new_domain_has_typmod=known(no), same_type=known(no),
+        bases_same=F.when(r % 3 == 2, missing).otherwise(known(r % 3 == 1)),
+        cast_method=known(F.lit("f")))
+    columns = F.explode(F.array(*[F.lit(f"c{j}") for j in range(5)])).alias("column")
+    return s.select("db_id", "relation", columns, F.lit("int").alias("new_type"),
+                    change.alias("change"))
+
+
+WAIT_MODES = ["AccessShareLock", "RowShareLock", "RowExclusiveLock", "ShareUpdateExclusiveLock",
+              "ShareLock", "ShareRowExclusiveLock", "ExclusiveLock", "AccessExclusiveLock",
+              "SIReadLock"]
+
+
+def waiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lock waiters, one per supplier."""
+    k = F.col("s_suppkey")
+    idle = F.when(k % 3 == 2, unavailable(F.lit("masked"), "boolean")).otherwise(
+        known(k % 3 == 0))
+    return table(spark, sf_dir, "supplier").select(
+        (k % 5).alias("db_id"),
+        F.concat(F.lit("t"), (F.col("s_nationkey") % 7).cast("string")).alias("relation"),
+        k.cast("int").alias("blocked_pid"), pick(WAIT_MODES, k % 9).alias("blocked_mode"),
+        F.array(pick(WAIT_MODES, (k * 5 + 2) % 9)).alias("blocking_modes"),
+        idle.alias("all_idle"))
+
+
+WAITERS_SQL = """
+waiters AS (
+  SELECT s_suppkey % 5 AS db_id, 't' || CAST(s_nationkey % 7 AS VARCHAR) AS relation,
+         unnest([s_suppkey % 9, (s_suppkey * 5 + 2) % 9]) + 1 AS level, s_suppkey % 3 = 0 AS idle
+  FROM supplier)
+"""
