@@ -5,6 +5,8 @@ from changerisk.workload import (  # noqa: F401
     ordering,
     preflight,
     resolution,
+    rollups,
+    rules_of_verdicts,
     sizing,
     texts,
     verdicts,
