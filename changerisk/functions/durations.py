@@ -181,11 +181,11 @@ def _estimate(point: Column, low: Column, high: Column, conf: Column, method: Co
 
 
 def refuse(reason: Column, method: str = "unverified") -> Column:
-    nothing = F.lit(None).cast("bigint")
-    return F.struct(nothing.alias("point_ms"), nothing.alias("low_ms"), nothing.alias("high_ms"),
-                    F.lit(None).cast("string").alias("confidence"),
-                    F.lit(method).alias("method"),
-                    F.lit(None).cast("string").alias("constant_key"), reason.alias("refusal"))
+    return F.expr(
+        "named_struct('point_ms', cast(NULL AS bigint), 'low_ms', cast(NULL AS bigint), "
+        "'high_ms', cast(NULL AS bigint), 'confidence', cast(NULL AS string), "
+        f"'method', '{method}', 'constant_key', cast(NULL AS string), 'refusal', "
+        "cast(NULL AS string))").withField("refusal", reason)
 
 
 def proportional(work_ms: Column, widen_tenths: Column, factor_tenths: Column,

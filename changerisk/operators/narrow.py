@@ -31,19 +31,27 @@ def _result(outcome: str, reason: Column | str, *, condition: str | None = None,
             extra_relation: Column | None = None, extra_level: int | None = None,
             family: str | None = None, relabel: bool = False,
             rebuilds: Column | None = None, method: Column | None = None) -> Column:
-    nothing = F.lit(None).cast("string")
     evidence = "unverified" if outcome == "unresolved" else "observed"
-    return F.struct(
-        F.lit(outcome).alias("outcome"),
-        (F.lit(evidence) if method is None else method).alias("method"),
-        (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"),
-        F.lit(condition).cast("string").alias("condition"),
-        (nothing if extra_relation is None else extra_relation).alias("extra_relation"),
-        F.when(F.lit(False) if extra_relation is None else extra_relation.isNotNull(),
-               F.lit(extra_level).cast("int")).alias("extra_level"),
-        F.lit(family).cast("string").alias("family"), F.lit(relabel).alias("relabel"),
-        (F.array().cast("array<string>") if rebuilds is None else rebuilds).alias("rebuilds"),
-    )
+    nothing = "cast(NULL AS string)"
+
+    def text(value: str | None) -> str:
+        return nothing if value is None else "'" + value.replace("'", "\\'") + "'"
+
+    # one parsed expression; the few computed fields replace their constants
+    out = F.expr(
+        f"named_struct('outcome', {text(outcome)}, 'method', {text(evidence)}, 'reason', "
+        f"{text(reason if isinstance(reason, str) else None)}, 'condition', {text(condition)}, "
+        f"'extra_relation', {nothing}, 'extra_level', cast(NULL AS int), "
+        f"'family', {text(family)}, 'relabel', {str(relabel).lower()}, "
+        "'rebuilds', cast(array() AS array<string>))")
+    if not isinstance(reason, str):
+        out = out.withField("reason", reason)
+    if method is not None:
+        out = out.withField("method", method)
+    if extra_relation is not None:
+        out = out.withField("extra_relation", extra_relation).withField(
+            "extra_level", F.when(extra_relation.isNotNull(), F.lit(extra_level)))
+    return out if rebuilds is None else out.withField("rebuilds", rebuilds)
 
 
 def add_column_domain(action: Column, type_facts: Column) -> Column:

@@ -29,14 +29,26 @@ VERDICT_TYPE = ("struct<tier:string,method:string,band:string,rationale:string,"
 def verdict(tier: Column | str, method: Column | str, rationale: Column | str,
             band: Column | None = None, condition: Column | str | None = None,
             refusal: str | None = None, refused_from: Column | None = None) -> Column:
-    def text(value: Column | str | None) -> Column:
-        return value if isinstance(value, Column) else F.lit(value).cast("string")
-
-    conditions = F.array_compact(F.array(text(condition)))
-    return F.struct(
-        text(tier).alias("tier"), text(method).alias("method"), text(band).alias("band"),
-        text(rationale).alias("rationale"), conditions.alias("conditions"),
-        text(refusal).alias("refusal"), text(refused_from).alias("refused_from"))
+    given = {"tier": tier, "method": method, "band": band, "rationale": rationale,
+             "refusal": refusal, "refused_from": refused_from}
+
+    def text(value: object) -> str:
+        return "cast(NULL AS string)" if value is None or isinstance(value, Column) \
+            else "'" + str(value).replace("'", "\\'") + "'"
+
+    said = [] if condition is None or isinstance(condition, Column) else [text(condition)]
+    conditions = f"array({said[0]})" if said else "cast(array() AS array<string>)"
+    # one parsed expression; the computed fields replace their constants
+    out = F.expr("named_struct(" + ", ".join(
+        f"'{name}', {conditions if name == 'conditions' else text(given[name])}"
+        for name in ("tier", "method", "band", "rationale", "conditions", "refusal",
+                     "refused_from")) + ")")
+    for name, value in given.items():
+        if isinstance(value, Column):
+            out = out.withField(name, value)
+    if isinstance(condition, Column):
+        out = out.withField("conditions", F.array_compact(F.array(condition)))
+    return out
 
 
 def block_type(locks: Column) -> Column:

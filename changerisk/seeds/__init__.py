@@ -62,9 +62,17 @@ def volatility_functions(spark: SparkSession) -> DataFrame:
                   pa.schema([("name", pa.string()), ("rank", pa.int32())]))
 
 
+def _literal(value: object) -> str:
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(mapping: dict) -> Column:
     """A constant map column; lookups through it stay inside the projection."""
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return F.expr("map(" + ", ".join(_literal(x) for pair in mapping.items() for x in pair) + ")")
 
 
 def lookup(mapping: dict, key: Column) -> Column:

@@ -11,7 +11,7 @@ from changerisk.seeds import tables
 from changerisk.workload import adapters
 from changerisk.workload.adapters import pick, pick_sql, table
 from changerisk.workload.registry import query
-from changerisk.workload.verdicts import OFFLINE, ONLINE, flat, offline, online
+from changerisk.workload.verdicts import OFFLINE, ONLINE, flat, online, written
 
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE tier = '{t}') AS {t}" for t in tables.TIERS)
 _RANK = ("CASE tier WHEN 'safe' THEN 0 WHEN 'safe_irreversible' THEN 1 WHEN 'needs_timing' THEN 2 "
@@ -37,7 +37,7 @@ def blocking_files(spark, sf):
 @query("tier_counts", OFFLINE + f"""
 SELECT file_id, {_COUNTS} FROM statement_verdicts GROUP BY file_id""")
 def tier_counts(spark, sf):
-    return rollup.tier_counts(flat(offline(spark, sf)), ["file_id"])
+    return rollup.tier_counts(flat(written(spark, sf, False)), ["file_id"])
 
 
 @query("file_verdicts", OFFLINE + f"""
@@ -46,7 +46,7 @@ v AS (SELECT file_id, {_FILE} AS verdict FROM statement_verdicts GROUP BY 1)
 SELECT f.file_id, coalesce(v.verdict, 'proceed') AS verdict FROM f LEFT JOIN v USING (file_id)""")
 def file_verdicts(spark, sf):
     files = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("file_id"))
-    return rollup.file_verdicts(files, flat(offline(spark, sf)))
+    return rollup.file_verdicts(files, flat(written(spark, sf, False)))
 
 
 VERDICTS = ["proceed", "requires_approval", "block"]
@@ -115,7 +115,7 @@ def gate_codes(spark, sf):
 @query("irreversible_ledger", OFFLINE + """
 SELECT file_id, idx, line, kind FROM statement_verdicts WHERE reversibility = 'irreversible'""")
 def irreversible_ledger(spark, sf):
-    return rollup.irreversible_ledger(flat(offline(spark, sf))).drop("lost")
+    return rollup.irreversible_ledger(flat(written(spark, sf, False))).drop("lost")
 
 
 @query("rollback_feasibility", OFFLINE + """
@@ -125,14 +125,14 @@ SELECT file_id, count(*) FILTER (WHERE reversibility = 'irreversible') AS blocke
        WHEN bool_or(reversibility = 'unknown') THEN 'unknown' ELSE 'yes' END AS feasible
 FROM statement_verdicts GROUP BY file_id""")
 def rollback_feasibility(spark, sf):
-    return rollup.rollback_feasibility(flat(offline(spark, sf)))
+    return rollup.rollback_feasibility(flat(written(spark, sf, False)))
 
 
 @query("rollback_reasons", OFFLINE + """
 SELECT file_id, idx, CASE WHEN reversibility = 'irreversible' THEN 'blocker' ELSE 'undecided' END
   AS role FROM statement_verdicts WHERE reversibility <> 'reversible'""")
 def rollback_reasons(spark, sf):
-    return rollup.rollback_reasons(flat(offline(spark, sf))).select("file_id", "idx", "role")
+    return rollup.rollback_reasons(flat(written(spark, sf, False))).select("file_id", "idx", "role")
 
 
 @query("unverified_ledger", OFFLINE + """
@@ -149,7 +149,7 @@ SELECT source, count(*) AS entries FROM (
     WHERE NOT coalesce(refused, true) AND branch <> 'matched_dml')
 GROUP BY source""")
 def unverified_ledger(spark, sf):
-    assessed = offline(spark, sf)
+    assessed = written(spark, sf, False)
     ledger = rollup.unverified_ledger(assessed.parts, flat(assessed), online=False)
     return ledger.groupBy("source").agg(F.count("*").alias("entries"))
 
@@ -159,7 +159,7 @@ SELECT file_id, idx, inner_pos, action_pos, ukind AS kind, r_rule_ord AS rule_or
        CAST(len(roles) AS INT) AS roles, in_block, conditional
 FROM parts WHERE r_kind IS NOT NULL""")
 def rules_used(spark, sf):
-    return rollup.rules_used(offline(spark, sf).parts).drop("relations", "is_action")
+    return rollup.rules_used(written(spark, sf, False).parts).drop("relations", "is_action")
 
 
 @query("tier_distribution", OFFLINE + """
@@ -170,7 +170,7 @@ UNION ALL
 SELECT 'method', method, count(*), CAST(1000 * count(*) // sum(count(*)) OVER () AS BIGINT)
 FROM statement_verdicts GROUP BY method""")
 def tier_distribution(spark, sf):
-    statements = flat(offline(spark, sf))
+    statements = flat(written(spark, sf, False))
     return rollup.distribution(statements, "tier").unionByName(
         rollup.distribution(statements, "method"))
 
@@ -181,7 +181,7 @@ SELECT tier, kind, n, place FROM (
          row_number() OVER (PARTITION BY tier ORDER BY count(*) DESC, kind) AS place
   FROM statement_verdicts GROUP BY tier, kind) WHERE place <= 20""")
 def top_kinds(spark, sf):
-    return rollup.top_kinds(flat(offline(spark, sf)))
+    return rollup.top_kinds(flat(written(spark, sf, False)))
 
 
 @query("exemplars", OFFLINE + """
@@ -204,12 +204,12 @@ FROM (SELECT *, false AS size_missing FROM firsts WHERE place = 1) f
 JOIN statement_verdicts v ON v.file_id = f.file_id AND v.idx = f.idx
 WHERE v.tier = 'unknown' GROUP BY 1, 2""")
 def unknown_diagnosis(spark, sf):
-    return rollup.unknown_buckets(flat(offline(spark, sf)), ["kind"])
+    return rollup.unknown_buckets(flat(written(spark, sf, False)), ["kind"])
 
 
 @query("unknown_samples", None)
 def unknown_samples(spark, sf):
-    return rollup.unknown_samples(flat(offline(spark, sf))).select(
+    return rollup.unknown_samples(flat(written(spark, sf, False))).select(
         "bucket", "place", "file_id", "idx", "kind")
 
 
@@ -217,5 +217,5 @@ def unknown_samples(spark, sf):
 {OFFLINE}
 SELECT count(*) AS undecided FROM statement_verdicts WHERE tier = 'unknown'""")
 def unknown_transitions(spark, sf):
-    moved = rollup.unknown_transitions(flat(offline(spark, sf)), flat(online(spark, sf)))
+    moved = rollup.unknown_transitions(flat(written(spark, sf, False)), flat(written(spark, sf, True)))
     return moved.agg(F.sum("n").alias("undecided"))

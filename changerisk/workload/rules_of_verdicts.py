@@ -29,9 +29,9 @@ def holds(spark, sf):
 @query("block_types", _ONLINE + """
 SELECT file_id, idx, inner_pos, action_pos, coalesce(block, 'none') AS block FROM lock_flags""")
 def block_types(spark, sf):
-    from changerisk.workload.verdicts import online
+    from changerisk.workload.verdicts import written
 
-    return online(spark, sf).parts.filter(F.size("all_locks") > 0).select(
+    return written(spark, sf, True).parts.filter(F.size("all_locks") > 0).select(
         "file_id", "idx", "inner_pos", "action_pos",
         F.coalesce(ve.block_type(F.col("all_locks")), F.lit("none")).alias("block"))
 
@@ -67,10 +67,10 @@ FROM judged WHERE {name} {extra}"""
 
 def _raw_parts(spark, sf, condition):
     """Parts of one branch that no later rule touched."""
-    from changerisk.workload.verdicts import online
+    from changerisk.workload.verdicts import written
 
     v = F.col("verdict")
-    return online(spark, sf).parts.filter(condition).select(
+    return written(spark, sf, True).parts.filter(condition).select(
         "file_id", "idx", "inner_pos", "action_pos", v["tier"].alias("tier"),
         v["method"].alias("method"), v["band"].alias("band"))
 
@@ -111,9 +111,9 @@ def all_row_writes(spark, sf):
 @query("branch_order", _ONLINE + """
 SELECT branch, ukind AS kind, count(*) AS parts FROM parts GROUP BY 1, 2""")
 def branch_order(spark, sf):
-    from changerisk.workload.verdicts import online
+    from changerisk.workload.verdicts import written
 
-    return online(spark, sf).parts.groupBy("branch", "kind").agg(F.count("*").alias("parts"))
+    return written(spark, sf, True).parts.groupBy("branch", "kind").agg(F.count("*").alias("parts"))
 
 
 def _cells(spark, sf):
@@ -199,9 +199,9 @@ def invalid_index_notes(spark, sf):
 @query("statement_reversibility", _ONLINE + """
 SELECT file_id, idx, reversibility, tier FROM statement_verdicts""")
 def statement_reversibility(spark, sf):
-    from changerisk.workload.verdicts import flat, online
+    from changerisk.workload.verdicts import flat, written
 
-    return flat(online(spark, sf)).select("file_id", "idx", "reversibility", "tier")
+    return flat(written(spark, sf, True)).select("file_id", "idx", "reversibility", "tier")
 
 
 @query("weakest_evidence", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changerisk.operators.verdict import Snapshot
 from changerisk.plans.assess import Assessment, assess
+from changerisk.session import cut_lineage
 from changerisk.workload import adapters
 from changerisk.workload.registry import query
 from changerisk.workload.verdictsql import assessment
@@ -39,6 +40,23 @@ def flat(assessed: Assessment) -> DataFrame:
         "lock_level")
 
 
+_WRITTEN: dict[tuple[str, str, bool], Assessment] = {}
+_PART_COLUMNS = ["file_id", "idx", "inner_pos", "action_pos", "db_id", "kind", "is_action",
+                 "statement_kind", "in_block", "conditional", "branch", "block", "file_local",
+                 "live_exclusive", "contended", "contention_active", "rule", "locks",
+                 "all_locks", "duration", "verdict", "empty"]
+
+
+def written(spark, sf, with_facts: bool) -> Assessment:
+    """The assessment as tables, written once per session and read by every rollup."""
+    key = (spark.sparkContext.applicationId, sf, with_facts)
+    if key not in _WRITTEN:
+        assessed = online(spark, sf) if with_facts else offline(spark, sf)
+        _WRITTEN[key] = Assessment(cut_lineage(assessed.parts.select(*_PART_COLUMNS)),
+                                   cut_lineage(assessed.statements))
+    return _WRITTEN[key]
+
+
 _STATEMENT = ("SELECT file_id, idx, kind, deciding_kind, tier, method, band, refusal, "
               "refused_from, reversibility, lock_level FROM statement_verdicts")
 _SHOWN = ["file_id", "idx", "kind", "deciding_kind", "tier", "method", "band", "refusal",
