@@ -1,6 +1,7 @@
 """Queries over the given tables that exercise every operator."""
 
 from changerisk.workload import (  # noqa: F401
+    evaluation,
     narrowing,
     ordering,
     preflight,
@@ -8,6 +9,7 @@ from changerisk.workload import (  # noqa: F401
     rollups,
     rules_of_verdicts,
     sizing,
+    snapshots,
     texts,
     verdicts,
 )
