@@ -2,6 +2,7 @@
 
 from changerisk.workload import (  # noqa: F401
     evaluation,
+    measurement,
     narrowing,
     ordering,
     preflight,
