@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from changerisk.functions.tagging import block_statements, split_statements, tag_statements
 from changerisk.operators.verdict import Snapshot
 from changerisk.plans.assess import assess
-from changerisk.session import checkpoint_dir
+from changerisk.session import checkpoint_dir, cut_lineage
 
 
 def stream_folder(spark: SparkSession) -> str:
@@ -49,8 +49,9 @@ def assess_stream(scripts: DataFrame, folder: str, pg_version: int,
     spark = scripts.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        done = assess(tag_scripts(batch), snapshot() if snapshot else None,
-                      pg_version=pg_version)
+        # tagging is the costly part, and the assessment reads it several times
+        tagged = cut_lineage(tag_scripts(batch))
+        done = assess(tagged, snapshot() if snapshot else None, pg_version=pg_version)
         rows = done.statements.select(
             "file_id", "idx", F.col("statement_kind").alias("kind"),
             F.col("verdict.tier").alias("tier"), F.col("verdict.method").alias("method"))

@@ -11,6 +11,8 @@ from changerisk.workload import (  # noqa: F401
     rules_of_verdicts,
     sizing,
     snapshots,
+    storage,
+    streams,
     texts,
     verdicts,
 )
