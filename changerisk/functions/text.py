@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changerisk.functions.binding import let
 from changerisk.seeds import literal_map, tables
 
 
@@ -215,8 +216,11 @@ def secret_literals(conninfo: Column) -> Column:
     The whole string and any password always count; hosts, users and database
     names count unless they are short or too common to matter.
     """
-    text = F.trim(conninfo)
-    params = parse_conninfo(text)
+    return let(F.trim(conninfo), lambda text: let(
+        parse_conninfo(text), lambda params: _literals_of(text, params)))
+
+
+def _literals_of(text: Column, params: Column) -> Column:
     generic = F.array(*[F.lit(w) for w in tables.GENERIC_WORDS])
     password = F.try_element_at(params, F.lit("password"))
     parts = F.transform(
