@@ -174,7 +174,7 @@ def assess(statements: DataFrame, snapshot: Snapshot | None = None, *,
         *UNIT, "db_id", "all_locks", "size_relation"), snapshot.waiters if online else None)
     baseline = order.baseline_files(statements).filter("baseline").select(
         "file_id", F.lit(True).alias("baseline"))
-    units = units.join(state, UNIT, "left").join(baseline, "file_id", "left")
+    units = _left_join(units.join(state, UNIT, "left"), baseline, ["file_id"])
 
     is_base = F.coalesce("baseline", F.lit(False))
     certain = F.filter("locks", lambda k: k["certain"] & k["level"].between(1, 8))

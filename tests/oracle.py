@@ -28,6 +28,7 @@ def spark_session(cpus: int = 8, shuffle: int = 8):
 
     return (SparkSession.builder.master(f"local[{cpus}]").appName("changerisk")
             .config("spark.sql.shuffle.partitions", str(shuffle))
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
             .config("spark.driver.memory", "12g").getOrCreate())
 
