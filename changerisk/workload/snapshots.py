@@ -504,10 +504,10 @@ SETTINGS = ["server_version_num", "lock_timeout", "statement_timeout", "TimeZone
 @query("server_facts", """
 SELECT c_custkey // 4 AS db_id, CAST(max(CASE WHEN c_custkey % 4 = 0 THEN 10 + c_nationkey % 9 END) AS INT)
   AS pg_version, max(CASE WHEN c_custkey % 4 = 0 THEN c_nationkey % 9 END) >= 4 AS has_wait_start,
-  max(CASE WHEN c_custkey % 4 = 1 THEN CASE WHEN c_nationkey % 5 = 0 THEN -1
-           ELSE c_custkey * 10 END END) AS lock_timeout_ms,
-  max(CASE WHEN c_custkey % 4 = 2 THEN CASE WHEN c_nationkey % 5 = 0 THEN -1
-           ELSE c_custkey * 10 END END) AS statement_timeout_ms,
+  coalesce(max(CASE WHEN c_custkey % 4 = 1 THEN CASE WHEN c_nationkey % 5 = 0 THEN -1
+           ELSE c_custkey * 10 END END), -1) AS lock_timeout_ms,
+  coalesce(max(CASE WHEN c_custkey % 4 = 2 THEN CASE WHEN c_nationkey % 5 = 0 THEN -1
+           ELSE c_custkey * 10 END END), -1) AS statement_timeout_ms,
   max(CASE WHEN c_custkey % 4 = 3 THEN c_mktsegment END) AS time_zone
 FROM customer GROUP BY 1""")
 def server_facts(spark, sf):
