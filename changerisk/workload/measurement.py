@@ -11,6 +11,7 @@ from changerisk.seeds import tables
 from changerisk.workload import adapters
 from changerisk.workload.adapters import pick, pick_sql, table
 from changerisk.workload.registry import query
+from changerisk.workload.verdictsql import assessment
 
 FAMILIES = ["heap_rewrite", "dml_update", "index_bytes", "constant_op", "validation_scan"]
 SIZES = ["t_1k", "t_100k", "t_1m", "t_10m"]
@@ -340,7 +341,13 @@ def document_changes(spark, sf):
         "doc", "path", "change")
 
 
-@query("reassessed_with_other_rates", None)
+_TIERS_ONLY = " SELECT file_id, idx, tier FROM statement_verdicts"
+
+
+@query("reassessed_with_other_rates", f"""
+SELECT a.tier AS old_tier, b.tier AS new_tier, count(*) AS n
+FROM ({assessment(True)}{_TIERS_ONLY}) a JOIN ({assessment(True, slower=2)}{_TIERS_ONLY}) b
+  ON a.file_id = b.file_id AND a.idx = b.idx GROUP BY 1, 2""")
 def reassessed_with_other_rates(spark, sf):
     """The corpus assessed again with every rate halved, as a movement matrix."""
     from changerisk.functions.durations import RateTable

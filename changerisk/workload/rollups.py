@@ -193,21 +193,27 @@ def exemplars(spark, sf):
     return rollup.exemplars(statements.select("kind", "file_id", "idx"))
 
 
-@query("unknown_diagnosis", OFFLINE + """
-SELECT CASE WHEN f.s_opaque THEN 'opaque_do_block' WHEN branch = 'empty' THEN 'empty_do_block'
-  WHEN branch = 'no_rule' OR branch = 'generic' AND r_duration = 'matched_rows' THEN 'other'
-  WHEN branch = 'uncalibrated' AND r_level = 9 THEN 'unmodeled_form'
-  WHEN branch = 'uncalibrated' THEN 'uncalibrated_row'
-  WHEN state = 'loaded' OR size_missing THEN 'other' ELSE 'other' END AS bucket, s_kind AS kind,
-  count(*) AS n
-FROM (SELECT *, false AS size_missing FROM firsts WHERE place = 1) f
-JOIN statement_verdicts v ON v.file_id = f.file_id AND v.idx = f.idx
-WHERE v.tier = 'unknown' GROUP BY 1, 2""")
+_BUCKETS = OFFLINE + """
+, undecided AS (
+  SELECT v.file_id, v.idx, v.kind, CASE WHEN f.s_opaque THEN 'opaque_do_block'
+    WHEN branch = 'empty' THEN 'empty_do_block'
+    WHEN branch = 'uncalibrated' AND r_level = 9 THEN 'unmodeled_form'
+    WHEN branch = 'uncalibrated' THEN 'uncalibrated_row' ELSE 'other' END AS bucket
+  FROM firsts f JOIN statement_verdicts v ON v.file_id = f.file_id AND v.idx = f.idx
+  WHERE f.place = 1 AND v.tier = 'unknown')
+"""
+
+
+@query("unknown_diagnosis", _BUCKETS + """
+SELECT bucket, kind, count(*) AS n FROM undecided GROUP BY 1, 2""")
 def unknown_diagnosis(spark, sf):
     return rollup.unknown_buckets(flat(written(spark, sf, False)), ["kind"])
 
 
-@query("unknown_samples", None)
+@query("unknown_samples", _BUCKETS + """
+SELECT bucket, file_id, idx, kind,
+       row_number() OVER (PARTITION BY bucket ORDER BY file_id, idx) AS place FROM undecided
+QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY file_id, idx) <= 12""")
 def unknown_samples(spark, sf):
     return rollup.unknown_samples(flat(written(spark, sf, False))).select(
         "bucket", "place", "file_id", "idx", "kind")

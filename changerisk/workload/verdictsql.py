@@ -22,10 +22,14 @@ from changerisk.workload.sqltext import (
 
 _KEYS = "file_id, idx, inner_pos, action_pos"
 _FAMILY = value([{"k": k, "f": f} for k, f in tables.rows_family().items()])
-_RATES = value([{"k": r["key"], "rate": r["value"], "spread": 40 if
-                 r["calibration"] == "uncalibrated" else 15,
-                 "widen": 40 if r["calibration"] == "uncalibrated"
-                 else min(max(r["spread"], 15), 20)} for r in tables.rate_rows()])
+
+
+def _rates(slower: int) -> str:
+    return value([{"k": r["key"], "rate": r["value"] if r["unit"] == "ms" else max(
+        1, r["value"] // slower), "spread": 40 if r["calibration"] == "uncalibrated" else 15,
+        "widen": 40 if r["calibration"] == "uncalibrated" else min(max(r["spread"], 15), 20)}
+        for r in tables.rate_rows()])
+
 
 # What the adapter's facts say about each live action.
 _NARROW = """
@@ -112,7 +116,7 @@ lock_flags AS (
 """
 
 
-def _estimates(online: bool) -> str:
+def _estimates(online: bool, slower: int) -> str:
     facts = """LEFT JOIN sized s ON s.db_id = n.db_id AND s.relation =
                  CASE WHEN ukind = 'attach_partition' THEN other ELSE rel END
                LEFT JOIN factors fa ON fa.db_id = n.db_id""" if online else ""
@@ -123,7 +127,7 @@ def _estimates(online: bool) -> str:
     offline_bad = "false" if online else "true"
     return f"""
 fam AS (SELECT x.k, x.f FROM (SELECT unnest({_FAMILY}) AS x)),
-rate AS (SELECT x.k AS rk, x.rate, x.widen, x.spread FROM (SELECT unnest({_RATES}) AS x)),
+rate AS (SELECT x.k AS rk, x.rate, x.widen, x.spread FROM (SELECT unnest({_rates(slower)}) AS x)),
 situ AS (
   SELECT n.*, {sized}, coalesce(lf.file_local, false) AS file_local, lf.block,
     coalesce(lf.live_ax, false) AS live_ax, coalesce(hit.contended, false) AS contended,
@@ -145,7 +149,7 @@ worst AS (
       OR (state IS NULL AND ({offline_bad} OR family IS NULL OR bad)) AS w_bad,
     rows_ * 1000 // r1.rate * factor // 10 AS w_prop, r1.widen * stale // 10 AS w_total,
     state = 'clean' AS w_fixed,
-    bytes * 1000 // 7800000 * factor // 10 AS b_prop,
+    bytes * 1000 // {7800000 // slower} * factor // 10 AS b_prop,
     rows_ * 1000 // r2.rate * factor // 10 AS x_prop, r2.widen * stale // 10 AS x_total
   FROM situ LEFT JOIN rate r1 ON r1.rk = family LEFT JOIN rate r2 ON r2.rk = rebuild),
 branched AS (
@@ -312,10 +316,10 @@ statement_verdicts AS (
 """
 
 
-def assessment(online: bool) -> str:
-    """CTEs up to ``parts`` and ``statement_verdicts``."""
+def assessment(online: bool, slower: int = 1) -> str:
+    """CTEs up to ``parts`` and ``statement_verdicts``, with rates divided by ``slower``."""
     version = "pg_version" if online else "17"
     facts = [RELATION_STATS, SIZED, WAITERS_SQL] if online else []
     return cte(CORPUS, UNITS, SERVERS, RULES, resolved(version), LOCKS, TRANSACTIONS, STATE, *facts,
                _NARROW if online else _NARROW_OFFLINE, _all_locks(), _contention(online), _flags(),
-               _estimates(online), _JUDGED, recursive=True)
+               _estimates(online, slower), _JUDGED, recursive=True)
