@@ -133,7 +133,7 @@ SELECT l_returnflag AS profile, l_linestatus AS family, l_suppkey AS table_no,
        l_linenumber * 300000 AS rows_, CAST(floor(l_extendedprice) AS BIGINT) AS ms
 FROM lineitem WHERE l_partkey % 31 <> 0 AND l_linenumber * 300000 >= 1000000""")
 def profile_scan(spark, sf):
-    """Hardware profiles as JSON documents, one per order."""
+    """Hardware profiles as JSON documents, one per reading."""
     path = folder(spark)
     record = F.struct(
         F.lit("c").alias("case"), F.col("l_linestatus").alias("family"),
@@ -141,9 +141,8 @@ def profile_scan(spark, sf):
         (F.col("l_linenumber") * 300_000).cast("bigint").alias("rows"),
         F.floor("l_extendedprice").cast("bigint").alias("ms"), F.lit(1).alias("pass_"),
         F.when(F.col("l_partkey") % 31 == 0, "timeout").alias("error"))
-    documents = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(
-        F.collect_list(record).alias("records")).select(
-        F.col("l_returnflag").alias("profile"), "records")
+    documents = table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("profile"), F.array(record).alias("records"))
     documents.write.json(path)
     found = records.profile_readings(spark.read.schema(records.PROFILE_FILE).json(path))
     return found.select("profile", "family", F.col("table").cast("bigint").alias("table_no"),
