@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changerisk.llm import hilbert, media, mixing
+from changerisk.llm import (
+    ctph,
+    hilbert,
+    langid,
+    linededup,
+    media,
+    mixing,
+    simhash,
+    toxicity,
+    urlfilter,
+)
+from changerisk.llm.columns import held_out
+from changerisk.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,9 +36,24 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_simhash_near_duplicates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose fingerprints differ in two bits at most."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=2)
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"),
+                        "component_id")
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the profiles of those not held out."""
+    return langid.train_and_identify(table(spark, sf_dir, "documents"), held_out(F.col("doc_id")))
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS k,
@@ -73,6 +100,88 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
 
 
+URL_RULES = [
+    urlfilter.Rule(True, "com", "/en/"), urlfilter.Rule(False, "example.com", "/en/7"),
+    urlfilter.Rule(False, "net", "/de/"), urlfilter.Rule(True, "example.net", "/de/8"),
+    urlfilter.Rule(True, "org", "/es/"),
+]
+
+URL_SQL = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, url, html,
+         translate(CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)
+              ELSE '' END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)
+              ELSE '' END AS path,
+         regexp_replace(regexp_replace(regexp_extract(
+           coalesce(url, ''), '(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)', 1),
+           '(^|&)(utm_[a-z]+|ref|gclid|fbclid)=[^&]*', '', 'g'), '^&+', '') AS asked
+  FROM pages),
+rules(block, rhost, rpath) AS (VALUES
+  (true, 'com', '/en/'), (false, 'example.com', '/en/7'), (false, 'net', '/de/'),
+  (true, 'example.net', '/de/8'), (true, 'org', '/es/')),
+n AS (
+  SELECT *, host || regexp_replace(path, '/+$', '')
+         || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS node FROM u),
+own AS (
+  SELECT page_id, url, host, path, node, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
+         arg_max(block, length(rhost || rpath)) AS block
+  FROM n LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost))
+                        AND starts_with(path, rpath)
+  GROUP BY ALL),
+tags AS (
+  SELECT host, node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^>]*>')) AS tag FROM n),
+targets AS (
+  SELECT host, node AS a, CASE
+    WHEN regexp_matches(tag, '(?is)[\s"''/]rel\s*=\s*["'']?[^"''>]*canonical')
+      THEN regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*["'']?([^\s"''>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)[\s"''/]http-equiv\s*=\s*["'']?refresh')
+      THEN regexp_extract(tag, '(?is)url\s*=\s*["'']?([^''"\s>]+)', 1) END AS t
+  FROM tags),
+full_targets AS (
+  SELECT a, CASE WHEN t LIKE '%://%' THEN t WHEN t LIKE '//%' THEN 'http:' || t
+                 WHEN t LIKE '/%' THEN 'http://' || host || t END AS t FROM targets WHERE t <> ''),
+edges AS (
+  SELECT DISTINCT a, lower(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1))
+         || regexp_replace(regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '') AS b
+  FROM full_targets WHERE a <> '' AND t IS NOT NULL),
+both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach(a, b) AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+-- a node counts with the longest rule that fits it; its alias decides where no rule does
+judged AS (
+  SELECT r.a, bool_and(o.block) AS blocked
+  FROM (SELECT a, b FROM reach UNION SELECT a, a FROM reach) r
+  JOIN (SELECT DISTINCT node, block FROM own WHERE block IS NOT NULL) o ON o.node = r.b
+  GROUP BY r.a)
+SELECT page_id, host, path, rule,
+       CASE WHEN coalesce(block, blocked, false) THEN 'block' ELSE 'allow' END AS verdict
+FROM own LEFT JOIN judged ON judged.a = own.node
+"""
+
+
+@query("op4_url_filter", URL_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by rules and by the aliases that its html names."""
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a grammar learned from labelled ones not held out."""
+    docs = table(spark, sf_dir, "documents")
+    grammar = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out(F.col("doc_id")))
+    return (toxicity.score(docs.select("doc_id", "text"), grammar)
+            .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+                    F.size("clauses").alias("n_clauses")))
+
+
+@query("op6_piecewise_hashes")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return ctph.fingerprint_and_edit(table(spark, sf_dir, "documents"))
+
+
 @query("op7_media_columns")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a grey map, read back, reduced and hashed."""
@@ -96,3 +205,42 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         carry=[F.col("doc_id"), size.alias("size"), crc.alias("text_crc32")])
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
                           "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, s.pos, s.line, regexp_extract_all(s.line, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)),
+               lambda x, i: {'line': x, 'pos': i})) AS s FROM documents)),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS rn FROM l),
+c AS (SELECT w, min(rn) AS id FROM o WHERE len(w) > 0 GROUP BY w),
+t AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh
+  FROM c),
+n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS overlap
+      FROM t a JOIN t b ON a.sh = b.sh AND a.id < b.id GROUP BY ALL),
+near AS (SELECT DISTINCT p.b AS id FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b
+         WHERE 9 * p.overlap >= 4 * (x.n + y.n)),
+f AS (
+  SELECT o.doc_id, o.pos, o.line, len(o.w) = 0 AS blank, o.rn = c.id AS is_first,
+         near.id IS NOT NULL AS is_near
+  FROM o LEFT JOIN c ON c.w = o.w LEFT JOIN near ON near.id = o.rn)
+SELECT doc_id, count(*) AS n_lines,
+       count(*) FILTER (blank OR (is_first AND NOT is_near)) AS n_kept,
+       count(*) FILTER (NOT blank AND NOT is_first) AS n_equal,
+       count(*) FILTER (NOT blank AND is_first AND is_near) AS n_similar,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY pos)
+           FILTER (blank OR (is_first AND NOT is_near)), '')) AS text_md5
+FROM f GROUP BY doc_id
+"""
+
+
+@query("op9_line_dedup", LINES_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document when later matches of its lines are removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.remove_lines(docs).select(
+        "doc_id", "n_lines", "n_kept", "n_equal", "n_similar",
+        F.md5(F.col("text").cast("binary")).alias("text_md5"))
