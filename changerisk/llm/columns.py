@@ -19,9 +19,12 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def own_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, or the first ``wanted_1``, ``wanted_2`` .. that no column of the frame has."""
-    taken = {c.lower() for c in df.columns}
+def own_name(df: DataFrame | list[str], wanted: str) -> str:
+    """``wanted``, or the first ``wanted_1``, ``wanted_2`` .. that no column has.
+
+    Columns of the input keep their names; an operator's own give way.
+    """
+    taken = {c.lower() for c in (df if isinstance(df, list) else df.columns)}
     name, n = wanted, 0
     while name.lower() in taken:
         n += 1

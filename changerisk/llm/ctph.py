@@ -44,7 +44,8 @@ def _powers(base: int, log: int) -> np.ndarray:
     return out
 
 
-def _powers_for(base: int, count: int) -> np.ndarray:
+def powers_for(base: int, count: int) -> np.ndarray:
+    """At least ``count`` powers of an odd number, modulo 2**64."""
     return _powers(base, max(10, int(count).bit_length()))
 
 
@@ -83,8 +84,8 @@ def _fingerprints(data: list[bytes]) -> list[tuple[int, str, str]]:
         level = np.log2((low & -low).astype(np.float64)).astype(np.int64)
         sums = np.zeros(flat.size + 1, dtype=np.uint64)
         np.cumsum((flat.astype(np.uint64) + np.uint64(1))
-                  * _powers_for(_STEP, flat.size)[:flat.size], out=sums[1:])
-        back = _powers_for(_STEP_BACK, flat.size)
+                  * powers_for(_STEP, flat.size)[:flat.size], out=sums[1:])
+        back = powers_for(_STEP_BACK, flat.size)
         out = []
         for d, end in zip(data, ends.tolist(), strict=True):
             start = end - len(d)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changerisk.llm.columns import own_name
+
 #: N-grams in a profile, and compared of a document.
 PROFILE_SIZE = 300
 #: Stands for everything between two words.
@@ -134,6 +136,8 @@ def identify(docs: DataFrame, learned: DataFrame, *, text: str = "text",
              keep: list[str] | None = None, size: int = PROFILE_SIZE) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to ``keep`` (all columns but the text if not given).
 
+    If ``keep`` has such a name already, the new column gets ``_1`` after it.
+
     ``learned`` is the result of ``profiles``; its rows, ``size`` for each
     language, are brought to the driver and sent to every task. A null text, a
     text without a letter, or no profile at all gives ``und`` with score 0.
@@ -141,17 +145,18 @@ def identify(docs: DataFrame, learned: DataFrame, *, text: str = "text",
     found = Profiles([tuple(r) for r in learned.select("lang", "ngram", "rank").collect()], size)
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
     sent = docs.sparkSession.sparkContext.broadcast(found)
+    lang_name, score_name = own_name(keep, "lang_pred"), own_name(keep, "score")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [sent.value.predict(t) for t in batch.pop("__text")]
-            batch["lang_pred"] = [m[0] for m in made]
-            batch["score"] = [m[1] for m in made]
+            batch[lang_name] = [m[0] for m in made]
+            batch[score_name] = [m[1] for m in made]
             yield batch
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(
-        run, f"{kept}, lang_pred string, score double")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text")).mapInPandas(
+        run, f"{kept}, `{lang_name}` string, `{score_name}` double")
 
 
 def train_and_identify(docs: DataFrame, held_out: Column) -> DataFrame:

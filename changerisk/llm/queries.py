@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from changerisk.llm import (
     ctph,
+    gumbel,
     hilbert,
     langid,
     linededup,
@@ -213,7 +214,7 @@ WITH l AS (
   FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)),
                lambda x, i: {'line': x, 'pos': i})) AS s FROM documents)),
 o AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS rn FROM l),
-c AS (SELECT w, min(rn) AS id FROM o WHERE len(w) > 0 GROUP BY w),
+c AS (SELECT line, any_value(w) AS w, min(rn) AS id FROM o WHERE len(w) > 0 GROUP BY line),
 t AS (
   SELECT DISTINCT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh
@@ -226,7 +227,7 @@ near AS (SELECT DISTINCT p.b AS id FROM p JOIN n x ON x.id = p.a JOIN n y ON y.i
 f AS (
   SELECT o.doc_id, o.pos, o.line, len(o.w) = 0 AS blank, o.rn = c.id AS is_first,
          near.id IS NOT NULL AS is_near
-  FROM o LEFT JOIN c ON c.w = o.w LEFT JOIN near ON near.id = o.rn)
+  FROM o LEFT JOIN c ON c.line = o.line LEFT JOIN near ON near.id = o.rn)
 SELECT doc_id, count(*) AS n_lines,
        count(*) FILTER (blank OR (is_first AND NOT is_near)) AS n_kept,
        count(*) FILTER (NOT blank AND NOT is_first) AS n_equal,
@@ -244,3 +245,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_lines(docs).select(
         "doc_id", "n_lines", "n_kept", "n_equal", "n_similar",
         F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("op10_sampled_segmentations")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct segmentations of every document, drawn without replacement and decoded."""
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = gumbel.Vocabulary.load(gumbel.MODEL)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    encoded = gumbel.encode(docs.select("doc_id", "text", crc.alias("text_crc32")), vocabulary,
+                            keep=["doc_id", "text_crc32"], k=3)
+    return gumbel.decode(encoded, vocabulary).select(
+        "doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        "log_prob", "perturbed", "inclusion",
+        (F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")).alias("round_trip"))

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changerisk.llm.columns import own_name
 from changerisk.llm.components import components
 from changerisk.llm.scratch import Scratch, written
 
@@ -61,16 +62,18 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None,
                  words: int = 3) -> DataFrame:
-    """Adds ``fp`` to ``keep`` (all columns but the text if not given)."""
+    """Adds ``fp`` (``fp_1`` .. if in use) to ``keep`` (all columns but the text if not given)."""
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
+    name = own_name(docs.select(*[F.col(f"`{c}`") for c in keep]), "fp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["fp"] = [fingerprint(t, words) for t in batch.pop("__text")]
+            batch[name] = [fingerprint(t, words) for t in batch.pop("__text")]
             yield batch
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(run, f"{kept}, fp long")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text")).mapInPandas(
+        run, f"{kept}, `{name}` long")
 
 
 def as_hex(fp: Column) -> Column:
@@ -245,23 +248,54 @@ def neighbour_links(prints: DataFrame, distance: int = 2, paired: int = PAIRED)
     return verified.unionByName(stars).distinct()
 
 
+def _components(prints: DataFrame, distance: int) -> DataFrame:
+    """``(fp, component)`` for distinct fingerprints; a component is named by one of its own."""
+    ids = prints.select("fp", F.col("fp").alias("id"))
+    found = components(neighbour_links(ids, distance)).select(
+        F.col("node").alias("fp"), "component")
+    return prints.select("fp").join(found, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                     words: int = 3, distance: int = 2) -> DataFrame:
     """``(key, fp, component_id)``: component_id is the smallest key reachable over links.
 
     Equal fingerprints are one node from the start, so copies never meet in
     pairs. Null and empty texts have fingerprint 0 and are linked like any
-    other; null keys sort last and never name a component unless all its keys
-    are null. Repeated rows give as many rows. An empty table gives an empty one.
+    other; a null key names a component only if all its keys are null. Repeated
+    rows give as many rows. An empty table gives an empty one. No other column
+    of the input is read.
     """
     rows = written(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")),
                                 words=words))
-    prints = written(rows.groupBy("fp").agg(F.min("key").alias("smallest"))
-                     .withColumn("id", F.col("fp")))
-    found = written(components(neighbour_links(prints.select("id", "fp"), distance)))
-    named = (prints.join(found.withColumnRenamed("node", "id"), "id", "left")
-             .withColumn("component", F.coalesce("component", "id")))
-    smallest = named.groupBy("component").agg(F.min("smallest").alias("first"))
-    of_print = named.join(smallest, "component").select("fp", "first")
-    return (rows.join(of_print, "fp")
-            .select(F.col("key").alias(key), "fp", F.col("first").alias("component_id")))
+    prints = written(rows.groupBy("fp").agg(F.min("key").alias("smallest")))
+    named = written(prints.join(_components(prints, distance), "fp"))
+    smallest = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    of_print = named.join(smallest, "component").select("fp", "component_id")
+    return rows.join(of_print, "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5,
+             distance: int = 4) -> DataFrame:
+    """``docs`` with one row of every component, columns as they are.
+
+    The row with the smallest key stays, null last; of rows with that key the
+    one with the smallest hash of its text, and one of repeated rows. A null
+    text counts as an empty one and stays null if its row stays.
+    """
+    tie = F.xxhash64(text)
+    rows = written(fingerprints(docs.select(F.col(key).alias("key"), tie.alias("tie"),
+                                            F.col(text).alias("text")), words=words))
+    prints = written(rows.select("fp").distinct())
+    member = rows.join(_components(prints, distance), "fp")
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "tie")
+    chosen = written(member.groupBy("component").agg(F.min(order).alias("s")).select("s.*"))
+    stay = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), tie.alias("tie"))
+    kept = docs.withColumn(own_name(docs, "stays"), stay)
+    mark = kept.columns[-1]
+    kept = kept.join(chosen.select(F.struct("none", "key", "tie").alias(mark)), mark, "left_semi")
+    again = rows.groupBy("key", "tie").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates([mark])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

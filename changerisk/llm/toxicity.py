@@ -19,9 +19,11 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changerisk.llm.columns import own_name
 from changerisk.llm.scratch import written
 
 #: Labelled texts to learn from at most, those with the smallest hashes of their ids.
@@ -321,28 +323,46 @@ def score(docs: DataFrame, grammar: Grammar, *, text: str = "text",
           keep: list[str] | None = None) -> DataFrame:
     """Adds ``score`` (0 to 1), ``predicted``, ``weight`` and ``clauses`` to ``keep``.
 
-    ``clauses`` is an array of the matched clauses and their weights. Null and
+    ``clauses`` is an array of the matched clauses and their weights. A name that
+    ``keep`` has already gets ``_1`` after it. Null and
     empty texts have no clause and get the score of weight 0. Whole texts are
     read; rows are independent.
     """
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
     sent = docs.sparkSession.sparkContext.broadcast(grammar)
+    names = [own_name(keep, n) for n in ("score", "predicted", "weight", "clauses")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = sent.value
         for batch in batches:
             found = [g.clauses(t) for t in batch.pop("__text")]
             weights = [sum(w for _, w in c) for c in found]
-            batch["score"] = [g.score(w) for w in weights]
-            batch["predicted"] = (batch["score"] >= 0.5).astype("int32")
-            batch["weight"] = weights
-            batch["clauses"] = [[{"clause": c, "weight": w} for c, w in f] for f in found]
+            scores = [g.score(w) for w in weights]
+            batch[names[0]] = scores
+            batch[names[1]] = [int(x >= 0.5) for x in scores]
+            batch[names[2]] = weights
+            batch[names[3]] = [[{"clause": c, "weight": w} for c, w in f] for f in found]
             yield batch
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text")).mapInPandas(
-        run, f"{kept}, score double, predicted int, weight double, "
-             "clauses array<struct<clause:string,weight:double>>")
+        run, f"{kept}, `{names[0]}` double, `{names[1]}` int, `{names[2]}` double, "
+             f"`{names[3]}` array<struct<clause:string,weight:double>>")
+
+
+def reject(docs: DataFrame, grammar: Grammar, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores under 0.5, with all columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(grammar)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = sent.value
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text)).to_pylist()
+            clean = batch.filter(pa.array([g.score(g.weight(t)) < 0.5 for t in texts]))
+            if clean.num_rows:
+                yield clean
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column,

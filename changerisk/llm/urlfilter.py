@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changerisk.llm.columns import own_name
 from changerisk.llm.components import components
 from changerisk.llm.scratch import written
 
@@ -76,27 +77,33 @@ def page_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
     content="..;url=..">``, attributes in any order, quoted or not. Targets
     without a host are taken on the page's own host.
     """
-    def attribute(tag: Column, name: str) -> Column:
-        return F.coalesce(*[F.nullif(F.regexp_extract(
-            tag, rf"(?is)[\s\"'/]{name}\s*=\s*{value}", 1), F.lit("")) for value in
-            (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")])
-
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), 1)
-    tag = F.col("tag")
-    canonical = F.when(F.lower(attribute(tag, "rel")).contains("canonical"),
-                       attribute(tag, "href"))
-    refresh = F.when(F.lower(attribute(tag, "http-equiv")) == "refresh", F.nullif(
-        F.regexp_extract(attribute(tag, "content"), r"(?is)url\s*=\s*['\"]?([^'\"\s]+)", 1),
-        F.lit("")))
-    target = F.coalesce(canonical, refresh)
-    own = F.col(url)
-    full = (F.when(target.contains("://"), target)
-            .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-            .when(target.startswith("/"), F.concat(F.lit("http://"), host_of(own), target)))
-    return (pages.where(F.col(html).rlike("(?i)canonical|refresh"))
-            .select(own, F.explode(tags).alias("tag"))
-            .select(address(own).alias("a"), address(full).alias("b"))
-            .where("a is not null and b is not null and a <> b").distinct())
+    def attribute(name: str) -> Column:
+        value = r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+        return F.concat(*[F.regexp_extract("tag", rf"(?is)[\s\"'/]{name}\s*=\s*{value}", group)
+                          for group in (1, 2, 3)])
+
+    def once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+        # A generator, so that the value is computed once and not pasted into each use.
+        return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+    tags = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(
+        F.col(url).alias("own"), F.explode(F.regexp_extract_all(
+            F.col(html), F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), 1)).alias("tag"))
+    found = tags.select(
+        "own", F.lower(attribute("rel")).contains("canonical").alias("canonical"),
+        (F.lower(attribute("http-equiv")) == "refresh").alias("refresh"),
+        attribute("href").alias("href"),
+        F.regexp_extract(attribute("content"), r"(?is)url\s*=\s*['\"]?([^'\"\s]+)", 1)
+        .alias("to"))
+    target = once(found, "target", F.when(F.col("canonical"), F.col("href"))
+                  .when(F.col("refresh"), F.col("to")), "own").where("target <> ''")
+    t = F.col("target")
+    full = once(target, "full", F.when(t.contains("://"), t)
+                .when(t.startswith("//"), F.concat(F.lit("http:"), t))
+                .when(t.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("own")), t)),
+                "own").where("full is not null")
+    ends = once(once(full, "a", address(F.col("own")), "full"), "b", address(F.col("full")), "a")
+    return ends.where("a is not null and b is not null and a <> b").distinct()
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], *, links: DataFrame | None = None,
@@ -108,7 +115,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, links: DataFrame | None
     of ``address`` (from ``page_links`` if not given): blocked if a rule blocks
     one of its members and none allows one; an explicit allow of any alias
     goes before. All else is allowed, as are null urls and urls without
-    ``://`` (host and path are then empty). No row is dropped or doubled.
+    ``://`` (host and path are then empty). No row is dropped or doubled. A name
+    that ``keep`` has already gets ``_1`` after it.
 
     Members of a component that appear only as a link's target count as well.
     Decisions are folded per component before they move, and only addresses
@@ -121,10 +129,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, links: DataFrame | None
         path_of(F.col(url)).alias("path"), address(F.col(url)).alias("__node"))
     member = written(components(links))
     as_url = F.concat(F.lit("x://"), F.col("node"))
-    of_node = judge(host_of(as_url), path_of(as_url), rules)
     # A node has no final slash, so a rule for a folder is asked with one, too.
-    of_folder = judge(host_of(as_url), F.concat(path_of(as_url), F.lit("/")), rules)
-    ruled = member.select("component", F.coalesce(of_node, of_folder)["block"].alias("block"))
+    asked = member.select("component", host_of(as_url).alias("host"),
+                          F.explode(F.array(path_of(as_url), F.concat(path_of(as_url), F.lit("/"))))
+                          .alias("path"))
+    ruled = asked.select("component", judge(F.col("host"), F.col("path"), rules)["block"]
+                         .alias("block"))
     blocked = (ruled.where("block is not null").groupBy("component")
                .agg(F.min("block").alias("blocked")))
     verdicts = member.join(blocked, "component").where("blocked").select(
@@ -132,6 +142,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, links: DataFrame | None
     return (
         rows.join(verdicts, "__node", "left")
         .withColumn("__own", judge(F.col("host"), F.col("path"), rules))
-        .select("__row.*", "host", "path", F.col("__own.rule").alias("rule"),
+        .select("__row.*", F.col("host").alias(own_name(keep, "host")),
+                F.col("path").alias(own_name(keep, "path")),
+                F.col("__own.rule").alias(own_name(keep, "rule")),
                 F.when(F.coalesce("__own.block", "__alias", F.lit(False)), "block")
-                .otherwise("allow").alias("verdict")))
+                .otherwise("allow").alias(own_name(keep, "verdict"))))
