@@ -14,6 +14,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def constants(values: list[int], kind: str) -> Column:
+    """A list of numbers as one constant of the plan, whatever its length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def held_out(key: Column) -> Column:
     """Whether a row is kept out of learning; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changerisk.llm.columns import own_name
+from changerisk.llm.columns import constants, own_name
 from changerisk.llm.components import components
 from changerisk.llm.scratch import Scratch, written
 
@@ -210,18 +210,17 @@ def neighbour_links(prints: DataFrame, distance: int = 2, paired: int = PAIRED)
     n, both = _bit_pairs(prints)
     groups, thresholds = layout(n, both, distance)
 
+    masks = [_signed(sum(1 << b for b in group)) for group in groups]
+
     def keys(within: bool) -> DataFrame:
-        each = []
-        for p, (group, t) in enumerate(zip(groups, thresholds, strict=True)):
-            if t < 0:
-                continue
-            mask = F.lit(_signed(sum(1 << b for b in group)))
-            masked = F.col("fp").bitwiseAND(mask)
-            for flip in _flips(group, t if within else 0):
-                each.append(F.struct(F.lit(p).alias("part"),
-                                     masked.bitwiseXOR(F.lit(flip)).alias("value")))
-        return prints.select("id", "fp", F.explode(F.array(*each)).alias("key")).select(
-            "id", "fp", "key.*")
+        # Probes as two constant lists: which partition, and which of its bits to flip.
+        probes = [(p, flip) for p, (group, t) in enumerate(zip(groups, thresholds, strict=True))
+                  if t >= 0 for flip in _flips(group, t if within else 0)]
+        each = F.arrays_zip(constants([p for p, _ in probes], "int").alias("part"),
+                            constants([flip for _, flip in probes], "long").alias("flip"))
+        masked = F.col("fp").bitwiseAND(F.get(constants(masks, "long"), F.col("k.part")))
+        return prints.select("id", "fp", F.explode(each).alias("k")).select(
+            "id", "fp", "k.part", masked.bitwiseXOR(F.col("k.flip")).alias("value"))
 
     held = keys(within=False)
     large, _ = scratch.keep(held.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -238,9 +237,9 @@ def neighbour_links(prints: DataFrame, distance: int = 2, paired: int = PAIRED)
     verified = candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     crowded = (keys(within=True).join(large, ["part", "value"], "left_semi")
                .select("id", "fp").distinct())
-    points = crowded.select("id", F.explode(F.array(*[
-        F.col("fp").bitwiseXOR(F.lit(flip)) for flip in _flips(range(BITS), distance // 2)]))
-        .alias("point"))
+    points = crowded.select("id", "fp", F.explode(
+        constants(_flips(range(BITS), distance // 2), "long")).alias("flip")).select(
+        "id", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     stars = (points.join(points.groupBy("point").agg(F.min("id").alias("b"),
                                                      F.count(F.lit(1)).alias("n"))
                          .where("n > 1").select("point", "b"), "point")
