@@ -7,6 +7,7 @@ or a ``refusal`` saying why there is none.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,23 +41,17 @@ def boundary_spread(calibration: Column, profiles: Column, cross_spread: Column)
             .otherwise(F.greatest(observed, F.lit(tables.BOUNDARY_FLOOR))))
 
 
-def _widen_of(row: dict) -> int:
-    """:func:`base_widen` of one constant row, for the lookup maps."""
-    if row["calibration"] == "uncalibrated":
-        return tables.WIDEN_GUESS
-    if row["calibration"] == "calibrated":
-        return tables.WIDEN_CALIBRATED
-    if row["runs"] < 2:
-        return tables.WIDEN_ONE_RUN
-    return min(max(row["spread"], tables.WIDEN_FLOOR), tables.WIDEN_CAP)
-
-
-def _boundary_of(row: dict) -> int:
-    """:func:`boundary_spread` of one constant row, for the lookup maps."""
-    if row["calibration"] == "uncalibrated":
-        return tables.WIDEN_GUESS
-    observed = row["cross_spread"] if row["profiles"] >= tables.BOUNDARY_MIN_PROFILES else 0
-    return max(observed, tables.BOUNDARY_FLOOR)
+def _widths(rows: list[dict]) -> pd.DataFrame:
+    """:func:`base_widen` and :func:`boundary_spread` of all constants at once."""
+    t = pd.DataFrame(rows).set_index("key")
+    unknown = t["calibration"].eq("uncalibrated")
+    by_label = t["calibration"].map({"uncalibrated": tables.WIDEN_GUESS,
+                                     "calibrated": tables.WIDEN_CALIBRATED})
+    measured = t["spread"].clip(tables.WIDEN_FLOOR, tables.WIDEN_CAP).mask(
+        t["runs"] < 2, tables.WIDEN_ONE_RUN)
+    strip = (t["cross_spread"].where(t["profiles"] >= tables.BOUNDARY_MIN_PROFILES, 0)
+             .clip(lower=tables.BOUNDARY_FLOOR).mask(unknown, tables.WIDEN_GUESS))
+    return pd.DataFrame({"widen": by_label.fillna(measured), "strip": strip}).astype("int64")
 
 
 class RateTable:
@@ -65,8 +60,9 @@ class RateTable:
     def __init__(self, rows: list[dict] | None = None) -> None:
         rows = tables.rate_rows() if rows is None else rows
         self._value = {r["key"]: r["value"] for r in rows}
-        self._widen = {r["key"]: _widen_of(r) for r in rows}
-        self._spread = {r["key"]: _boundary_of(r) for r in rows}
+        widths = _widths(rows)
+        self._widen = widths["widen"].to_dict()
+        self._spread = widths["strip"].to_dict()
 
     @staticmethod
     def _look(mapping: dict[str, int], family: Column) -> Column:

@@ -145,7 +145,7 @@ def _unquote(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
 
 
-_SCHEME = r"(?i)^(?:postgres|postgresql|pgsql)(?:\+[A-Za-z0-9_]+)?://"
+_SCHEME = rf"(?i)^{tables.SCHEME}"
 
 
 def parse_conninfo(conninfo: Column) -> Column:

@@ -1,7 +1,6 @@
 """Building blocks that keep one hot key from becoming one task.
 
 ``prefix_scan``       ordered state inside a key, computed chunk by chunk
-``hot_split_join``    equi join whose heaviest keys are spread over salts
 ``order_statistics``  exact medians and quantiles without collecting a group
 """
 
@@ -15,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changerisk.session import HOT_KEYS
 
 CHUNK_ROWS = 1 << 16
 
@@ -89,35 +87,8 @@ def _fold(how: str, value: Column) -> Column:
     return F.last(value, ignorenulls=True) if how == "last" else getattr(F, how)(value)
 
 
-def hot_split_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    *,
-    spread_by: Sequence[str],
-    fan: int = 32,
-    hot_rows: int = 1_000_000,
-) -> DataFrame:
-    """Join on ``keys`` with the heaviest left keys spread over ``fan`` salts.
-
-    At most :data:`~changerisk.session.HOT_KEYS` keys are treated as hot, so
-    the hot list is always small enough to broadcast; every other key takes
-    the plain hash route. The right side is repeated only for hot keys, so it
-    must not be the skewed one. Results equal the plain join.
-    """
-    keys = list(keys)
-    hot = (left.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-           .orderBy(F.desc("count")).limit(HOT_KEYS)
-           .select(*keys, F.lit(True).alias("__hot")))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread_by), F.lit(fan))).otherwise(F.lit(0))
-    spread = (left.join(F.broadcast(hot), keys, "left")
-              .withColumn("__salt", salt.cast("int")).drop("__hot"))
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(
-        F.array(F.lit(0)))
-    repeated = (right.join(F.broadcast(hot), keys, "left")
-                .withColumn("__salt", F.explode(copies)).drop("__hot"))
-    return spread.join(repeated, [*keys, "__salt"], how).drop("__salt")
+#: Even cuts of a bucket that holds a wanted position.
+_SLOTS = 1024
 
 
 def _bucket(value: Column) -> Column:
@@ -134,8 +105,8 @@ def order_statistics(
     ``picks`` maps an output column to a zero-based position written in terms
     of ``F.col("n")``, the number of non-null values of the key. Equal values
     are counted before the shuffle; bucket counts locate the bucket that holds
-    each position and only those buckets are sorted, so no task ever holds a
-    whole key. Returns ``keys``, ``n`` and the picked values.
+    each position, the counts of its slots the slot, and only those slots are
+    sorted, so no task sorts a whole key. Returns ``keys``, ``n`` and the picked values.
     """
     keys = list(keys)
     counts = (df.filter(F.col(value).isNotNull())
@@ -143,21 +114,33 @@ def order_statistics(
               .withColumn("__b", _bucket(F.col("__v"))))
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     buckets = (
-        counts.groupBy(*keys, "__b").agg(F.sum("__m").alias("__bm"))
-        .select(*keys, "__b", "__bm",
+        counts.groupBy(*keys, "__b").agg(F.sum("__m").alias("__bm"), F.min("__v").alias("__lo"),
+                                         F.max("__v").alias("__hi"))
+        .select(*keys, "__b", "__bm", "__lo", "__hi",
                 F.sum("__bm").over(by_key).alias("n"),
                 (F.sum("__bm").over(by_key.orderBy("__b")) - F.col("__bm")).alias("__before"))
     )
     position = {name: pick.cast("bigint") for name, pick in picks.items()}
+    end = F.col("__before") + F.col("__bm")
     inside = F.lit(False)
     for pick in position.values():
-        inside = inside | ((pick >= F.col("__before"))
-                           & (pick < F.col("__before") + F.col("__bm")))
+        inside = inside | ((pick >= F.col("__before")) & (pick < end))
+    # A logarithmic bucket may still hold all values of a key, say times of one
+    # month, so the hit ones are cut again, evenly between their own ends.
     wanted = buckets.filter(inside)
-    in_bucket = W.partitionBy(*keys, "__b").orderBy("__v")
+    width = (F.col("__hi") - F.col("__lo")).cast("double")
+    slot = F.when(width > 0, F.floor((F.col("__v") - F.col("__lo")).cast("double") / width
+                                     * F.lit(float(_SLOTS)))).otherwise(F.lit(0)).cast("bigint")
+    near = counts.join(wanted, [*keys, "__b"]).withColumn("__s", slot)
+    by_slot = W.partitionBy(*keys, "__b").orderBy("__s")
+    slots = (
+        near.groupBy(*keys, "__b", "n", "__before", "__s").agg(F.sum("__m").alias("__bm"))
+        .withColumn("__before", F.col("__before") + F.sum("__bm").over(by_slot) - F.col("__bm"))
+        .filter(inside).select(*keys, "__b", "__s", F.col("__before").alias("__first")))
+    in_slot = W.partitionBy(*keys, "__b", "__s").orderBy("__v")
     ranked = (
-        counts.join(wanted, [*keys, "__b"])
-        .withColumn("__end", F.col("__before") + F.sum("__m").over(in_bucket))
+        near.join(slots, [*keys, "__b", "__s"])
+        .withColumn("__end", F.col("__first") + F.sum("__m").over(in_slot))
         .withColumn("__start", F.col("__end") - F.col("__m"))
     )
     return ranked.groupBy(*keys, "n").agg(*[

@@ -230,14 +230,21 @@ def long_exclusive_holds(scored: DataFrame, at_least_ms: int = 1000) -> DataFram
 
 
 # --- machine factors -----------------------------------------------------------
-def pass_factors(readings: DataFrame, reference: DataFrame) -> DataFrame:
-    """Machine factor of each probe pass: the median of today over reference."""
-    ratios = (readings.join(broadcast_if_small(reference), ["case_id", "table"], "left")
+def _pass_medians(readings: DataFrame, reference: DataFrame) -> DataFrame:
+    """Median of today over reference per pass; passes without any ratio are left out."""
+    ratios = (readings.join(broadcast_if_small(reference), ["case_id", "table"])
               .filter(F.col("reference_ms") > 0)
               .withColumn("ratio", F.col("today_ms") / F.col("reference_ms")))
-    found = medians(ratios, ["pass_id"], "ratio").select("pass_id", F.col("median").alias("f"))
-    passes = readings.groupBy("pass_id").agg(F.min("at_s").alias("at_s"))
-    return passes.join(found, "pass_id", "left").select(
+    return medians(ratios, ["pass_id"], "ratio").select("pass_id", F.col("median").alias("f"))
+
+
+def _passes(readings: DataFrame) -> DataFrame:
+    return readings.groupBy("pass_id").agg(F.min("at_s").alias("at_s"))
+
+
+def pass_factors(readings: DataFrame, reference: DataFrame) -> DataFrame:
+    """Machine factor of each probe pass: the median of today over reference, 1 without any."""
+    return _passes(readings).join(_pass_medians(readings, reference), "pass_id", "left").select(
         "pass_id", "at_s", F.coalesce("f", F.lit(1.0)).alias("factor"))
 
 
@@ -250,14 +257,17 @@ def family_factors(readings: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def comparable_factors(readings: DataFrame, reference: DataFrame) -> DataFrame:
-    """Pass factor over the probes every pass runs, else over all of them."""
+    """Pass factor over the probes every pass runs, else over all of them, else 1.
+
+    Shared probes without a reference say nothing, so the pass then falls back
+    to all its probes.
+    """
     shared = F.concat_ws("/", "case_id", "table").isin(
         *[f"{c}/{t}" for c, t in tables.COMPARABLE_PROBES])
-    whole = pass_factors(readings, reference)
-    common = pass_factors(readings.filter(shared), reference).select(
-        "pass_id", F.col("factor").alias("common"))
-    return whole.join(common, "pass_id", "left").select(
-        "pass_id", "at_s", F.coalesce("common", "factor").alias("factor"))
+    common = _pass_medians(readings.filter(shared), reference).withColumnRenamed("f", "common")
+    return (_passes(readings).join(_pass_medians(readings, reference), "pass_id", "left")
+            .join(common, "pass_id", "left")
+            .select("pass_id", "at_s", F.coalesce("common", "f", F.lit(1.0)).alias("factor")))
 
 
 def factor_at(events: DataFrame, passes: DataFrame, keys: list[str],

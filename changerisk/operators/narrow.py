@@ -160,9 +160,9 @@ def set_not_null(action: Column, facts: Column) -> Column:
     gap = _constraint_gap(facts)
     return (
         F.when(column.isNull(), _result("unresolved", "no column name is recorded"))
-        .when(already, _result("constant", "the column is already NOT NULL"))
+        .when(already, _result("constant", "nothing to do: the column holds no NULL by definition"))
         .when(gap.isNotNull(), _result("unresolved", F.concat(
-            F.lit("constraint facts unavailable: "), gap)))
+            F.lit("constraints could not be read: "), gap)))
         .when(F.coalesce(proved, F.lit(False)),
               _result("constant", "a valid constraint proves NOT NULL, so the scan is skipped"))
         .otherwise(_result("proportional", "nothing proves NOT NULL: the table is scanned"))
@@ -182,7 +182,7 @@ def validate_constraint(action: Column, facts: Column) -> Column:
 def _validated(gap: Column, named: Column) -> Column:
     return (
         F.when(gap.isNotNull(), _result("unresolved", F.concat(
-            F.lit("constraint facts unavailable: "), gap)))
+            F.lit("constraints could not be read: "), gap)))
         .when(named.isNull(), _result("unresolved", "the constraint is not on the relation"))
         .when(named["validated"], _result("constant", "the constraint is already valid"))
         .when(named["contype"] == "f", _result(
@@ -201,7 +201,7 @@ def drop_constraint(action: Column, facts: Column) -> Column:
 def _dropped(gap: Column, named: Column, missing_ok: Column) -> Column:
     return (
         F.when(gap.isNotNull(), _result("unresolved", F.concat(
-            F.lit("constraint facts unavailable: "), gap)))
+            F.lit("constraints could not be read: "), gap)))
         .when(named.isNull(), F.when(
             missing_ok,
             _result("constant", "the constraint is absent: IF EXISTS does nothing"))
@@ -216,7 +216,7 @@ def _dropped(gap: Column, named: Column, missing_ok: Column) -> Column:
 def add_pk_using_index(facts: Column) -> Column:
     all_set = F.coalesce(has_value(facts["columns"]) & F.forall(
         facts["columns"]["value"], lambda c: c["not_null"]), F.lit(False))
-    return F.when(all_set, _result("constant", "every column is already NOT NULL")).otherwise(
+    return F.when(all_set, _result("constant", "nothing to do: no column can hold a NULL")).otherwise(
         _result("keep_model", "a nullable index column would cause a scan",
                 method=F.when(facts.isNull(), "unverified").otherwise("observed")))
 

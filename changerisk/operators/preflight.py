@@ -125,13 +125,19 @@ def window_volume(df: DataFrame, key: str, step: int, predicate: Column) -> Data
 def key_windows(df: DataFrame, key: str, rows_per_window: int) -> DataFrame:
     """Half-open key ranges that cover the table with about equal row counts.
 
-    Keys are counted first; bucket totals give every bucket its rank offset,
-    so ranks are exact and no task sorts the whole key.
+    Keys are counted first and dealt into ranges that Spark takes from the
+    data, however sparse they are; range totals give every range its rank
+    offset, so ranks are exact and no task sorts the whole key. Keys must be
+    whole numbers: for others there is no next key to end a window at.
     """
-    counts = (df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k"))
-              .agg(F.count("*").alias("m")))
-    ranked = prefix_scan(counts.withColumn("all", F.lit(1)), ["all"], ["k"],
-                         F.floor(F.col("k") / 65536), {"before": ("sum", F.col("m"))})
+    if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{key} is no whole number")
+    counts = cut_lineage(
+        df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k"))
+        .agg(F.count("*").alias("m")).repartitionByRange("k")
+        .withColumn("part", F.spark_partition_id()))
+    ranked = prefix_scan(counts.withColumn("all", F.lit(1)), ["all"], ["k"], F.col("part"),
+                         {"before": ("sum", F.col("m"))})
     window = int_div(F.coalesce("before", F.lit(0).cast("bigint")), rows_per_window)
     out = ranked.groupBy(window.alias("window_no")).agg(
         F.min("k").alias("lo"), F.max("k").alias("last"), F.sum("m").alias("rows"))

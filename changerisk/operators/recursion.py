@@ -12,20 +12,23 @@ from pyspark.sql import functions as F
 from changerisk.session import cut_lineage
 
 
-def descend(start: DataFrame, links: DataFrame, keys: list[str], carry: list[str],
-            max_depth: int = 1600) -> DataFrame:
-    """All nodes below or beyond the start nodes, with their depth.
+def descend(start: DataFrame, links: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+    """All nodes below or beyond the start nodes, with their least depth.
 
     ``start(keys, carry.., node)``; ``links(keys, node, next)``. Depth 0 is the
-    start itself. The links must not form a cycle; a walk deeper than
-    ``max_depth`` raises.
+    start itself. A level holds only what no level before it reached, so the
+    walk ends with the first empty level, cycles included, however deep.
     """
-    reached = level = cut_lineage(start.withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
-        level = cut_lineage(
-            level.select(*keys, *carry, "node").join(links, [*keys, "node"])
-            .select(*keys, *carry, F.col("next").alias("node"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            return reached
+    columns = [*keys, *carry, "node"]
+    level = cut_lineage(start.select(*columns).distinct().withColumn("depth", F.lit(0)))
+    reached, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        found = (level.select(*columns).join(links, [*keys, "node"])
+                 .select(*keys, *carry, F.col("next").alias("node")).distinct())
+        known = reached.select(*[F.col(c).alias(f"__{c}") for c in columns])
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
+        level = cut_lineage(found.join(known, same, "left_anti")
+                            .withColumn("depth", F.lit(depth)))
         reached = reached.unionByName(level)
-    raise ValueError(f"links go deeper than {max_depth} levels: is there a cycle?")
+    return reached

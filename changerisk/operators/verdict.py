@@ -58,7 +58,7 @@ def block_type(locks: Column) -> Column:
 
 
 def _refused(would_be: Column, band: Column, method: Column) -> Column:
-    return verdict("unknown", method, "refused at the boundary: hardware decides the side",
+    return verdict("unknown", method, "too near a threshold: the machine decides on which side",
                    band, "time the statement on a copy before deciding", "boundary", would_be)
 
 
@@ -71,7 +71,7 @@ def proportional_verdict(estimate: Column, block: Column, live_exclusive: Column
     line = tiers.boundary_refusal(estimate["point_ms"], spread, block,
                                   ~((block == "reads") & live_exclusive))
     return (
-        F.when(block.isNull(), verdict("safe", base_method, "blocks neither reads nor writes",
+        F.when(block.isNull(), verdict("safe", base_method, "no reader and no writer has to wait",
                                        band))
         .when(estimate["refusal"].isNotNull(), verdict(
             "unknown", "unverified", F.concat(
@@ -172,7 +172,7 @@ def add_estimates(units: DataFrame, online: bool, rates: du.RateTable) -> DataFr
             F.lit("the statement names no relation to size the work by")))
         if clean:
             out = out.when(state == "clean", du.fixed_cost("proven")).when(
-                state == "loaded", du.refuse(F.lit("bulk-loaded earlier in this file")))
+                state == "loaded", du.refuse(F.lit("this file filled the table before")))
         if not online:
             return out.otherwise(offline)
         return (out.when(family_.isNull(), du.refuse(
@@ -257,7 +257,7 @@ def add_row_verdicts(units: DataFrame, online: bool, rates: du.RateTable) -> Dat
     file_duration = (
         F.when(rule["duration"] == "constant", du.fixed_cost("proven"))
         .when(F.col("relation_state") == "loaded",
-              du.refuse(F.lit("bulk-loaded earlier in this file")))
+              du.refuse(F.lit("this file filled the table before")))
         .otherwise(du.fixed_cost("proven")))
     duration = (
         F.when(b == "file_local", file_duration)
@@ -312,7 +312,7 @@ def add_row_verdicts(units: DataFrame, online: bool, rates: du.RateTable) -> Dat
         .when((b == "live_constant") | (rule["duration"] == "constant"), constant_verdict(
             block, F.when(b == "live_constant", tiers.weakest(
                 proven, F.coalesce(narrowed["method"], F.lit("unverified")))).otherwise(proven)))
-        .otherwise(verdict("unknown", "unverified", "the work scales with matched rows"))
+        .otherwise(verdict("unknown", "unverified", "grows with the number of rows that match"))
     )
     return staged.withColumn("verdict", first)
 
@@ -353,7 +353,7 @@ def floor_for_exclusive(v: Column, live_exclusive: Column) -> Column:
 def cap_for_guard(v: Column, conditional: Column) -> Column:
     """A statement behind an existence check may not run at all."""
     guard = F.when(v["tier"] == "unsafe", F.lit("guarded; unsafe if the guard passes")).otherwise(
-        F.lit("guarded by an existence check"))
+        F.lit("runs only if a catalog check says so"))
     return F.when(conditional & (v["tier"] != "unknown"),
                   _retier(v, F.lit("needs_timing"), guard)).otherwise(v)
 

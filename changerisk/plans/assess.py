@@ -16,14 +16,11 @@ from changerisk import seeds
 from changerisk.functions import durations as du
 from changerisk.functions import tiers
 from changerisk.operators import order, rules, verdict
-from changerisk.operators.distribution import hot_split_join
 from changerisk.operators.verdict import Snapshot
 from changerisk.schemas import RELATION_FACTS, TYPE_CHANGE_FACTS, TYPE_FACTS
 from changerisk.session import (
-    BROADCAST_LIMIT_BYTES,
     broadcast_if_small,
     cut_lineage,
-    estimated_bytes,
 )
 
 # columns no later step reads
@@ -53,10 +50,12 @@ def resolve_units(statements: DataFrame, rule_table: DataFrame, pg_version: int
 
 
 def _left_join(units: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join of facts that are unique per key; hot keys are spread."""
-    if estimated_bytes(facts) <= BROADCAST_LIMIT_BYTES:
-        return units.join(F.broadcast(facts), keys, "left")
-    return hot_split_join(units, facts, keys, spread_by=["file_id", "idx", "action_pos"])
+    """Left join of facts that are unique per key.
+
+    Beyond the broadcast limit it is a shuffled join, whose heavy partitions,
+    NULL keys among them, adaptive execution splits on the units' side.
+    """
+    return units.join(broadcast_if_small(facts), keys, "left")
 
 
 def join_facts(units: DataFrame, snapshot: Snapshot) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-HOT_KEYS = 1024
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

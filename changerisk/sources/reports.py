@@ -68,9 +68,17 @@ def report_parts(documents: DataFrame, part_size: int = PART_STATEMENTS) -> Data
 
 
 def report_hashes(parts: DataFrame) -> DataFrame:
-    """Root hash of every file's report: a tree with 1000 children per node."""
+    """Root hash of every file's report: a tree with 1000 children per node.
+
+    All trees have the same height, at least ``_TREE_LEVELS`` and else as many
+    as the longest report needs to end in one node.
+    """
     level = parts.select("file_id", "part", "sha256")
-    for _ in range(_TREE_LEVELS):
+    last = level.agg(F.max("part")).first()[0] or 0
+    height = _TREE_LEVELS
+    while last >= 1000 ** height:
+        height += 1
+    for _ in range(height):
         grouped = level.groupBy("file_id", int_div(F.col("part"), 1000).alias("p")).agg(
             F.array_sort(F.collect_list(F.struct("part", "sha256"))).alias("h"))
         level = grouped.select("file_id", F.col("p").alias("part"),

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from changerisk.operators import distribution as d
-from changerisk.operators import order, preflight
+from changerisk.operators import evaluate, order, preflight, recursion
+from changerisk.seeds import tables
 
 
 @pytest.fixture(scope="module")
@@ -43,12 +44,52 @@ def test_prefix_scan_never_partitions_rows_by_key_alone(hot):
     assert "__chunk" in row_window.split("specifiedwindowframe")[-1] or "__chunk" in row_window
 
 
-def test_hot_split_join_equals_the_plain_join(hot):
-    facts = hot.select("k").distinct().withColumn("fact", F.col("k") * 10)
-    facts = facts.filter("k <> 3")
-    split = d.hot_split_join(hot, facts, ["k"], spread_by=["i"], fan=8, hot_rows=1000)
-    plain = hot.join(facts, "k", "left").select(*split.columns)
-    assert split.exceptAll(plain).isEmpty() and plain.exceptAll(split).isEmpty()
+@pytest.mark.parametrize("value", [
+    lambda i: 1_700_000_000_000.0 + (i * 7919) % 2_592_000_000,  # milliseconds of one month
+    lambda i: ((i * 7919) % 9973) / 9973.0,  # ratios
+    lambda i: 5.0 if i % 3 else -float(i),
+    lambda i: 1e9 if i == 7 else (i % 977) / 1e6])
+def test_order_statistics_of_narrow_values(spark, value):
+    rows = [(i % 2, value(i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r["k"]: r["median"] for r in d.medians(df, ["k"], "v").collect()}
+    for k in (0, 1):
+        assert got[k] == statistics.median(v for key, v in rows if key == k)
+
+
+def test_one_slot_of_a_narrow_key_is_sorted_alone(spark):
+    df = spark.range(20_000).selectExpr("1 AS k", "1700000000000 + id * 130 AS v")
+    plan = d.medians(df, ["k"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert any("__s" in line for line in plan.splitlines() if "Window" in line)
+
+
+def test_windows_of_sparse_keys(spark):
+    df = spark.range(2000).selectExpr("id * 4611686018427387 AS k")
+    got = preflight.key_windows(df, "k", 100).collect()
+    assert len(got) == 20 and {r["rows"] for r in got} == {100}
+    with pytest.raises(ValueError, match="whole number"):
+        preflight.key_windows(df.selectExpr("string(k) AS k"), "k", 100)
+
+
+def test_walks_of_any_depth_and_cycles(spark):
+    links = spark.createDataFrame([(1, i, i + 1) for i in range(40)] + [(1, 40, 38), (1, 5, 5)],
+                                  "db_id int, node int, next int")
+    start = spark.createDataFrame([(1, "r", 0), (1, "s", 39)], "db_id int, root string, node int")
+    got = {(r["root"], r["node"]): r["depth"]
+           for r in recursion.descend(start, links, ["db_id"], ["root"]).collect()}
+    assert got == {("r", i): i for i in range(41)} | {("s", 39): 0, ("s", 40): 1, ("s", 38): 2}
+
+
+def test_factor_falls_back_to_all_probes(spark):
+    case, where = tables.COMPARABLE_PROBES[0]
+    readings = spark.createDataFrame(
+        [("p", case, where, 5, 50), ("p", "other", "t", 5, 300), ("q", case, where, 6, 50)],
+        "pass_id string, case_id string, table string, at_s int, today_ms int")
+    reference = spark.createDataFrame([("other", "t", 100), (case, where, None)],
+                                      "case_id string, table string, reference_ms int")
+    got = {r["pass_id"]: r["factor"]
+           for r in evaluate.comparable_factors(readings, reference).collect()}
+    assert got == {"p": 3.0, "q": 1.0}
 
 
 def test_medians_match_python(hot):
