@@ -220,17 +220,18 @@ def exclusion_conflicts(spark, sf):
 
 
 @query("attach_partition_check", """
-SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0 AND NOT coalesce(
+SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND NOT coalesce(
           o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1999-01-01', false))
          AS outside,
-       (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 1 AND
+       (SELECT count(*) FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F' AND
           o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1999-01-01')
          AS in_default""")
 def attach_partition_check(spark, sf):
     orders = table(spark, sf, "orders")
     lo, hi = (F.lit(d).cast("timestamp_ntz") for d in ("1995-01-01", "1999-01-01"))
-    return pf.attach_check(orders.filter("o_orderkey % 3 = 0"),
-                           orders.filter("o_orderkey % 3 = 1"), "o_orderdate", lo, hi)
+    attached = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    return pf.attach_check(orders.filter(attached), orders.filter(~attached), "o_orderdate",
+                           lo, hi)
 
 
 @query("update_from_preview", """

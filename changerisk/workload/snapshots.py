@@ -136,7 +136,6 @@ WITH RECURSIVE e AS (SELECT c_custkey AS child, c_custkey // 4 AS parent,
                             CAST(floor(c_acctbal) AS BIGINT) AS size FROM customer
                      WHERE c_custkey > 0),
 walk AS (SELECT c_custkey AS root, c_custkey AS node, 0 AS depth FROM customer
-         WHERE c_custkey < 40
          UNION ALL SELECT w.root, e.child, w.depth + 1 FROM walk w JOIN e ON e.parent = w.node)
 SELECT w.root, count(e.child) AS partitions, CAST(coalesce(sum(e.size), 0) AS BIGINT) AS total_bytes
 FROM walk w LEFT JOIN e ON e.child = w.node AND w.depth > 0 GROUP BY w.root""")
@@ -147,7 +146,7 @@ def partition_totals(spark, sf):
         one, key.alias("inhrelid"), (key / 4).cast("bigint").alias("inhparent"))
     sizes = c.select(one, key.alias("oid"), F.floor("c_acctbal").cast("bigint").alias(
         "total_bytes"))
-    roots = c.filter("c_custkey < 40").select(one, key.alias("oid"))
+    roots = c.select(one, key.alias("oid"))
     return cg.partition_totals(roots, inherits, sizes).drop("db_id")
 
 
