@@ -157,6 +157,8 @@ def assess(statements: DataFrame, snapshot: Snapshot | None = None, *,
     rule_table = seeds.rules(spark) if rule_table is None else rule_table
     rates = du.RateTable() if rates is None else rates
     online = snapshot is not None
+    # Tagging is costly, and file state, baseline and parts all read its result.
+    statements = cut_lineage(statements)
     units = resolve_units(statements, rule_table, pg_version,
                           snapshot.servers if online else None)
     units = units.withColumn("size_relation", verdict.duration_relation())
