@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from changerisk.session import checkpoint_dir
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables of one operator run.
 
@@ -26,7 +29,13 @@ class Scratch:
     def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
         self._count += 1
         path = f"{self._root}/{self._count}"
-        df.write.parquet(path, compression="zstd")
+        # The shuffle files of a written table serve nobody any more.
+        before = self._spark.conf.get(_CLEANUP, "false")
+        self._spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path, compression="zstd")
+        finally:
+            self._spark.conf.set(_CLEANUP, before)
         return self._spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:
