@@ -1,27 +1,29 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its distinct five-word shingles (fewer words: the whole
-line), as hashes that begin with a rarity class, so that sorting a line's
-tokens puts rare ones first. Two lines with Jaccard similarity t or more share
-a token among the first ``n - ceil(t * n) + 1`` of each. Only tokens that two
-different lines have there lead to candidates, which must pass the length and
-the positional filter and are then verified on all tokens.
+A line's tokens are the 64-bit hashes of its distinct five-word shingles (fewer
+words: of the whole line). Under any order of tokens, two lines with Jaccard
+similarity t or more share k of the first ``n - ceil(t * n) + k`` tokens of
+each, or all that must agree if these are fewer. A first prefix, by hash, leaves
+the lines that share so many tokens at all; among these tokens are ordered by
+their exact rarity. Candidates must pass the length and the positional filter
+and are then verified on all tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changerisk.llm.columns import constants, own_name
 from changerisk.llm.scratch import Scratch
 
 SHINGLE = 5
 #: Similarity from which a line goes: 4/5.
 SIMILARITY = (4, 5)
-#: Words are counted in this many buckets; a bucket's count bounds that of its words.
-RARITY_BUCKETS = 1 << 16
+#: Tokens that two similar lines share in prefixes that are as many less one longer.
+SHARED = 4
 #: Words of the bit map that stands for the lines with a shared token.
 FILTER_LONGS = 1 << 16
 #: Lines of a posting that one row compares with a line.
@@ -30,58 +32,22 @@ BLOCK = 64
 
 def line_words(line: Column) -> Column:
     """Words of a line: runs of anything but space and the control characters 9 to 13."""
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), "")
+    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
-def is_blank(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\x0b\f\r", "    ")) == ""
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _literal(values: list[int], kind: str) -> Column:
-    """A short list as one constant of the plan."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+def line_tokens(words: Column) -> Column:
+    """Sorted distinct 64-bit hashes of the shingles; fewer words make one token."""
+    def spread(ws: Column) -> Column:
+        return F.when(F.size(ws) < SHINGLE, F.array(F.xxhash64(ws))).otherwise(F.transform(
+            F.sequence(F.lit(0), F.size(ws) - SHINGLE),
+            lambda i: F.xxhash64(*[F.get(ws, i + k if k else i) for k in range(SHINGLE)])))
 
-
-def rarity_classes(docs: DataFrame, text: str) -> list[int]:
-    """For every bucket of words the logarithm of its count: RARITY_BUCKETS numbers at any size."""
-    words = docs.select(F.explode(line_words(F.translate(F.col(text), "\n", " "))).alias("w"))
-    counted = (words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).alias("b"))
-               .agg(F.count(F.lit(1)).alias("n")).collect())
-    classes = [0] * RARITY_BUCKETS
-    for b, n in counted:
-        classes[b] = min(31, n.bit_length())
-    return classes
-
-
-def line_tokens(words: Column, classes: list[int]) -> Column:
-    """Sorted distinct tokens: six bits of rarity class, then 57 of the shingle's hash.
-
-    A shingle is as rare as its rarest word.
-    """
-    known = _literal(classes, "long")
-
-    def rated(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.element_at(known, (h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)) + 1).cast("int"))
-        return F.shiftleft(rank, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-
-    def shingle(parts: list[Column]) -> Column:
-        rarest = F.least(*parts)
-        return (F.shiftleft(F.shiftrightunsigned(rarest, 57), 57)
-                .bitwiseOR(F.shiftrightunsigned(F.xxhash64(*parts), 7)))
-
-    def short(h: Column) -> Column:
-        return (F.shiftleft(F.shiftrightunsigned(F.array_min(h), 57), 57)
-                .bitwiseOR(F.shiftrightunsigned(F.xxhash64(h), 7)))
-
-    def spread(h: Column) -> Column:
-        return F.when(F.size(h) < SHINGLE, F.array(short(h))).otherwise(
-            F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE),
-                        lambda i: shingle([F.get(h, i + k) for k in range(SHINGLE)])))
-
-    # One lambda over a one-element array keeps the hashed words from being computed per use.
-    held = F.transform(F.array(F.transform(words, rated)), spread)
-    return F.sort_array(F.array_distinct(F.element_at(held, 1)))
+    # One lambda over a one-element array keeps the words from being computed per use.
+    return F.sort_array(F.array_distinct(F.element_at(F.transform(F.array(words), spread), 1)))
 
 
 def _fits(a: str, b: str, ratio: tuple[int, int]) -> Column:
@@ -103,12 +69,12 @@ def _similar(a: Column, b: Column, ratio: tuple[int, int]) -> Column:
 class LineJoin:
     """The tables of one join over the lines of ``docs(key, text)``.
 
-    ``lines``: one row per occurrence of a line with words: ``(key, pos, cls,
-    cls2)``; ``first``: the first occurrence of every class of equal lines;
-    ``matches``: ``(key, pos, match_key, match_pos)``, for every first
+    ``first``: the first occurrence ``(key, pos)`` of every class of equal
+    lines; ``matches``: ``(key, pos, match_key, match_pos)``, for every first
     occurrence that is similar to an earlier one, one such. The order is by
     key (null first), a hash of the text, and line number; rows with equal key
-    and text share their lines' fate.
+    and text share their lines' fate. Lines without words are left out. Classes
+    are told apart by 128 bits of hash, tokens by 64.
     """
 
     def __init__(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text",
@@ -116,74 +82,68 @@ class LineJoin:
         self.scratch = Scratch(docs.sparkSession)
         self.ratio = ratio
         self.docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        self.lines = self._lines(lambda words: [])
-        occurrences = self.lines.groupBy("cls", "cls2").agg(F.min(F.struct("key", "pos")).alias("f"))
-        self.first, _ = self.scratch.keep(occurrences.select("cls", "cls2", "f.*"))
+        lines = self._lines().select("cls", F.xxhash64(F.lit(1), "line").alias("cls2"),
+                                     F.struct("key", "pos").alias("f"))
+        self.first, _ = self.scratch.keep(
+            lines.groupBy("cls", "cls2").agg(F.min("f").alias("f")).select("cls", "cls2", "f.*"))
         self.matches, _ = self.scratch.keep(self._matches())
 
-    def _lines(self, more: Callable[[Column], list[Column]]) -> DataFrame:
-        """All occurrences of lines with words, and ``more`` columns made from the words."""
+    def _lines(self) -> DataFrame:
+        """All occurrences of lines with words: ``(key, pos, line, cls)``."""
         return (
             self.docs.select("key", position(F.col("text")).alias("th"),
-                             F.posexplode(F.split("text", "\n")))
-            .where(~is_blank(F.col("col")))
-            .select("key", (F.col("th") + F.col("pos")).alias("pos"),
-                    line_words(F.col("col")).alias("words"))
-            .select("key", "pos", F.xxhash64("words").alias("cls"),
-                    F.xxhash64(F.lit(1), "words").alias("cls2"), *more(F.col("words"))))
+                             F.posexplode(F.split("text", "\n")).alias("at", "line"))
+            .where(has_word(F.col("line")))
+            .select("key", (F.col("th") + F.col("at")).alias("pos"), "line",
+                    F.xxhash64("line").alias("cls")))
 
     def _matches(self) -> DataFrame:
         num, den = self.ratio
-        classes = rarity_classes(self.docs, "text")
+        tokens_of = line_tokens(line_words(F.col("line"))).alias("tokens")
 
-        def with_tokens(words: Column) -> list[Column]:
-            return [line_tokens(words, classes).alias("tokens")]
-
-        # Tokens of all prefixes; one shuffle serves the count and the join back.
+        # A prefix under any fixed order finds all pairs, so the first one, over
+        # all lines, is by hash: only lines that share SHARED tokens of it go on,
+        # and among these rarity is counted exactly. One shuffle serves the count
+        # and the join back: both read the same columns, so Spark reuses it.
         n = F.size("tokens")
+        least = F.expr(f"(size(tokens) * {num} + {den - 1}) div {den}").cast("int")
         prefix = (
-            self._lines(with_tokens)
-            .select("cls", "cls2", n.cast("long").alias("n"), F.posexplode(F.slice(
-                "tokens", 1, n - F.expr(f"(size(tokens) * {num} + {den - 1}) div {den}")
-                .cast("int") + 1)).alias("i", "token"))
-            .select("token", "cls", "cls2", F.shiftleft("n", 32).bitwiseOR(F.col("i")).alias("ni"))
+            self._lines().select("cls", tokens_of)
+            .select("cls", F.least(F.lit(SHARED), least).alias("need"), "tokens")
+            .select("cls", "need", F.explode(F.slice("tokens", 1, n - least + F.col("need")))
+                    .alias("token"))
+            .where("token is not null and cls is not null and need is not null")
             .repartition("token"))
-        shared = (prefix.groupBy("token")
-                  .agg(F.min("cls").alias("a"), F.max("cls").alias("b"),
-                       F.min("cls2").alias("c"), F.max("cls2").alias("d"))
-                  .where("a <> b or c <> d").select("token"))
+        shared = (prefix.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b"),
+                                              F.max("need").alias("need"))
+                  .where("a <> b and need > 0").select("token"))
         members, _ = self.scratch.keep(
             prefix.join(shared.hint("shuffle_hash"), "token")
-            .groupBy("token", "cls", "cls2", "ni").agg(F.lit(1).alias("one"))
-            .select("token", "cls", "cls2", F.shiftright("ni", 32).cast("int").alias("n"),
-                    F.col("ni").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("i")))
+            .groupBy("token", "cls").agg(F.max("need").alias("need"))
+            .groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+            .where("n >= need").select("cls"))
 
         # Whole token lists of those lines alone: a bit map of fixed size lets
         # hardly any other line through, the join after it none.
         bits = FILTER_LONGS * 64 - 1
-        place = F.xxhash64("cls", "cls2").bitwiseAND(F.lit(bits))
+        place = F.col("cls").bitwiseAND(F.lit(bits))
         longs = [0] * FILTER_LONGS
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-        for r in (members.select("cls", "cls2").distinct()
-                  .groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("bits"))
+        for r in (members.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("bits"))
                   .collect()):
             longs[r["w"]] = r["bits"]
-        marked = F.get(_literal(longs, "long"), F.shiftright(place, 6).cast("int"))
+        marked = F.get(constants(longs, "long"), F.shiftright(place, 6).cast("int"))
         passed = (F.call_function("shiftrightunsigned", marked, (place % 64).cast("int"))
                   .bitwiseAND(F.lit(1)) == 1)
-        line = F.struct("key", "pos").alias("line")
-        wanted = (members.select("cls", "cls2").distinct().join(self.first, ["cls", "cls2"])
-                  .select("cls", "cls2", line))
-        near = (self._lines(lambda words: [words.alias("words")]).where(passed)
-                .select("cls", "cls2", line, "words").join(wanted, ["cls", "cls2", "line"])
-                .select("cls", "cls2", "line",
-                        line_tokens(F.col("words"), classes).alias("tokens"))
-                .dropDuplicates(["cls", "cls2"]))
-        lists, _ = self.scratch.keep(near)
-        placed, _ = self.scratch.keep(
-            members.join(lists.select("cls", "cls2", "line"), ["cls", "cls2"])
-            .select("token", "line", "n", "i"))
-        tokens = lists.select("line", "tokens")
+        spot = F.struct("key", "pos").alias("spot")
+        wanted = members.join(self.first, "cls").select("cls", spot)
+        lists, _ = self.scratch.keep(
+            self._lines().where(passed).select("cls", spot, "line").join(wanted, ["cls", "spot"])
+            .dropDuplicates(["cls", "spot"]).select("cls", "spot", tokens_of))
+        placed, _ = self.scratch.keep(self._prefixes(lists))
+        tokens, _ = self.scratch.keep(
+            lists.select(F.col("spot").alias("line"), "tokens")
+            .join(placed.select("line").distinct(), "line", "left_semi"))
 
         # First the earliest line of every posting against the others: of copies
         # with small changes nearly all go here, by as many comparisons as members.
@@ -230,12 +190,31 @@ class LineJoin:
         return found.unionByName(more).select(
             "line.*", F.col("match.key").alias("match_key"), F.col("match.pos").alias("match_pos"))
 
-    def kept(self) -> DataFrame:
-        """Occurrences ``(key, pos)`` that stay, of lines with words."""
-        return self.first.select("key", "pos").join(
-            self.matches.select("key", "pos"),
-            self.first["key"].eqNullSafe(self.matches["key"])
-            & (self.first["pos"] == self.matches["pos"]), "left_anti")
+    def _prefixes(self, lists: DataFrame) -> DataFrame:
+        """Postings ``(token, line, n, i)`` of the lines that can still have a match.
+
+        Among these lines rarity is exact: tokens are counted, and those of one
+        line alone are known. A line needs ``t * n`` tokens that others have,
+        too; its prefix begins with those that none has.
+        """
+        num, den = self.ratio
+        spread = (lists.select("cls", F.size("tokens").alias("n"), F.explode("tokens")
+                               .alias("token"))
+                  .where("token is not null and cls is not null and n is not null")
+                  .repartition("token"))
+        often = (spread.groupBy("token").agg(F.count(F.lit(1)).alias("df"),
+                                             F.max("cls").alias("cls"), F.max("n").alias("n"))
+                 .where("df > 1 and cls is not null and n > 0").select("token", "df"))
+        of_line = Window.partitionBy("cls")
+        least = F.expr(f"(n * {num} + {den - 1}) div {den}").cast("int")
+        ranked = (
+            spread.join(often.hint("shuffle_hash"), "token")
+            .withColumn("r", F.count(F.lit(1)).over(of_line).cast("int"))
+            .withColumn("at", F.row_number().over(of_line.orderBy("df", "token")))
+            .where((F.col("r") >= least) & (F.col("at") <= F.col("r") - least + 1)))
+        return (ranked.join(lists.select("cls", F.col("spot").alias("line")), "cls")
+                .select("token", "line", "n", (F.col("n") - F.col("r") + F.col("at") - 1)
+                        .alias("i")))
 
 
 def position(text: Column) -> Column:
@@ -247,51 +226,43 @@ def remove_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                  ratio: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``docs`` with later matches of lines removed, and four counts.
 
-    A line goes if an earlier line of the table has the same words, or a token
-    set with Jaccard similarity ``ratio`` or more; whether that one stays
-    itself makes no difference. Lines without words always stay. Adds
-    ``n_lines``, ``n_kept``, ``n_equal`` (gone because equal) and ``n_similar``
-    (gone because similar only). Names of the input that clash with these are
-    an error. A null text stays null with counts 0, an empty one has one line.
-    Documents that lose all lines stay, with an empty text. Order and the fate
-    of repeated rows are those of ``LineJoin``. An empty table gives an empty one.
+    A line goes if an earlier line of the table equals it, or has a token set
+    with Jaccard similarity ``ratio`` or more; whether that one stays itself
+    makes no difference. Lines without words always stay. Adds ``n_lines``,
+    ``n_kept``, ``n_equal`` (gone because equal) and ``n_similar`` (gone because
+    similar only); if the input has such a name already, the new column gets
+    ``_1`` after it. A null text stays null with counts 0, an empty one has one
+    line. Documents that lose all lines stay, with an empty text. Order and the
+    fate of repeated rows are those of ``LineJoin``. An empty table gives an
+    empty one.
     """
-    clash = {"n_lines", "n_kept", "n_equal", "n_similar"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns in use: {sorted(clash)}")
     join = LineJoin(docs, key=key, text=text, ratio=ratio)
-    near = join.matches.select("key", "pos", F.lit(True).alias("near"))
+    near = join.matches.select(F.struct("key", "pos").alias("spot"), F.lit(True).alias("near"))
+    line_no = F.col("spot.pos").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     firsts = (
-        join.first.select(F.col("key"), F.col("pos"))
-        .join(near.withColumnRenamed("key", "k").withColumnRenamed("pos", "p"),
-              F.col("key").eqNullSafe(F.col("k")) & (F.col("pos") == F.col("p")), "left")
-        .groupBy("key", F.shiftright("pos", 32).alias("th"))
-        .agg(F.collect_list(F.when(F.col("near").isNull(), F.col("pos")
-                                   .bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))).alias("stay"),
-             F.count("near").alias("n_similar"))
-        .withColumnRenamed("key", "__k").withColumnRenamed("th", "__t"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"),
-                       F.col(key).alias("__key"), F.col(text).alias("__text"),
-                       F.shiftright(position(F.col(text)), 32).alias("__th"))
+        join.first.select(F.struct("key", "pos").alias("spot")).join(near, "spot", "left")
+        .groupBy(F.col("spot.key").alias("__k"), F.shiftright("spot.pos", 32).alias("__t"))
+        .agg(F.collect_list(F.when(F.col("near").isNull(), line_no)).alias("__stay"),
+             F.count("near").alias("__similar")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text],
+                                F.lit(0).alias("__pad")).alias("__doc"),
+                       F.col(key).alias("__key"), F.col(text).alias("__text"))
     joined = rows.join(firsts, F.col("__key").eqNullSafe(F.col("__k"))
-                       & (F.col("__th") == F.col("__t")), "left")
-    all_lines = F.split("__text", "\n")
-    stay = F.coalesce("stay", F.array().cast("array<int>"))
-    flagged = F.transform(all_lines, lambda line, i: F.struct(
-        line.alias("line"), is_blank(line).alias("blank"),
-        F.array_contains(stay, i).alias("stays")))
-    counted = joined.withColumn("__lines", flagged)
-    kept = F.filter("__lines", lambda s: s["blank"] | s["stays"])
-    made = F.array_join(F.transform(kept, lambda s: s["line"]), "\n")
+                       & (F.shiftright(position(F.col("__text")), 32) == F.col("__t")), "left")
+    lines = joined.select(
+        "__doc", F.split("__text", "\n").alias("__lines"), "__similar",
+        F.coalesce("__stay", F.array().cast("array<int>")).alias("__stay"))
+    blank = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1),
+                     lambda i: ~has_word(F.get(F.col("__lines"), i)))
+    kept = lines.select("__doc", "__lines", "__similar",
+                        F.sort_array(F.array_union("__stay", blank)).alias("__kept"))
+    made = F.array_join(F.transform("__kept", lambda i: F.get(F.col("__lines"), i)), "\n")
     none = F.lit(0).cast("long")
-    done = counted.select(
-        "__doc", F.when(F.col("__text").isNotNull(), made).alias("__new"),
-        F.coalesce(F.size("__lines").cast("long"), none).alias("n_lines"),
-        F.coalesce(F.size(kept).cast("long"), none).alias("n_kept"),
-        F.coalesce("n_similar", none).alias("n_similar"))
-    counts = [F.when(F.col("__new").isNull(), 0).otherwise(c).cast("long").alias(name) for c, name in (
-        (F.col("n_lines"), "n_lines"), (F.col("n_kept"), "n_kept"),
-        (F.col("n_lines") - F.col("n_kept") - F.col("n_similar"), "n_equal"),
-        (F.col("n_similar"), "n_similar"))]
-    return done.select(*[F.col("__new").alias(c) if c == text else F.col(f"__doc.`{c}`")
-                         for c in docs.columns], *counts)
+    counts = {"n_lines": F.size("__lines").cast("long"), "n_kept": F.size("__kept").cast("long"),
+              "n_equal": F.size("__lines") - F.size("__kept") - F.coalesce("__similar", none),
+              "n_similar": F.coalesce("__similar", none)}
+    there = F.col("__lines").isNotNull()
+    return kept.select(
+        *[F.when(there, made).alias(c) if c == text else F.col(f"__doc.`{c}`").alias(c)
+          for c in docs.columns],
+        *[F.when(there, v).otherwise(none).alias(own_name(docs, c)) for c, v in counts.items()])
