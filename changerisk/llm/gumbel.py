@@ -22,6 +22,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ SPACE = "▁"
 #: Code of a space mark that stands in the text itself; no piece has it.
 LITERAL_MARK = 0x110000
 #: Code points worked on at once.
-CHARS = 1 << 20
+CHARS = 1 << 18
 _MASK = (1 << 64) - 1
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _BACK = pow(_A, -1, 1 << 64)
@@ -99,6 +100,28 @@ def _gumbel_below(mass: float, top: float, u: float) -> float:
     return mass - (high + math.log1p(math.exp(low - high)))
 
 
+class Decoder:
+    """The bytes of all pieces."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        texts = [bytes([int(p[1:-1], 16)]) if kind == "byte" else
+                 p.replace(SPACE, " ").encode() if kind == "piece" else b""
+                 for p, kind in vocabulary.pieces]
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of a sequence of ids; bytes that are no UTF-8 become replacement marks."""
+        ids = np.asarray(ids, dtype=np.int64)
+        if not ids.size:
+            return ""
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - n), n)
+        return self.bytes[at].tobytes().decode("utf-8", "replace")[1:]
+
+
 class Path:
     """A path of one text: node, edge and log probability of every step."""
 
@@ -139,9 +162,17 @@ class Sampler:
             ends[node] = i
         self.ends = np.array(ends, dtype=np.int64)
         self.longest = max((len(p) for p, _ in usable), default=1)
-        covered = np.zeros(LITERAL_MARK + 1, dtype=bool)
-        covered[[c for _, c in nodes]] = True
-        self.covered = covered
+        # Which code points stand next to each other in some piece: one bit for each pair.
+        known = sorted({c for _, c in nodes})
+        self.index = np.zeros(LITERAL_MARK + 1, dtype=np.int64)
+        self.index[known] = np.arange(1, len(known) + 1)
+        self.side = len(known) + 1
+        joined = np.zeros(self.side * self.side // 8 + 1, dtype=np.uint8)
+        pairs = np.array(sorted({int(self.index[ord(a)]) * self.side + int(self.index[ord(b)])
+                                 for p, _ in usable for a, b in zip(p, p[1:], strict=False)}),
+                         dtype=np.int64)
+        np.bitwise_or.at(joined, pairs >> 3, (1 << (pairs & 7)).astype(np.uint8))
+        self.joined = joined
         size = 1 << max(4, (4 * len(nodes)).bit_length())
         self.shift = np.uint64(64 - size.bit_length() + 1)
         self.keys = np.full(size + 64, -1, dtype=np.int64)
@@ -157,12 +188,6 @@ class Sampler:
         # One byte piece for each byte of a code point, each as likely as the least likely piece.
         self.least = float(weights[[i for _, i in usable]].min() - total) if usable else -10.0
         self.log_p = np.append(weights - total, self.least)
-        texts = [bytes([int(p[1:-1], 16)]) if kind == "byte" else
-                 p.replace(SPACE, " ").encode() if kind == "piece" else b""
-                 for p, kind in pieces]
-        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
 
     def _child(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Trie steps; 0 where there is none."""
@@ -204,15 +229,16 @@ class Sampler:
                 [seeds[j] for j in group], k)
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of a sequence of ids; bytes that are no UTF-8 become replacement marks."""
-        ids = np.asarray(ids, dtype=np.int64)
-        if not ids.size:
-            return ""
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - n), n)
-        return self.bytes[at].tobytes().decode("utf-8", "replace")[1:]
+
+@lru_cache(maxsize=1)
+def _sampler(vocabulary: Vocabulary) -> Sampler:
+    """Built once in a worker, whatever the number of its tasks."""
+    return Sampler(vocabulary)
+
+
+@lru_cache(maxsize=1)
+def _decoder(vocabulary: Vocabulary) -> Decoder:
+    return Decoder(vocabulary)
 
 
 class _Lattice:
@@ -229,13 +255,12 @@ class _Lattice:
             self._edges(alpha)
 
     def _stretches(self) -> None:
-        """Cuts before a run of spaces and around code points that no piece has."""
+        """Cuts between code points that no piece has next to each other."""
         code = self.code
-        bare = ~self.s.covered[code]
-        mark = code == ord(SPACE)
-        begin = bare | mark
-        begin[1:] &= bare[1:] | ~mark[:-1]
-        begin[1:] |= bare[:-1]
+        index = self.s.index[code]
+        pair = index[:-1] * self.s.side + index[1:]
+        begin = np.ones(code.size, dtype=bool)
+        begin[1:] = (self.s.joined[pair >> 3] >> (pair & 7).astype(np.uint8)) & 1 == 0
         begin[self.first[:-1][self.sizes > 0]] = True
         self.begin = np.flatnonzero(begin)
         length = np.diff(np.append(self.begin, code.size))
@@ -313,6 +338,7 @@ class _Lattice:
             if a < b:
                 value = weight_[a:b] + beta[to[a:b]]
                 beta[from_[heads[c:d]]] = np.logaddexp.reduceat(value, heads[c:d] - a)
+        del by_left, to, from_, weight_, order, left
         self.log_q = weight + beta[self.to] - beta[start]
         self.low = np.zeros(beta.size, dtype=np.int64)
         self.high = np.zeros(beta.size, dtype=np.int64)
@@ -408,6 +434,15 @@ class _Lattice:
                 sets = [*rest, ("leave", new, t + 1, new.edge.size)]
                 for number, s in enumerate(sets):
                     self._push(queue[r], seeds[r], top, s, round_ * 8 + number)
+        paths = [p for r in rows for p, _ in found[r]]
+        spelled: dict[int, np.ndarray] = {}
+        if paths:
+            ends = np.cumsum([p.edge.size for p in paths]).tolist()
+            starts = [0, *ends[:-1]]
+            ids = self.id_of[np.concatenate([p.edge for p in paths])].astype(np.int32)
+            spelled = {id(p): self._ids(p) if bare else ids[a:b] for p, bare, a, b in
+                       zip(paths, np.logical_or.reduceat(ids < 0, starts), starts, ends,
+                           strict=True)}
         out = []
         for r in range(self.sizes.size):
             if not self.sizes[r]:
@@ -415,7 +450,7 @@ class _Lattice:
                              -math.log(-math.log(_uniform(seeds[r], 1, 0))), 1.0)])
                 continue
             bar = -queue[r][0][0] if queue[r] else -math.inf
-            out.append([(self._ids(p), min(0.0, float(p.cum[-1])), g,
+            out.append([(spelled[id(p)], min(0.0, float(p.cum[-1])), g,
                          -math.expm1(-math.exp(min(700.0, float(p.cum[-1]) - bar)))
                          if bar > -math.inf else 1.0) for p, g in found[r]])
         return out
@@ -471,9 +506,6 @@ class _Lattice:
 
     def _ids(self, path: Path) -> np.ndarray:
         """Piece ids, code points without a piece as the ids of their bytes."""
-        ids = self.id_of[path.edge]
-        if (ids >= 0).all():
-            return ids.astype(np.int32)
         ids = self.piece[path.edge]
         bare = ids < 0
         code = self.code[path.at]
@@ -527,7 +559,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(sent.value)
+        sampler = _sampler(sent.value)
         for batch in batches:
             texts = batch.column("__text")
             seeds = batch.column("__seed").to_pylist()
@@ -572,13 +604,13 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids",
     sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(sent.value)
+        decoder = _decoder(sent.value)
         for batch in batches:
             column = batch.column(ids)
             values = column.values.to_numpy(zero_copy_only=False)
             offsets = column.offsets.to_numpy()
             known = column.is_valid().to_pylist()
-            texts = [sampler.decode(values[a:b]) if ok else None for a, b, ok in
+            texts = [decoder.decode(values[a:b]) if ok else None for a, b, ok in
                      zip(offsets[:-1], offsets[1:], known, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
