@@ -16,10 +16,12 @@ from changerisk.functions.volatility import unknown_functions, volatility_name,
 from changerisk.seeds import literal_map, tables
 from changerisk.seeds.forms import action_rows, form_rows
 
-# One lexical token: quoted text, a comment, a semicolon, or a run of the rest.
+# One lexical token: quoted text, a comment, a semicolon, the body of a function from BEGIN
+# ATOMIC to the END after a semicolon, or a run of the rest, which stops where a body may begin.
 # No alternative loops over alternatives, so long scripts do not nest matches.
 _TOKEN = (r"(?s)(?<=\W[eE])'[^'\\]*+(?:\\.[^'\\]*+)*+'|'[^']*+'?|\"[^\"]*+\"?|--[^\n]*+"
-          r"|/\*.*?\*/|(\$(?:[A-Za-z_]\w*+)?\$).*?\1|;|[^;'\"$/-]++|.")
+          r"|/\*.*?\*/|(\$(?:[A-Za-z_]\w*+)?\$).*?\1|;"
+          r"|(?i:\bBEGIN\s+ATOMIC\b(?:\s*END\b|.*?;\s*END\b))|[^;'\"$/bB-]++|.")
 _CUT = "\u0001"
 IDENT = r'(?:"(?:[^"]|"")+"|[A-Za-z_][\w$]*)'
 NAME = rf"({IDENT}(?:\.{IDENT})*)"
