@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changerisk.llm.columns import constants, own_name
+from changerisk.llm.columns import own_name
 from changerisk.llm.scratch import Scratch
 
 SHINGLE = 5
@@ -123,22 +123,20 @@ class LineJoin:
             .groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
             .where("n >= need").select("cls"))
 
-        # Whole token lists of those lines alone: a bit map of fixed size lets
-        # hardly any other line through, the join after it none.
-        bits = FILTER_LONGS * 64 - 1
-        place = F.col("cls").bitwiseAND(F.lit(bits))
-        longs = [0] * FILTER_LONGS
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-        for r in (members.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("bits"))
-                  .collect()):
-            longs[r["w"]] = r["bits"]
-        marked = F.get(constants(longs, "long"), F.shiftright(place, 6).cast("int"))
-        passed = (F.call_function("shiftrightunsigned", marked, (place % 64).cast("int"))
-                  .bitwiseAND(F.lit(1)) == 1)
+        # Whole token lists of those lines alone: a bit map of fixed size, at most
+        # FILTER_LONGS rows, lets hardly any other line through, the join after it none.
+        place = F.col("cls").bitwiseAND(F.lit(FILTER_LONGS * 64 - 1))
+        word, bit = F.shiftright(place, 6), (place % 64).cast("int")
+        bits = members.groupBy(word.alias("word")).agg(F.bit_or(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+        passed = F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(
+            F.lit(1)) == 1
+        marked = (self._lines().withColumn("word", word).join(F.broadcast(bits), "word")
+                  .where(passed))
         spot = F.struct("key", "pos").alias("spot")
         wanted = members.join(self.first, "cls").select("cls", spot)
         lists, _ = self.scratch.keep(
-            self._lines().where(passed).select("cls", spot, "line").join(wanted, ["cls", "spot"])
+            marked.select("cls", spot, "line").join(wanted, ["cls", "spot"])
             .dropDuplicates(["cls", "spot"]).select("cls", "spot", tokens_of))
         placed, _ = self.scratch.keep(self._prefixes(lists))
         tokens, _ = self.scratch.keep(
