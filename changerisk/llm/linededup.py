@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changerisk.llm.columns import own_name
+from changerisk.llm.components import components
 from changerisk.llm.scratch import Scratch
 
 SHINGLE = 5
@@ -26,6 +27,7 @@ SIMILARITY = (4, 5)
 SHARED = 4
 #: Words of the bit map that stands for the lines with a shared token.
 FILTER_LONGS = 1 << 16
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lines of a posting that one row compares with a line.
 BLOCK = 64
 
@@ -39,12 +41,12 @@ def has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def line_tokens(words: Column) -> Column:
+def line_tokens(words: Column, shingle: int = SHINGLE) -> Column:
     """Sorted distinct 64-bit hashes of the shingles; fewer words make one token."""
     def spread(ws: Column) -> Column:
-        return F.when(F.size(ws) < SHINGLE, F.array(F.xxhash64(ws))).otherwise(F.transform(
-            F.sequence(F.lit(0), F.size(ws) - SHINGLE),
-            lambda i: F.xxhash64(*[F.get(ws, i + k if k else i) for k in range(SHINGLE)])))
+        return F.when(F.size(ws) < shingle, F.array(F.xxhash64(ws))).otherwise(F.transform(
+            F.sequence(F.lit(0), F.size(ws) - shingle),
+            lambda i: F.xxhash64(*[F.get(ws, i + k if k else i) for k in range(shingle)])))
 
     # One lambda over a one-element array keeps the words from being computed per use.
     return F.sort_array(F.array_distinct(F.element_at(F.transform(F.array(words), spread), 1)))
@@ -78,9 +80,9 @@ class LineJoin:
     """
 
     def __init__(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text",
-                 ratio: tuple[int, int] = SIMILARITY):
+                 ratio: tuple[int, int] = SIMILARITY, shingle: int = SHINGLE):
         self.scratch = Scratch(docs.sparkSession)
-        self.ratio = ratio
+        self.ratio, self.shingle = ratio, shingle
         self.docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
         lines = self._lines().select("cls", F.xxhash64(F.lit(1), "line").alias("cls2"),
                                      F.struct("key", "pos").alias("f"))
@@ -97,9 +99,10 @@ class LineJoin:
             .select("key", (F.col("th") + F.col("at")).alias("pos"), "line",
                     F.xxhash64("line").alias("cls")))
 
-    def _matches(self) -> DataFrame:
+    def _postings(self) -> tuple[DataFrame, DataFrame]:
+        """``_prefixes`` of the lines that share enough tokens, and ``(line, tokens)`` of these."""
         num, den = self.ratio
-        tokens_of = line_tokens(line_words(F.col("line"))).alias("tokens")
+        tokens_of = line_tokens(line_words(F.col("line")), self.shingle).alias("tokens")
 
         # A prefix under any fixed order finds all pairs, so the first one, over
         # all lines, is by hash: only lines that share SHARED tokens of it go on,
@@ -142,20 +145,35 @@ class LineJoin:
         tokens, _ = self.scratch.keep(
             lists.select(F.col("spot").alias("line"), "tokens")
             .join(placed.select("line").distinct(), "line", "left_semi"))
+        return placed, tokens
 
-        # First the earliest line of every posting against the others: of copies
-        # with small changes nearly all go here, by as many comparisons as members.
+    def _verified(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+        """Those of ``pairs(line, match)`` that are similar by all tokens."""
+        return (
+            pairs.join(tokens, "line")
+            .join(tokens.select(F.col("line").alias("match"), F.col("tokens").alias("others")),
+                  "match")
+            .where(_similar(F.col("tokens"), F.col("others"), self.ratio))
+            .select("line", "match"))
+
+    def _with_earliest(self, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The earliest line of every posting, and it paired with the others that may match."""
         earliest = placed.groupBy("token").agg(
             F.min(F.struct("line", "n", "i")).alias("p"), F.count(F.lit(1)).alias("members"))
         pairs = (placed.alias("x").join(earliest.select("token", "p.*").alias("p"), "token")
                  .where((F.col("x.line") > F.col("p.line")) & _fits("x", "p", self.ratio))
                  .select(F.col("x.line").alias("line"), F.col("p.line").alias("match")).distinct())
-        found, _ = self.scratch.keep(
-            pairs.join(tokens, "line")
-            .join(tokens.select(F.col("line").alias("match"), F.col("tokens").alias("others")),
-                  "match")
-            .where(_similar(F.col("tokens"), F.col("others"), self.ratio))
-            .groupBy("line").agg(F.min("match").alias("match")))
+        return earliest, pairs
+
+    def _matches(self) -> DataFrame:
+        num, den = self.ratio
+        placed, tokens = self._postings()
+
+        # First the earliest line of every posting against the others: of copies
+        # with small changes nearly all go here, by as many comparisons as members.
+        earliest, pairs = self._with_earliest(placed)
+        found, _ = self.scratch.keep(self._verified(pairs, tokens)
+                                     .groupBy("line").agg(F.min("match").alias("match")))
 
         # Then each line still kept against all earlier ones but the first, a
         # posting's lines dealt into blocks by hash.
@@ -215,6 +233,58 @@ class LineJoin:
                         .alias("i")))
 
 
+class TextJoin(LineJoin):
+    """The same join over whole texts, each as one line: links instead of matches.
+
+    Words are those of a line, A-Z count as a-z. ``first`` has a row per class
+    of texts with equal words, ``matches`` links ``(a, b)`` between ``(key,
+    pos)`` of these, whose components are those over all similar pairs.
+    """
+
+    def _lines(self) -> DataFrame:
+        words = line_words(F.translate("text", UPPER, LOWER))
+        return (self.docs.select("key", position(F.col("text")).alias("pos"),
+                                 F.xxhash64("text").alias("tie"), F.array_join(words, " ").alias("line"))
+                .where("line <> ''").withColumn("cls", F.xxhash64("line")))
+
+    def _matches(self) -> DataFrame:
+        placed, tokens = self._postings()
+        earliest, pairs = self._with_earliest(placed)
+        found, _ = self.scratch.keep(self._verified(pairs, tokens))
+
+        # Of the others only those are paired that the earliest do not connect yet.
+        named, _ = self.scratch.keep(components(found.select(F.col("line").alias("a"),
+                                                             F.col("match").alias("b"))))
+        rest, _ = self.scratch.keep(
+            placed.join(earliest.where("members > 2").select(
+                "token", F.col("p.line").alias("pivot")), "token")
+            .where(F.col("line") != F.col("pivot"))
+            .join(named.withColumnRenamed("node", "line"), "line", "left")
+            .select("token", "line", "n", "i", F.coalesce("component", "line").alias("part")))
+        apart = rest.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")
+                                          ).where("lo <> hi").select("token")
+        rest = rest.join(apart, "token", "left_semi")
+        others = (rest.alias("x").join(rest.alias("y"), "token")
+                  .where((F.col("x.line") > F.col("y.line"))
+                         & (F.col("x.part") != F.col("y.part")) & _fits("x", "y", self.ratio))
+                  .select(F.col("x.line").alias("line"), F.col("y.line").alias("match"))
+                  .distinct())
+        return found.unionByName(self._verified(others, tokens)).select(
+            F.col("line").alias("a"), F.col("match").alias("b"))
+
+    def parts(self) -> DataFrame:
+        """``(cls, cls2, part)``: the component of every class, named by one of its spots."""
+        named = components(self.matches).withColumnRenamed("node", "spot")
+        spots = self.first.select("cls", "cls2", F.struct("key", "pos").alias("spot"))
+        return spots.join(named, "spot", "left").select(
+            "cls", "cls2", F.coalesce("component", "spot").alias("part"))
+
+    def classes(self) -> DataFrame:
+        """``(key, tie, cls, cls2)`` of every text with words; ``tie`` is a hash of the text."""
+        return self._lines().select("key", "tie", "cls",
+                                    F.xxhash64(F.lit(1), "line").alias("cls2"))
+
+
 def position(text: Column) -> Column:
     """Base of a text's line positions: 31 bits of its hash above 32 bits of line number."""
     return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)), 32)

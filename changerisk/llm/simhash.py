@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from changerisk.llm.columns import constants, own_name
 from changerisk.llm.components import components
+from changerisk.llm.linededup import TextJoin, has_word
 from changerisk.llm.scratch import Scratch, written
 
 BITS = 64
@@ -276,20 +277,27 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5,
-             distance: int = 4) -> DataFrame:
+             ratio: tuple[int, int] = (4, 5)) -> DataFrame:
     """``docs`` with one row of every component, columns as they are.
 
-    The row with the smallest key stays, null last; of rows with that key the
-    one with the smallest hash of its text, and one of repeated rows. A null
-    text counts as an empty one and stays null if its row stays.
+    Texts are linked if the Jaccard similarity of their ``words``-word shingles
+    is ``ratio`` or more, found exactly by a prefix join (``TextJoin``). Texts
+    without words, null ones among them, are one component. The row with the
+    smallest key stays, null last; of rows with that key the one with the
+    smallest hash of its text, and one of repeated rows. A null text counts as
+    an empty one and stays null if its row stays.
     """
     tie = F.xxhash64(text)
-    rows = written(fingerprints(docs.select(F.col(key).alias("key"), tie.alias("tie"),
-                                            F.col(text).alias("text")), words=words))
-    prints = written(rows.select("fp").distinct())
-    member = rows.join(_components(prints, distance), "fp")
+    join = TextJoin(docs, key=key, text=text, ratio=ratio, shingle=words)
     order = F.struct(F.col("key").isNull().alias("none"), "key", "tie")
-    chosen = written(member.groupBy("component").agg(F.min(order).alias("s")).select("s.*"))
+    rows = docs.select(F.col(key).alias("key"), tie.alias("tie"), F.col(text).alias("text"))
+    blank = ~F.coalesce(has_word(F.col("text")), F.lit(False))
+    silent = (rows.where(blank).groupBy().agg(F.min(order).alias("s"))
+              .where("s is not null").select("s.*"))
+    classes = join.classes().select("key", "tie", "cls", "cls2")
+    folded = classes.groupBy("cls", "cls2").agg(F.min(order).alias("s"))
+    chosen = written(folded.join(join.parts(), ["cls", "cls2"]).groupBy("part")
+                     .agg(F.min("s").alias("s")).select("s.*").unionByName(silent))
     stay = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), tie.alias("tie"))
     kept = docs.withColumn(own_name(docs, "stays"), stay)
     mark = kept.columns[-1]

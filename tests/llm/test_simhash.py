@@ -99,3 +99,33 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r["node"]: r["component"] for r in components(
         spark.createDataFrame(chain + star, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(400)} | {5000: 5000}
+
+
+def test_keep_one_like_brute_force_jaccard(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(14):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 30, 100, 400]))]
+        for _ in range(rng.choice([1, 2, 6])):
+            copy = list(words)
+            for _ in range(rng.choice([0, 1, 1, 2, 4, 9])):
+                copy[rng.randrange(len(copy))] = f"u{rng.randrange(9000)}"
+            texts.append(rng.choice([" ", "\n"]).join(copy))
+    # A chain: the ends resemble the middle, not each other.
+    base = [f"c{i}" for i in range(200)]
+    texts += [" ".join(base[k:k + 180]) for k in (0, 10, 20)]
+    # One replaced word in 100.
+    hundred = [f"h{i}" for i in range(100)]
+    texts += [" ".join(hundred), " ".join(hundred[:50] + ["other"] + hundred[51:])]
+    rng.shuffle(texts)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    want = sorted(set(reach(sets, near).values()))
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)),
+                                                 "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+    assert len(want) < len(texts)
