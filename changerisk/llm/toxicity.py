@@ -169,11 +169,23 @@ class Grammar:
                 out.append((low[begin:done].strip(), weight))
         return out
 
+    @staticmethod
+    def _parts(low: str, begin: int, end: int, hits: dict[int, tuple[float, bool]]
+               ) -> Iterator[tuple[str, int]]:
+        """Words and their places; one with a match after its apostrophe is two words."""
+        for m in _WORDS.finditer(low, begin, end):
+            w, at = m.group(), m.start()
+            cut = max(w.find("'"), w.find("’")) + 1
+            if cut and at + cut in hits:
+                yield w[:cut - 1], at
+                yield w[cut:], at + cut
+            else:
+                yield w, at
+
     def _weigh(self, low: str, begin: int, end: int, hits: dict[int, tuple[float, bool]]) -> float:
         tags, weights = [], []
-        for m in _WORDS.finditer(low, begin, end):
-            insult, threat = hits.get(m.start(), (0.0, False))
-            w = m.group()
+        for w, at in self._parts(low, begin, end, hits):
+            insult, threat = hits.get(at, (0.0, False))
             tags.append(INSULT if insult else THREAT if threat else NEGATION if w in NEGATIONS
                         else REPORT if w in REPORTS else TARGET if w in TARGETS else WORD)
             weights.append(insult or (self.threat if threat else 0.0))

@@ -71,3 +71,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
     for sample in (labels, labels.where("false")):
         g = toxicity.train(odd_docs, sample, F.lit(False))
         assert g.lexicon == {} and 0 <= g.score(0) <= 1
+
+
+@pytest.mark.parametrize("text", ["espèce d'idiot", "l’idiote, là"])
+def test_match_after_an_elision(text):
+    assert G.weight(text) == 3.0
+    assert G.score(G.weight(text)) > 0.5
+    assert G.weight("d'or") == 0
