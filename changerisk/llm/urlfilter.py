@@ -70,12 +70,26 @@ def address(url: Column) -> Column:
         .otherwise("")))
 
 
+def _beside(own: Column, target: Column) -> Column:
+    """Path and query of a relative target, ``.`` and ``..`` resolved against the page's folder."""
+    ahead = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_replace(path_of(own), "^/|[^/]*$", ""))
+    steps = F.split(F.concat(folder, ahead), "/")
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(
+        s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.concat(done, F.array(s))))
+    return F.when(ahead == "", F.concat(path_of(own), target)).otherwise(
+        F.concat(F.array_join(walked, "/"), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)))
+
+
 def page_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """Redirect and canonical-link edges ``(a, b)`` between addresses.
 
     Read from ``<link rel=canonical href=..>`` and ``<meta http-equiv=refresh
     content="..;url=..">``, attributes in any order, quoted or not. Targets
-    without a host are taken on the page's own host.
+    without a host are taken on the page's own host, those without a leading
+    slash in the page's own folder, a query alone on its path. Other schemes
+    (``mailto:``) and fragments alone give no edge.
     """
     def attribute(name: str) -> Column:
         value = r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
@@ -100,7 +114,9 @@ def page_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
     t = F.col("target")
     full = once(target, "full", F.when(t.contains("://"), t)
                 .when(t.startswith("//"), F.concat(F.lit("http:"), t))
-                .when(t.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("own")), t)),
+                .when(t.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("own")), t))
+                .when(~t.rlike(r"^(?:#|[A-Za-z][A-Za-z0-9+.\-]*:)"), F.concat(
+                    F.lit("http://"), host_of(F.col("own")), _beside(F.col("own"), t))),
                 "own").where("full is not null")
     ends = once(once(full, "a", address(F.col("own")), "full"), "b", address(F.col("full")), "a")
     return ends.where("a is not null and b is not null and a <> b").distinct()

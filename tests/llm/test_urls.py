@@ -56,3 +56,20 @@ def test_odd_tables(spark):
     assert got.columns == ["page_id", "url", "html", "host", "host_1", "path", "rule", "verdict"]
     assert [r["host_1"] for r in got.collect()] == ["", ""]
     assert urlfilter.filter_urls(pages.where(F.lit(False)), RULES).count() == 0
+
+
+def test_relative_targets(spark):
+    own = "http://a.org/x/de/7.html?q=1"
+    want = {"8.html": "a.org/x/de/8.html", "../de/8": "a.org/x/de/8", "./9": "a.org/x/de/9",
+            "../../../up/./z?k=../v": "a.org/up/z?k=../v", "?p=2": "a.org/x/de/7.html?p=2",
+            "/r": "a.org/r", "//b.org/c": "b.org/c", "mailto:x@y.z": None, "#top": None}
+    for target, node in want.items():
+        html = f'<link rel="canonical" href="{target}">'
+        pages = spark.createDataFrame([(own, html), ("http://a.org", "<p>canonical")],
+                                      "url string, html string")
+        got = [(r["a"], r["b"]) for r in urlfilter.page_links(pages).collect()]
+        assert got == ([] if node is None else [("a.org/x/de/7.html?q=1", node)]), target
+    root = spark.createDataFrame(
+        [("http://a.org", '<meta http-equiv=refresh content="0;url=n.html">')],
+        "url string, html string")
+    assert [r["b"] for r in urlfilter.page_links(root).collect()] == ["a.org/n.html"]
