@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changerisk.llm import (
+    alignment,
     ctph,
     gumbel,
     hilbert,
@@ -15,6 +16,8 @@ from changerisk.llm import (
     linededup,
     media,
     mixing,
+    negatives,
+    quality,
     simhash,
     toxicity,
     urlfilter,
@@ -259,3 +262,51 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         "log_prob", "perturbed", "inclusion",
         (F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of a byte-level and a piece vocabulary align in every document."""
+    return alignment.aligned_counts(
+        table(spark, sf_dir, "documents"), alignment.ByteBpe.load(alignment.BYTE_BPE),
+        alignment.PieceModel.load(alignment.PIECES), keep=["doc_id"])
+
+
+@query("op12_quality")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a regression learned from labelled ones not held out."""
+    return quality.train_and_score(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "labels"), held_out(F.col("doc_id")))
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+         CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT * FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+            AS INTEGER) AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+               AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every hundredth vector, between 0.3 and 0.9 times a positive's score."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.whole_vectors(table(spark, sf_dir, "embeddings"), key="vec_id",
+                                      vector="embedding", label=label)
+    return negatives.mine(vectors, F.col("id") % 100 == 0)
