@@ -162,28 +162,45 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Da
             .where("text is not null").select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y")))
 
 
-def _one_pass(dealt: DataFrame, state: Ftrl, turn: int) -> Ftrl:
+def _pack(group: pd.DataFrame) -> pd.DataFrame:
+    """A shard as one row of arrays, so that no pass has to deal it out again."""
+    sizes = [a.size for a in group["at"]]
+    return pd.DataFrame({
+        "key": [group["key"].to_numpy("<i8").tobytes()], "y": [group["y"].to_numpy("<i8").tobytes()],
+        "cuts": [np.cumsum([0, *sizes]).astype("<i8").tobytes()],
+        "at": [np.concatenate(group["at"].tolist()).astype("<i4").tobytes()],
+        "v": [np.concatenate(group["v"].tolist()).astype("<f4").tobytes()]})
+
+
+def order_of(key: np.ndarray, turn: int) -> np.ndarray:
+    """Order in which a pass goes through texts; ``key`` are hashes of their ids."""
+    return np.argsort((key ^ np.uint64(turn)) * _MIX, kind="stable")
+
+
+def _one_pass(packed: DataFrame, state: Ftrl, turn: int) -> Ftrl:
     """The average of the sums that every shard reaches from ``state``."""
-    sent = dealt.sparkSession.sparkContext.broadcast(state)
+    sent = packed.sparkSession.sparkContext.broadcast(state)
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         start = sent.value
-        own = Ftrl(start.z.copy(), start.n.copy())
-        order = sorted((xxhash.xxh64_intdigest(f"{turn} {d}"), i)
-                       for i, d in enumerate(group["doc_id"]))
-        at, v, y = (group[c].to_numpy() for c in ("at", "v", "y"))
-        for _, i in order:
-            own.update(at[i], v[i].astype(np.float64), float(y[i]))
-        moved = np.flatnonzero((own.z != start.z) | (own.n != start.n))
-        return pd.DataFrame({
-            "shard": [int(group["shard"].iloc[0])], "at": [moved.astype("<i8").tobytes()],
-            "z": [(own.z[moved] - start.z[moved]).tobytes()],
-            "n": [(own.n[moved] - start.n[moved]).tobytes()]})
-
-    steps = dealt.groupBy("shard").applyInPandas(
-        learn, "shard long, at binary, z binary, n binary").collect()
+        for batch in batches:
+            for row in batch.itertuples():
+                key, y, cuts = (np.frombuffer(x, kind) for x, kind in (
+                    (row.key, "<u8"), (row.y, "<i8"), (row.cuts, "<i8")))
+                at, v = np.frombuffer(row.at, "<i4"), np.frombuffer(row.v, "<f4")
+                own = Ftrl(start.z.copy(), start.n.copy())
+                for i in order_of(key, turn):
+                    here = slice(cuts[i], cuts[i + 1])
+                    own.update(at[here], v[here].astype(np.float64), float(y[i]))
+                moved = np.flatnonzero((own.z != start.z) | (own.n != start.n))
+                yield pd.DataFrame({
+                    "key": [int(key.min() >> np.uint64(1))], "at": [moved.astype("<i8").tobytes()],
+                    "z": [(own.z[moved] - start.z[moved]).tobytes()],
+                    "n": [(own.n[moved] - start.n[moved]).tobytes()]})
+
+    steps = packed.mapInPandas(learn, "key long, at binary, z binary, n binary").collect()
     z, n = state.z.copy(), state.n.copy()
-    for r in sorted(steps, key=lambda r: r["shard"]):
+    for r in sorted(steps, key=lambda r: r["key"]):
         at = np.frombuffer(r["at"], "<i8")
         z[at] += np.frombuffer(r["z"]) / len(steps)
         n[at] += np.frombuffer(r["n"]) / len(steps)
@@ -194,35 +211,37 @@ def _one_pass(dealt: DataFrame, state: Ftrl, turn: int) -> Ftrl:
 def train(sample: DataFrame, *, passes: int = 4, shard: int = SHARD, bits: int = BITS) -> Model:
     """A model of ``sample(doc_id, text, y)``, by ``passes`` rounds over its shards.
 
-    The sample is bounded by its maker; a shard has about ``shard`` rows in the
-    order of their id hashes, and the driver holds one pair of sums per shard.
+    The sample is bounded by its maker; a shard has about ``shard`` rows, dealt
+    by a hash of their ids, and the driver holds one pair of sums per shard.
     Without rows every text scores 0.5, with one class only its smoothed share.
     """
-    spark = sample.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(sample.sparkSession)
     features = Features(bits)
+    sizes = dict(sample.groupBy("y").count().collect())
+    good, bad = sizes.get(1, 0), sizes.get(0, 0)
+    if not good or not bad:
+        return Model(np.zeros(0, dtype=np.int64), np.zeros(0),
+                     math.log((good + 0.5) / (bad + 0.5)), features)
+    shards = max(1, round((good + bad) / shard))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [features.of(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"],
-                                "at": [m[0].astype("int32") for m in made],
-                                "v": [m[1].astype("float32") for m in made]})
-
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    rows, path = scratch.keep(sample.mapInPandas(
-        hashed, f"doc_id {kind}, y int, at array<int>, v array<float>"))
-    sizes = dict(rows.groupBy("y").count().collect())
-    good, bad = sizes.get(1, 0), sizes.get(0, 0)
-    none = np.zeros(0, dtype=np.int64), np.zeros(0)
-    if not good or not bad:
-        scratch.drop(path)
-        return Model(*none, math.log((good + 0.5) / (bad + 0.5)), features)
-    shards = max(1, round((good + bad) / shard))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)))
+            keys = [xxhash.xxh64_intdigest(str(d)) for d in batch["doc_id"]]
+            yield pd.DataFrame({
+                "shard": [k % shards for k in keys],
+                "key": np.array(keys, dtype=np.uint64).astype(np.int64), "y": batch["y"],
+                "at": [m[0].astype("int32") for m in made],
+                "v": [m[1].astype("float32") for m in made]})
+
+    packed, path = scratch.keep(
+        sample.select("doc_id", "text", "y")
+        .mapInPandas(hashed, "shard long, key long, y int, at array<int>, v array<float>")
+        .groupBy("shard")
+        .applyInPandas(_pack, "key binary, y binary, cuts binary, at binary, v binary"))
     state = Ftrl.empty(1 << bits)
     for turn in range(passes):
-        state = _one_pass(dealt, state, turn)
+        state = _one_pass(packed, state, turn)
     scratch.drop(path)
     weights = state.weights(slice(0, -1))
     places = np.flatnonzero(weights)

@@ -7,10 +7,11 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from changerisk.llm import quality
 from changerisk.llm.columns import held_out
-from pyspark.sql import functions as F
 
 BIG = "/root/testdata/sf0.01"
 
@@ -94,17 +95,15 @@ def test_shards_agree_with_slow_average(spark):
             for i in range(120)]
     sample = spark.createDataFrame(rows, "doc_id long, text string, y int")
     model = quality.train(sample, passes=2, shard=40, bits=8)
-    shards = {r["doc_id"]: r["s"] for r in sample.select("doc_id", F.pmod(
-        F.xxhash64(F.lit("shard"), "doc_id"), F.lit(3)).alias("s")).collect()}
+    keys = {d: xxhash.xxh64_intdigest(str(d)) for d, _, _ in rows}
     features = quality.Features(8)
     state = quality.Ftrl.empty(256)
-    import xxhash
     for turn in range(2):
         made = []
         for s in range(3):
             own = quality.Ftrl(state.z.copy(), state.n.copy())
-            for d, t, y in sorted((r for r in rows if shards[r[0]] == s),
-                                  key=lambda r: xxhash.xxh64_intdigest(f"{turn} {r[0]}")):
+            for d, t, y in sorted((r for r in rows if keys[r[0]] % 3 == s),
+                                  key=lambda r: (keys[r[0]] ^ turn) * 0x9E3779B97F4A7C15 % 2**64):
                 at, v = features.of(t)
                 own.update(at, v.astype("float32").astype(float), y)
             made.append(own)
