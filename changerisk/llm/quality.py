@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from changerisk.llm.scratch import Scratch
 #: Labelled texts to learn from at most, those with the smallest hashes of their ids.
 MAX_LABELLED = 50_000
 #: Labelled texts of a shard, about.
-SHARD = 4096
+SHARD = 2048
 #: Weights are 2 to this power.
 BITS = 18
 #: Longest n-grams of words and of shapes.
@@ -162,14 +163,15 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Da
             .where("text is not null").select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y")))
 
 
-def _pack(group: pd.DataFrame) -> pd.DataFrame:
+def _pack(group: pa.Table) -> pa.Table:
     """A shard as one row of arrays, so that no pass has to deal it out again."""
-    sizes = [a.size for a in group["at"]]
-    return pd.DataFrame({
-        "key": [group["key"].to_numpy("<i8").tobytes()], "y": [group["y"].to_numpy("<i8").tobytes()],
-        "cuts": [np.cumsum([0, *sizes]).astype("<i8").tobytes()],
-        "at": [np.concatenate(group["at"].tolist()).astype("<i4").tobytes()],
-        "v": [np.concatenate(group["v"].tolist()).astype("<f4").tobytes()]})
+    at, v = (group.column(c).combine_chunks() for c in ("at", "v"))
+    cuts = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))])
+    made = {"key": group.column("key").to_numpy().astype("<i8"),
+            "y": group.column("y").to_numpy().astype("<i8"), "cuts": cuts.astype("<i8"),
+            "at": at.flatten().to_numpy().astype("<i4", copy=False),
+            "v": v.flatten().to_numpy().astype("<f4", copy=False)}
+    return pa.table({c: pa.array([x.tobytes()], pa.binary()) for c, x in made.items()})
 
 
 def order_of(key: np.ndarray, turn: int) -> np.ndarray:
@@ -181,24 +183,26 @@ def _one_pass(packed: DataFrame, state: Ftrl, turn: int) -> Ftrl:
     """The average of the sums that every shard reaches from ``state``."""
     sent = packed.sparkSession.sparkContext.broadcast(state)
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = sent.value
         for batch in batches:
-            for row in batch.itertuples():
-                key, y, cuts = (np.frombuffer(x, kind) for x, kind in (
-                    (row.key, "<u8"), (row.y, "<i8"), (row.cuts, "<i8")))
-                at, v = np.frombuffer(row.at, "<i4"), np.frombuffer(row.v, "<f4")
+            for i in range(batch.num_rows):
+                key, y, cuts, at, v = (
+                    np.frombuffer(batch.column(c)[i].as_buffer(), kind)
+                    for c, kind in (("key", "<u8"), ("y", "<i8"), ("cuts", "<i8"), ("at", "<i4"),
+                                    ("v", "<f4")))
                 own = Ftrl(start.z.copy(), start.n.copy())
-                for i in order_of(key, turn):
-                    here = slice(cuts[i], cuts[i + 1])
-                    own.update(at[here], v[here].astype(np.float64), float(y[i]))
+                for k in order_of(key, turn):
+                    here = slice(cuts[k], cuts[k + 1])
+                    own.update(at[here], v[here].astype(np.float64), float(y[k]))
                 moved = np.flatnonzero((own.z != start.z) | (own.n != start.n))
-                yield pd.DataFrame({
-                    "key": [int(key.min() >> np.uint64(1))], "at": [moved.astype("<i8").tobytes()],
-                    "z": [(own.z[moved] - start.z[moved]).tobytes()],
-                    "n": [(own.n[moved] - start.n[moved]).tobytes()]})
+                yield pa.RecordBatch.from_pydict({
+                    "key": pa.array([int(key.min() >> np.uint64(1))]),
+                    "at": pa.array([moved.astype("<i8").tobytes()]),
+                    "z": pa.array([(own.z[moved] - start.z[moved]).tobytes()]),
+                    "n": pa.array([(own.n[moved] - start.n[moved]).tobytes()])})
 
-    steps = packed.mapInPandas(learn, "key long, at binary, z binary, n binary").collect()
+    steps = packed.mapInArrow(learn, "key long, at binary, z binary, n binary").collect()
     z, n = state.z.copy(), state.n.copy()
     for r in sorted(steps, key=lambda r: r["key"]):
         at = np.frombuffer(r["at"], "<i8")
@@ -238,7 +242,7 @@ def train(sample: DataFrame, *, passes: int = 4, shard: int = SHARD, bits: int =
         sample.select("doc_id", "text", "y")
         .mapInPandas(hashed, "shard long, key long, y int, at array<int>, v array<float>")
         .groupBy("shard")
-        .applyInPandas(_pack, "key binary, y binary, cuts binary, at binary, v binary"))
+        .applyInArrow(_pack, "key binary, y binary, cuts binary, at binary, v binary"))
     state = Ftrl.empty(1 << bits)
     for turn in range(passes):
         state = _one_pass(packed, state, turn)
