@@ -34,6 +34,8 @@ MAX_LABELLED = 50_000
 SHARD = 2048
 #: Weights are 2 to this power.
 BITS = 18
+#: Parts of one in which sums of shards are added up.
+UNIT = 1 << 40
 #: Longest n-grams of words and of shapes.
 WORDS, SHAPES = 2, 3
 #: From this score a text counts as good.
@@ -179,8 +181,13 @@ def order_of(key: np.ndarray, turn: int) -> np.ndarray:
     return np.argsort((key ^ np.uint64(turn)) * _MIX, kind="stable")
 
 
-def _one_pass(packed: DataFrame, state: Ftrl, turn: int) -> Ftrl:
-    """The average of the sums that every shard reaches from ``state``."""
+def whole(x: np.ndarray) -> np.ndarray:
+    """Numbers as multiples of ``1 / UNIT``: their sums are the same in any order."""
+    return np.rint(x * UNIT).astype(np.int64)
+
+
+def _one_pass(packed: DataFrame, state: Ftrl, turn: int, shards: int) -> Ftrl:
+    """The average of the sums that every one of ``shards`` reaches from ``state``."""
     sent = packed.sparkSession.sparkContext.broadcast(state)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,17 +204,15 @@ def _one_pass(packed: DataFrame, state: Ftrl, turn: int) -> Ftrl:
                     own.update(at[here], v[here].astype(np.float64), float(y[k]))
                 moved = np.flatnonzero((own.z != start.z) | (own.n != start.n))
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array([int(key.min() >> np.uint64(1))]),
-                    "at": pa.array([moved.astype("<i8").tobytes()]),
-                    "z": pa.array([(own.z[moved] - start.z[moved]).tobytes()]),
-                    "n": pa.array([(own.n[moved] - start.n[moved]).tobytes()])})
+                    "at": pa.array(moved), "z": pa.array(whole(own.z[moved] - start.z[moved])),
+                    "n": pa.array(whole(own.n[moved] - start.n[moved]))})
 
-    steps = packed.mapInArrow(learn, "key long, at binary, z binary, n binary").collect()
+    moved = packed.mapInArrow(learn, "at long, z long, n long").groupBy("at").agg(
+        F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
+    at = moved.column("at").to_numpy()
     z, n = state.z.copy(), state.n.copy()
-    for r in sorted(steps, key=lambda r: r["key"]):
-        at = np.frombuffer(r["at"], "<i8")
-        z[at] += np.frombuffer(r["z"]) / len(steps)
-        n[at] += np.frombuffer(r["n"]) / len(steps)
+    z[at] += moved.column("z").to_numpy() / (UNIT * shards)
+    n[at] += moved.column("n").to_numpy() / (UNIT * shards)
     sent.unpersist()
     return Ftrl(z, n)
 
@@ -216,7 +221,7 @@ def train(sample: DataFrame, *, passes: int = 4, shard: int = SHARD, bits: int =
     """A model of ``sample(doc_id, text, y)``, by ``passes`` rounds over its shards.
 
     The sample is bounded by its maker; a shard has about ``shard`` rows, dealt
-    by a hash of their ids, and the driver holds one pair of sums per shard.
+    by a hash of their ids, and the driver holds two numbers per weight.
     Without rows every text scores 0.5, with one class only its smoothed share.
     """
     scratch = Scratch(sample.sparkSession)
@@ -243,9 +248,10 @@ def train(sample: DataFrame, *, passes: int = 4, shard: int = SHARD, bits: int =
         .mapInPandas(hashed, "shard long, key long, y int, at array<int>, v array<float>")
         .groupBy("shard")
         .applyInArrow(_pack, "key binary, y binary, cuts binary, at binary, v binary"))
+    packed_shards = packed.select("key").count()
     state = Ftrl.empty(1 << bits)
     for turn in range(passes):
-        state = _one_pass(packed, state, turn)
+        state = _one_pass(packed, state, turn, packed_shards)
     scratch.drop(path)
     weights = state.weights(slice(0, -1))
     places = np.flatnonzero(weights)
