@@ -8,7 +8,6 @@ whatever is not recognised is ``other``. All steps are native expressions.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changerisk.functions.binding import let
@@ -17,16 +16,52 @@ from changerisk.seeds import literal_map, tables
 from changerisk.seeds.forms import action_rows, form_rows
 
 # One lexical token: quoted text, a comment, a semicolon, the body of a function from BEGIN
-# ATOMIC to the END after a semicolon, or a run of the rest, which stops where a body may begin.
-# No alternative loops over alternatives, so long scripts do not nest matches.
-_TOKEN = (r"(?s)(?<=\W[eE])'[^'\\]*+(?:\\.[^'\\]*+)*+'|'[^']*+'?|\"[^\"]*+\"?|--[^\n]*+"
-          r"|/\*.*?\*/|(\$(?:[A-Za-z_]\w*+)?\$).*?\1|;"
-          r"|(?i:\bBEGIN\s+ATOMIC\b(?:\s*END\b|.*?;\s*END\b))|[^;'\"$/bB-]++|.")
+# ATOMIC to the END after a semicolon, or a run of the rest, which takes words whole (a dollar
+# inside one opens no quote) and stops where a body begins. Loops over alternatives are
+# possessive, which the matcher runs without recursion, so long scripts do not nest matches.
+_LETTER = r"A-Za-z_\x{80}-\x{10FFFF}"
+_TOKEN = (r"(?s)(?<![\w$][eE])(?<=[eE])'[^'\\]*+(?:\\.[^'\\]*+)*+'|'[^']*+'?|\"[^\"]*+\"?"
+          r"|--[^\n]*+|",
+          r"|(\$(?:[A-Za-z_]\w*+)?\$).*?\1|;"
+          r"|(?i:\bBEGIN\s+ATOMIC\b(?:\s*END\b|.*?;\s*END\b))"
+          rf"|(?:(?!(?i:BEGIN\s+ATOMIC\b))[{_LETTER}][$\d{_LETTER}]*+|[^-;'\"$/\d{_LETTER}]++|\d++)++"
+          r"|.")
+# A block comment and what it holds besides comments; one that holds others goes around them.
+_HELD = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*)"
+#: Levels of block comments that are followed; what nests deeper counts as unclosed.
+MAX_NESTING = 400
 _CUT = "\u0001"
 IDENT = r'(?:"(?:[^"]|"")+"|[A-Za-z_][\w$]*)'
 NAME = rf"({IDENT}(?:\.{IDENT})*)"
 
 
+def comment_depth(text: Column) -> Column:
+    """At least as many levels as block comments nest in a text, and hardly more.
+
+    Openers and closers are folded to the greatest depth; where two of them
+    overlap (``*/*``) either may count, so each such place adds its two.
+    """
+    def step(at: Column, sign: Column) -> Column:
+        now = F.greatest(at["now"] + F.when(sign == "/*", 1).otherwise(-1), F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    signs = F.regexp_extract_all(text, F.lit(r"/\*|\*/"), F.lit(0))
+    most = F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step,
+                       lambda at: at["most"])
+    overlaps = F.regexp_count(text, F.lit(r"/(?=\*/)|\*(?=/\*)"))
+    return F.least(F.greatest(most + 2 * overlaps, F.lit(1)), F.lit(MAX_NESTING))
+
+
+def lexical_tokens(text: Column) -> Column:
+    """Tokens of a script, in order and without gaps; block comments nest."""
+    def pattern(depth: Column) -> Column:
+        return F.concat(F.lit(_TOKEN[0]), F.repeat(F.lit(_HELD + "|"), depth - 1), F.lit(_HELD),
+                        F.lit(r")*+\*/"), F.repeat(F.lit(r")*+\*/"), depth - 1), F.lit(_TOKEN[1]))
+
+    plain = F.replace(text, F.lit(_CUT), F.lit(" "))
+    return F.regexp_extract_all(plain, pattern(comment_depth(plain)), F.lit(0))
+
+
 def _cut(tokens: Column, keep_comments: bool) -> Column:
     def piece(t: Column) -> Column:
         out = F.when(t == ";", F.lit(_CUT))
@@ -37,29 +72,46 @@ def _cut(tokens: Column, keep_comments: bool) -> Column:
     return F.split(F.array_join(F.transform(tokens, piece), ""), _CUT)
 
 
+def sums_before(values: Column) -> Column:
+    """For every number of an array the sum of those before it.
+
+    Sums run over blocks as long as there are blocks, so a list of n numbers
+    takes n times the root of n additions and no shuffle.
+    """
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, b: a + b)
+
+    def in_blocks(vs: Column, side: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / side).cast("int")),
+                             lambda k: total(F.slice(vs, k * side + 1, side)))
+        return let(blocks, lambda bs: let(
+            F.transform(bs, lambda _, k: total(F.slice(bs, F.lit(1), k))),
+            lambda starts: F.transform(vs, lambda _, i: F.get(starts, F.floor(i / side).cast("int"))
+                                       + total(F.slice(vs, i - i % side + 1, i % side)))))
+
+    return let(values, lambda vs: F.when(F.size(vs) == 0, vs).otherwise(let(
+        F.ceil(F.sqrt(F.size(vs).cast("double"))).cast("int"), lambda side: in_blocks(vs, side))))
+
+
 def split_statements(scripts: DataFrame, text: str = "source") -> DataFrame:
     """One row per statement of ``scripts(file_id, source)``.
 
     Adds ``idx``, ``line`` (of the first character after the previous
-    semicolon) and ``sql`` without comments, blanks squeezed. Every statement
-    of a file comes from one row, so the running line count is bounded by that
-    file's own text.
+    semicolon) and ``sql`` without comments, blanks squeezed. Block comments
+    nest. A script is cut and numbered within its row, without a shuffle; an
+    unclosed quote or comment counts as plain text from its sign on.
     """
-    tokens = F.regexp_extract_all(F.replace(F.col(text), F.lit(_CUT), F.lit(" ")),
-                                  F.lit(_TOKEN), F.lit(0))
-    pieces = scripts.withColumn("__tokens", tokens).select(
-        "file_id", F.posexplode(F.arrays_zip(
-            _cut(F.col("__tokens"), True).alias("raw"),
-            _cut(F.col("__tokens"), False).alias("clean"))).alias("pos", "piece"))
-    lines = F.length(F.regexp_replace("piece.raw", r"[^\n]+", ""))
-    order = W.partitionBy("file_id").orderBy("pos")
-    counted = pieces.select(
-        "file_id", "pos", normalize(F.col("piece.clean")).alias("sql"),
-        (F.coalesce(F.sum(lines).over(order.rowsBetween(W.unboundedPreceding, -1)),
-                    F.lit(0)) + 1).alias("line"),
-    ).filter(F.col("sql") != "")
-    return counted.select(
-        "file_id", (F.row_number().over(order) - 1).cast("bigint").alias("idx"), "line", "sql")
+    cut = scripts.select("file_id", lexical_tokens(F.col(text)).alias("__tokens")).select(
+        "file_id", F.transform(_cut(F.col("__tokens"), True), lambda p: F.length(
+            F.regexp_replace(p, r"[^\n]+", ""))).alias("__newlines"),
+        F.transform(_cut(F.col("__tokens"), False), normalize).alias("__sql"))
+    numbered = cut.select("file_id", F.posexplode(F.arrays_zip(
+        F.col("__sql").alias("sql"), sums_before(F.col("__newlines")).alias("before"),
+        sums_before(F.transform("__sql", lambda p: (p != "").cast("int"))).alias("idx"))
+    ).alias("pos", "piece"))
+    return numbered.where(F.col("piece.sql") != "").select(
+        "file_id", F.col("piece.idx").cast("bigint").alias("idx"),
+        (F.col("piece.before") + 1).cast("bigint").alias("line"), "piece.sql")
 
 
 def normalize(sql: Column) -> Column:

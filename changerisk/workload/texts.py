@@ -120,7 +120,8 @@ def script_source() -> Column:
     def part(i: int) -> Column:
         return F.replace(F.lit(_SOURCE_PARTS[i]), F.lit("#"), F.col("doc_id").cast("string"))
 
-    comment = F.replace(F.col("text"), F.lit("*/"), F.lit("* /"))
+    comment = F.replace(F.replace(F.col("text"), F.lit("*/"), F.lit("* /")), F.lit("/*"),
+                        F.lit("/ *"))
     return F.concat(part(0), F.lit(";\n/* "), comment, F.lit(" */ "), part(1), F.lit(";\n"))
 
 
@@ -149,6 +150,30 @@ def statement_split_and_tag(spark, sf):
                          F.array_join("targets", ",").alias("targets"))
 
 
+# A document's own text stands in nested comments and in quotes; its comment signs are parted.
+_PARTED = "replace(replace(replace(replace(text, '*/', '* /'), '/*', '/ *'), chr(39), ''), '$', '')"
+_NESTED = (f"concat('SELECT 1 /* ', {_PARTED}, ' /* ', {_PARTED}, '; */ ; */ + 2;', chr(10),"
+           f" 'SELECT $q$ /* ', {_PARTED}, ' $q$;', 'SELECT ', chr(39), '/* ;', chr(39),"
+           f" ', 3 */* ; */4 -- /* ;', chr(10), '; DROP TABLE a /* /* /*;*/ ;*/ ', {_PARTED}, ';*/')")
+
+
+@query("nested_comment_cuts", f"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, {_PARTED} AS t,
+                  length(text) - length(replace(text, chr(10), '')) AS nl
+           FROM documents WHERE text IS NOT NULL)
+SELECT file_id, CAST(0 AS BIGINT) AS idx, CAST(1 AS BIGINT) AS line,
+       md5('SELECT 1 + 2') AS sql_md5 FROM d
+UNION ALL SELECT file_id, 1, 1 + 2 * nl, md5(concat('SELECT $q$ /* ', trim(regexp_replace(
+       concat('/* ', t, ' $q$'), '[ \t\n\r\f\v]+', ' ', 'g'))[4:])) FROM d
+UNION ALL SELECT file_id, 2, 2 + 3 * nl, md5('SELECT ''/* ;'', 3 * 4') FROM d
+UNION ALL SELECT file_id, 3, 3 + 3 * nl, md5('DROP TABLE a') FROM d""")
+def nested_comment_cuts(spark, sf):
+    made = table(spark, sf, "documents").where("text IS NOT NULL").select(
+        F.col("doc_id").cast("string").alias("file_id"), F.expr(_NESTED).alias("source"))
+    return tagging.split_statements(made).select(
+        "file_id", "idx", "line", F.md5(F.col("sql").cast("binary")).alias("sql_md5"))
+
+
 ACTIONS = [
     # action, kind, column, type, constraint, referenced, partition
     ("ADD COLUMN c# int", "add_column", "c#", "int", None, None, None),
