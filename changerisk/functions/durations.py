@@ -7,10 +7,12 @@ or a ``refusal`` saying why there is none.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changerisk.functions.binding import let
 from changerisk.functions.facts import has, has_value
 from changerisk.seeds import literal_map, tables
 
@@ -41,41 +43,29 @@ def boundary_spread(calibration: Column, profiles: Column, cross_spread: Column)
             .otherwise(F.greatest(observed, F.lit(tables.BOUNDARY_FLOOR))))
 
 
-def _widths(rows: list[dict]) -> pd.DataFrame:
-    """:func:`base_widen` and :func:`boundary_spread` of all constants at once."""
-    t = pd.DataFrame(rows).set_index("key")
-    unknown = t["calibration"].eq("uncalibrated")
-    by_label = t["calibration"].map({"uncalibrated": tables.WIDEN_GUESS,
-                                     "calibrated": tables.WIDEN_CALIBRATED})
-    measured = t["spread"].clip(tables.WIDEN_FLOOR, tables.WIDEN_CAP).mask(
-        t["runs"] < 2, tables.WIDEN_ONE_RUN)
-    strip = (t["cross_spread"].where(t["profiles"] >= tables.BOUNDARY_MIN_PROFILES, 0)
-             .clip(lower=tables.BOUNDARY_FLOOR).mask(unknown, tables.WIDEN_GUESS))
-    return pd.DataFrame({"widen": by_label.fillna(measured), "strip": strip}).astype("int64")
-
-
 class RateTable:
     """Lookups over the rate constants; pass other rows to re-assess with them."""
 
     def __init__(self, rows: list[dict] | None = None) -> None:
         rows = tables.rate_rows() if rows is None else rows
-        self._value = {r["key"]: r["value"] for r in rows}
-        widths = _widths(rows)
-        self._widen = widths["widen"].to_dict()
-        self._spread = widths["strip"].to_dict()
+        names = ("value", "calibration", "runs", "spread", "profiles", "cross_spread")
+        self._rows = F.create_map(*[part for r in rows for part in (F.lit(r["key"]), F.struct(
+            *[F.lit(r[n]).alias(n) for n in names]))])
 
-    @staticmethod
-    def _look(mapping: dict[str, int], family: Column) -> Column:
-        return F.try_element_at(literal_map(mapping), family).cast("bigint")
+    def _of(self, family: Column, body: Callable[[Column], Column]) -> Column:
+        """What ``body`` makes of a family's row, NULL where there is none."""
+        return let(F.try_element_at(self._rows, family),
+                   lambda r: F.when(r.isNotNull(), body(r)).cast("bigint"))
 
     def value(self, family: Column) -> Column:
-        return self._look(self._value, family)
+        return self._of(family, lambda r: r["value"])
 
     def widen(self, family: Column) -> Column:
-        return self._look(self._widen, family)
+        return self._of(family, lambda r: base_widen(r["calibration"], r["runs"], r["spread"]))
 
     def spread(self, family: Column) -> Column:
-        return self._look(self._spread, family)
+        return self._of(family, lambda r: boundary_spread(
+            r["calibration"], r["profiles"], r["cross_spread"]))
 
 
 # --- inputs ----------------------------------------------------------------

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +22,43 @@ def normalize_path(path: Column) -> Column:
 
 
 def framework_of(path: Column) -> Column:
-    """``struct<framework, source_kind>`` of the first layout that matches, else NULL."""
-    out = None
-    for framework, source_kind, pattern in tables.FRAMEWORK_RULES:
-        value = F.struct(F.lit(framework).alias("framework"),
-                         F.lit(source_kind).alias("source_kind"))
-        test = path.rlike(pattern)
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out
+    """``struct<framework, source_kind>`` of the first layout that fits, else NULL.
+
+    Layouts are read off the folders and the file name; a file name needs
+    something before its suffix.
+    """
+    def found(parts: Column) -> Column:
+        name = F.element_at(parts, F.lit(-1))
+        folder = lambda k: F.coalesce(F.try_element_at(parts, F.lit(-1 - k)), F.lit(""))
+        folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+
+        def ends(suffix: str) -> Column:
+            return name.endswith(suffix) & (F.length(name) > len(suffix))
+
+        version = F.substring_index(F.substr(name, F.lit(2)), "__", 1)
+        versioned = (F.substr(name, F.lit(1), F.lit(1)).isin("V", "U") & name.contains("__")
+                     & F.substr(version, F.lit(1), F.lit(1)).between("0", "9")
+                     & (F.translate(version, "0123456789_.", "") == ""))
+        module = ends(".py") & (name != "__init__.py")
+        layouts = [
+            ("prisma", (folder(3) == "prisma") & (folder(2) == "migrations") & (folder(1) != "")
+             & (name == "migration.sql")),
+            ("rails", (folder(1) == "migrate") & ends(".rb")
+             & ((folder(2) == "db") | ((folder(3) == "db") & (folder(2) != "")))),
+            ("alembic", (folder(1) == "versions") & module),
+            ("django", (folder(1) == "migrations") & module),
+            ("flyway", versioned & name.endswith(".sql")),
+            ("flyway", name.startswith("R__") & name.endswith(".sql") & (F.length(name) > 7)),
+            ("golang_migrate", ends(".up.sql") | ends(".down.sql")),
+            ("generic", F.arrays_overlap(folders, F.array(F.lit("migration"), F.lit("migrations")))
+             & ends(".sql")),
+        ]
+        out = F.coalesce(*[F.when(fits, F.lit(framework)) for framework, fits in layouts])
+        return let(out, lambda f: F.when(f.isNotNull(), F.struct(
+            f.alias("framework"),
+            F.try_element_at(literal_map(tables.FRAMEWORK_KIND), f).alias("source_kind"))))
+
+    return let(F.split(path, "/"), found)
 
 
 def glob_to_regex(glob: str) -> str:
@@ -145,13 +177,13 @@ def _unquote(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
 
 
-_SCHEME = rf"(?i)^{tables.SCHEME}"
-
-
 def parse_conninfo(conninfo: Column) -> Column:
     """Parameters of a connection string as a map; URI and keyword forms."""
     text = F.trim(conninfo)
-    return F.when(text.rlike(_SCHEME), _uri_params(text)).otherwise(_keyword_params(text))
+    scheme = F.split(F.lower(F.substring_index(text, "://", 1)), r"\+")
+    is_uri = (text.contains("://") & F.get(scheme, F.lit(0)).isin(*tables.SCHEMES)
+              & ((F.size(scheme) == 1) | ((F.size(scheme) == 2) & F.get(scheme, F.lit(1)).rlike(r"^\w+$"))))
+    return F.when(is_uri, _uri_params(text)).otherwise(_keyword_params(text))
 
 
 def _pair(key: Column, value: Column) -> Column:
@@ -168,7 +200,7 @@ def _first_wins(entries: Column) -> Column:
 
 
 def _uri_params(text: Column) -> Column:
-    rest = F.regexp_replace(text, _SCHEME, "")
+    rest = F.substr(text, F.instr(text, "://") + 3)
     authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     userinfo = F.regexp_extract(authority, r"^(.*)@", 1)
     user = F.regexp_extract(userinfo, r"^([^:]*)", 1)
@@ -241,13 +273,75 @@ def longest_first(literals: Column) -> Column:
         F.when(a < b, -1).when(a > b, 1).otherwise(0)))
 
 
+def _hide_after(text: Column, signs: tuple[str, ...], lead: str, end: Callable[[Column], Column],
+                shown: Callable[[Column], Column]) -> Column:
+    """Text with the value after every ``lead`` hidden.
+
+    ``end`` gives the length of the value that a piece begins with, NULL where
+    it begins with none; ``shown`` is what stays of the lead before it. Texts
+    without any of ``signs``, one of which every match holds, are left at once.
+    The control characters 1 and 2 become blanks in a text with a lead.
+    """
+    begin, behind = "\u0001", "\u0002"
+
+    def piece(p: Column) -> Column:
+        lead_text, value = F.substring_index(p, behind, 1), F.substr(p, F.instr(p, behind) + 1)
+        return let(value, lambda v: let(end(v), lambda n: F.when(
+            n.isNull(), F.concat(lead_text, v)).otherwise(
+            F.concat(shown(lead_text), F.lit(tables.PLACEHOLDER), F.substr(v, n + 1)))))
+
+    def hidden(t: Column) -> Column:
+        # One scan marks the leads, the marks cut the text.
+        plain = F.when(t.contains(begin) | t.contains(behind),
+                       F.translate(t, begin + behind, "  ")).otherwise(t)
+        marked = F.regexp_replace(plain, lead, f"{begin}$0{behind}")
+        return let(F.split(marked, begin), lambda pieces: F.when(F.size(pieces) < 2, t).otherwise(
+            F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(
+                F.slice(pieces, F.lit(2), F.size(pieces) - 1), piece), ""))))
+
+    return let(text, lambda t: F.when(reduce(or_, [t.contains(s) for s in signs]),
+                                      hidden(t)).otherwise(t))
+
+
+def _run_to(text: Column, signs: str) -> Column:
+    """Length of the text before the first blank or one of ``signs``."""
+    stops = "\t\n\x0b\f\r" + signs
+    first = F.translate(F.substring_index(text, " ", 1), stops, " " * len(stops))
+    return F.length(F.substring_index(first, " ", 1))
+
+
+def _password_end(text: Column) -> Column:
+    first, run = F.substr(text, F.lit(1), F.lit(1)), _run_to(text, "'\",;")
+    # What a backslash covers cannot close a single quote.
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("..")), F.lit("\\'"), F.lit(".."))
+    closed = F.when(first == "'", F.locate("'", plain, 2)).when(
+        first == '"', F.locate('"', text, 2))
+    return F.nullif(F.coalesce(closed, run), F.lit(0))
+
+
+def _server_end(text: Column) -> Column:
+    first = F.substr(text, F.lit(1), F.lit(1))
+    closed = F.nullif(F.when(first == "'", F.locate("'", text, 2)).when(
+        first == '"', F.locate('"', text, 2)), F.lit(0))
+    after = F.substr(text, closed + 1)
+    bracket = F.when(F.ltrim(after).startswith("("), F.locate(")", after)).otherwise(0)
+    return closed + bracket
+
+
 def scrub(text: Column, literals: Column) -> Column:
     """Replace known literals, then connection strings, passwords and server names."""
     hide = tables.PLACEHOLDER
     known = F.aggregate(literals, text, lambda acc, s: F.replace(acc, s, F.lit(hide)))
-    out = F.regexp_replace(known, tables.URI_PATTERN, hide)
-    out = F.regexp_replace(out, tables.PASSWORD_PATTERN, f"$1={hide}")
-    return F.regexp_replace(out, tables.SERVER_PATTERN, f"$1{hide}")
+    scheme = rf"(?i)\b(?:{'|'.join(tables.SCHEMES)})(?:\+\w+)?://"
+    # A scheme inside a URI belongs to it: what both leave is one placeholder.
+    out = _hide_after(known, ("://",), scheme, lambda p: _run_to(p, tables.URI_END), lambda _: F.lit(""))
+    out = F.regexp_replace(out, f"(?:{re.escape(hide)}){{2,}}", hide)
+    # A keyword is never another one's value, so the text behind the last one is what goes.
+    keys = rf"(?i)\b(?:{'|'.join(tables.PASSWORD_KEYS)})\s*=\s*"
+    out = _hide_after(out, ("=",), keys, _password_end,
+                      lambda k: F.concat(F.regexp_extract(k, r"^(\w+)", 1), F.lit("=")))
+    return _hide_after(out, ("'", '"'), rf"(?i)(?:{'|'.join(tables.SERVER_LEADS)})", _server_end,
+                       lambda k: k)
 
 
 # --- rationales ----------------------------------------------------------------
