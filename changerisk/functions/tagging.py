@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changerisk.functions.binding import let
+from changerisk.functions.names import canonical
 from changerisk.functions.volatility import unknown_functions, volatility_name, volatility_rank
 from changerisk.seeds import literal_map, tables
 from changerisk.seeds.forms import action_rows, form_rows
@@ -286,8 +287,8 @@ def statement_targets(sql: Column, kind: Column) -> Column:
             _grab(sql, rf"^(?:CREATE|ALTER) {_MODIFIERS}{_OBJECT} {_SKIP}{NAME}", 2))
     )
     many = F.transform(
-        F.regexp_extract_all(_grab(sql, listed), F.lit(NAME), F.lit(1)), fold_name)
-    one = F.array_compact(F.array(fold_name(single)))
+        F.regexp_extract_all(_grab(sql, listed), F.lit(NAME), F.lit(1)), canonical)
+    one = F.array_compact(F.array(canonical(single)))
     return F.when(kind.isin("drop_table", "drop_index", "drop_index_concurrently", "drop_view",
                             "drop_matview", "drop_sequence", "truncate", "lock_table"),
                   F.coalesce(many, F.array().cast("array<string>"))).otherwise(
@@ -445,8 +446,8 @@ def _action_fields(action: Column, kind: Column) -> Column:
         ((kind == "alter_column_type") & _is(action, r"\bUSING\b")).alias("has_using"),
         fold_name(_grab(action, rf"\bUSING INDEX ({IDENT})")).alias("using_index"),
         _is(action, r"\bIF (?:NOT )?EXISTS\b").alias("missing_ok"),
-        fold_name(_grab(action, rf"\bREFERENCES {NAME}")).alias("referenced_table"),
-        fold_name(_grab(action, rf"\b(?:ATTACH|DETACH) PARTITION {NAME}")).alias("partition"),
+        canonical(_grab(action, rf"\bREFERENCES {NAME}")).alias("referenced_table"),
+        canonical(_grab(action, rf"\b(?:ATTACH|DETACH) PARTITION {NAME}")).alias("partition"),
         defaults["volatility"].alias("default_volatility"),
         defaults["expression"].alias("default_expression"),
         defaults["unknown"].alias("unknown_functions"))
@@ -470,16 +471,16 @@ def tag_statements(statements: DataFrame) -> DataFrame:
         F.when(kind == "alter_table", alter_actions(sql)).alias("actions"),
         statement_attrs(sql, kind).alias("attrs"),
         F.when(kind.startswith("create_table"), F.array_distinct(F.transform(
-            F.regexp_extract_all(sql, F.lit(rf"(?i)\bREFERENCES {NAME}"), F.lit(1)), fold_name))
+            F.regexp_extract_all(sql, F.lit(rf"(?i)\bREFERENCES {NAME}"), F.lit(1)), canonical))
                ).alias("referenced_tables"),
-        fold_name(_grab(sql, rf"\bPARTITION OF {NAME}")).alias("partition_of"),
-        fold_name(_grab(sql, rf"\bINDEX (?:CONCURRENTLY )?(?:IF NOT EXISTS )?({IDENT}) ON\b")
+        canonical(_grab(sql, rf"\bPARTITION OF {NAME}")).alias("partition_of"),
+        canonical(_grab(sql, rf"\bINDEX (?:CONCURRENTLY )?(?:IF NOT EXISTS )?({IDENT}) ON\b")
                   ).alias("index_name"),
         F.lower(F.coalesce(_grab(sql, r" ON .*?\bUSING (\w+)"), F.lit("btree"))
                 ).alias("index_method"),
         (kind.startswith("create_index") & _is(sql, r" ON [^(]*\(.*[(].*\)")
          ).alias("has_expression"),
-        fold_name(_grab(sql, rf"\bRENAME (?:.*? )?TO ({IDENT})")).alias("new_name"),
+        canonical(_grab(sql, rf"\bRENAME (?:.*? )?TO ({IDENT})")).alias("new_name"),
         _is(sql, r"\bIF (?:NOT )?EXISTS\b").alias("missing_ok"),
         F.lit(False).alias("in_block"), F.lit(False).alias("conditional"),
         ((kind == "do_block") & _is(sql, r"\bEXECUTE\b")).alias("opaque"),

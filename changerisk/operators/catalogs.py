@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from changerisk.functions.durations import int_div
 from changerisk.functions.facts import fact, known
+from changerisk.functions.names import own_part, schema_part
 from changerisk.operators.recursion import descend
 from changerisk.seeds import tables
 from changerisk.session import broadcast_if_small
@@ -55,22 +56,41 @@ def probes(units: DataFrame) -> DataFrame:
 
 
 # --- relations ---------------------------------------------------------------------
+def search_ranks(spaces: DataFrame, search_path: tuple[str, ...] | DataFrame) -> DataFrame:
+    """``spaces(db_id, nspname)`` with ``place``, the schema's rank in the search path or NULL.
+
+    The path is one list for every database, or rows ``(db_id, nspname, place)``.
+    """
+    if isinstance(search_path, DataFrame):
+        ranked = search_path.groupBy("db_id", "nspname").agg(F.min("place").alias("place"))
+        return spaces.join(broadcast_if_small(ranked), ["db_id", "nspname"], "left")
+    place = F.array_position(F.array(*[F.lit(n) for n in search_path]), F.col("nspname"))
+    return spaces.withColumn("place", F.nullif(place, F.lit(0)))
+
+
 def resolve_relations(requested: DataFrame, pg_class: DataFrame, pg_namespace: DataFrame,
-                      search_path: str = "public") -> DataFrame:
+                      search_path: tuple[str, ...] | DataFrame = ("public",)) -> DataFrame:
     """Requested names with their catalog row; an absent one stays with exists=false.
 
-    ``requested(db_id, requested)``; an unqualified name is looked up in
-    ``search_path``. A row estimate of -1 is unavailable, not a number.
+    ``requested(db_id, requested)`` are spelled names: quoted parts are taken as
+    they stand, others in lower case. An unqualified name is the relation of
+    that name in the first schema of ``search_path`` that has one. A row
+    estimate of -1 is unavailable, not a number.
     """
-    parts = F.split("requested", r"\.")
-    asked = requested.select(
-        "db_id", "requested",
-        F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(search_path).alias("nspname"),
-        F.element_at(parts, -1).alias("relname"))
-    named = pg_class.join(
-        broadcast_if_small(pg_namespace.select("db_id", F.col("oid").alias("relnamespace"),
-                                               "nspname")), ["db_id", "relnamespace"])
-    found = asked.join(named, ["db_id", "nspname", "relname"], "left")
+    asked = requested.select("db_id", "requested",
+                             F.coalesce(schema_part(F.col("requested")), F.lit("")).alias("asked_in"),
+                             own_part(F.col("requested")).alias("relname"))
+    spaces = search_ranks(pg_namespace.select("db_id", F.col("oid").alias("relnamespace"), "nspname"),
+                          search_path)
+    named = pg_class.join(broadcast_if_small(spaces), ["db_id", "relnamespace"])
+    row = F.struct(*[F.col(c) for c in named.columns if c not in ("db_id", "relname")])
+    # One row per name that is visible without its schema, folded before the shuffle.
+    visible = named.where("place IS NOT NULL").groupBy("db_id", "relname").agg(
+        F.min_by(row, F.struct("place", "oid")).alias("row")).withColumn("asked_in", F.lit(""))
+    known_as = named.select("db_id", "relname", row.alias("row"), F.col("nspname").alias("asked_in")
+                            ).unionByName(visible)
+    found = asked.join(known_as, ["db_id", "asked_in", "relname"], "left").select(
+        "db_id", "requested", "relname", "row.*")
     exists = F.col("oid").isNotNull()
     absent = F.lit("relation does not exist")
     return found.select(
@@ -271,12 +291,11 @@ def nest_relation_facts(resolved: DataFrame, indexes: DataFrame, columns: DataFr
 def function_facts(requested: DataFrame, pg_proc: DataFrame, pg_namespace: DataFrame) -> DataFrame:
     """Overloads of each requested function; facts count only when all agree.
 
-    An unqualified name matches any schema, as the search path of the later
-    session is not known.
+    Names are spelled as for relations. An unqualified one matches any schema,
+    as the search path of the later session is not known.
     """
-    parts = F.split("function", r"\.")
-    asked = requested.select("db_id", "function", F.element_at(parts, -1).alias("proname"),
-                             F.when(F.size(parts) > 1, F.element_at(parts, -2)).alias("schema"))
+    asked = requested.select("db_id", "function", own_part(F.col("function")).alias("proname"),
+                             schema_part(F.col("function")).alias("schema"))
     procs = pg_proc.join(broadcast_if_small(pg_namespace.select(
         "db_id", F.col("oid").alias("pronamespace"), "nspname")), ["db_id", "pronamespace"])
     # overloads are folded first: one row per schema and name

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from changerisk.functions.binding import record
 from changerisk.functions.durations import int_div
+from changerisk.functions.names import last_spelled
 from changerisk.operators.distribution import CHUNK_ROWS, prefix_scan
 from changerisk.seeds import tables
 from changerisk.session import broadcast_if_small, cut_lineage
@@ -121,7 +122,7 @@ def baseline_files(statements: DataFrame) -> DataFrame:
     none = F.lit(None).cast("bigint")
 
     def event(name: Column, created: Column, used: Column) -> Column:
-        return F.struct(F.substring_index(name, ".", -1).alias("name"),
+        return F.struct(last_spelled(name).alias("name"),
                         created.alias("created"), used.alias("used"))
 
     targets = F.transform(F.coalesce("targets", F.array().cast("array<string>")), lambda t: event(
@@ -156,12 +157,12 @@ def _marks(statements: DataFrame) -> DataFrame:
                                               F.lit(False))
 
     def event(name: Column, what: Column | str, old: Column | None = None) -> Column:
-        return F.struct(F.substring_index(name, ".", -1).alias("name"),
+        return F.struct(last_spelled(name).alias("name"),
                         (F.lit(what) if isinstance(what, str) else what).alias("what"),
                         (F.lit(None).cast("string") if old is None else old).alias("old_name"))
 
     none = F.array().cast("array<struct<name:string,what:string,old_name:string>>")
-    old = F.substring_index(first, ".", -1)
+    old = last_spelled(first)
     events = (
         F.when(kind.isin("create_table", "create_table_partition_of"),
                F.array(event(first, "clean")))
@@ -169,7 +170,7 @@ def _marks(statements: DataFrame) -> DataFrame:
               F.array(event(first, "loaded")))
         .when(kind == "drop_table", F.transform("targets", lambda t: event(t, "none")))
         .when((kind == "rename_table") & F.col("new_name").isNotNull()
-              & (old != F.substring_index("new_name", ".", -1)),
+              & (old != last_spelled(F.col("new_name"))),
               F.array(event(first, "renamed_away"), event(F.col("new_name"), "renamed", old)))
         .when(kind.isin("copy_from", "merge") | ((kind == "insert") & ~bounded),
               F.array(event(first, "load")))

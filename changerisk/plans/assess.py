@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from changerisk import seeds
 from changerisk.functions import durations as du
 from changerisk.functions import tiers
+from changerisk.functions.names import last_spelled
 from changerisk.operators import order, rules, verdict
 from changerisk.operators.verdict import Snapshot
 from changerisk.schemas import RELATION_FACTS, TYPE_CHANGE_FACTS, TYPE_FACTS
@@ -118,7 +119,7 @@ def unit_state(statements: DataFrame, units: DataFrame,
             F.lit(0).alias("level"), F.lit(False).alias("certain")).alias("n"))
     named = (locks.unionByName(sizes).select(*UNIT, "db_id", "n.*")
              .filter(F.col("relation").isNotNull())
-             .withColumn("name", F.substring_index("relation", ".", -1)))
+             .withColumn("name", last_spelled(F.col("relation"))))
     seen = order.created_state(statements, named)
     is_lock = F.col("use") == "lock"
     if waiters is None:

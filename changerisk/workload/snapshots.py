@@ -108,6 +108,55 @@ def relation_resolution(spark, sf):
         value("reltuples"), F.coalesce("relkind", F.lit("")).alias("relkind"))
 
 
+# Relations with plain, mixed-case, dotted and quoted names, each in two schemas of like kinds.
+_NAMES = """
+nsp AS (SELECT CAST(n_nationkey AS BIGINT) AS ns, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name)
+          WHEN 1 THEN n_name ELSE lower(n_name) || '.x' END AS nspname FROM nation),
+cls AS (SELECT o_orderkey % 5 AS db_id, o_orderkey AS k, o_orderkey * 2 + side AS oid,
+               (o_custkey + side) % 25 AS ns, concat(CASE o_orderkey % 4 WHEN 0 THEN 'r'
+               WHEN 1 THEN 'Rel.' WHEN 2 THEN 'q"' ELSE 'T' END, CAST(o_orderkey AS STRING)) AS relname
+        FROM orders CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) sides),
+path AS (SELECT ns, nspname, ns * 7 % 25 AS place FROM nsp WHERE ns % 2 = 1),
+asks AS (SELECT DISTINCT db_id, k, relname, cls.ns, nspname, manner FROM cls JOIN nsp USING (ns)
+         CROSS JOIN (SELECT 0 AS manner UNION ALL SELECT 1 UNION ALL SELECT 2) manners)
+"""
+_SPELLED = """CASE manner
+  WHEN 0 THEN concat('"', replace(nspname, '"', '""'), '"."', replace(relname, '"', '""'), '"')
+  WHEN 1 THEN concat('"', replace(relname, '"', '""'), '"')
+  ELSE CASE k % 4 WHEN 2 THEN concat('"q""', CAST(k AS STRING), '"') ELSE upper(relname) END END"""
+
+
+@query("spelled_names", cte(_NAMES).replace("STRING", "VARCHAR") + f"""
+, spelled AS (SELECT DISTINCT db_id, k, {_SPELLED.replace("STRING", "VARCHAR")} AS requested, manner,
+                     CASE WHEN manner = 0 THEN nspname END AS want_ns, relname FROM asks),
+hits AS (SELECT s.*, c.oid, n.nspname, p.place FROM spelled s
+  LEFT JOIN cls c ON c.db_id = s.db_id AND c.k = s.k AND (manner < 2 OR s.k % 4 IN (0, 2))
+  LEFT JOIN nsp n ON n.ns = c.ns LEFT JOIN path p ON p.ns = c.ns),
+kept AS (SELECT *, row_number() OVER (PARTITION BY db_id, requested
+           ORDER BY CASE WHEN want_ns IS NOT NULL THEN nspname <> want_ns ELSE place IS NULL END,
+                    place, oid) AS nth,
+           coalesce(CASE WHEN want_ns IS NOT NULL THEN nspname = want_ns ELSE place IS NOT NULL END,
+                    false) AS found FROM hits)
+SELECT db_id, requested, found, CASE WHEN found THEN oid ELSE -1 END AS oid,
+       CASE WHEN found THEN nspname ELSE '' END AS schema FROM kept WHERE nth = 1""")
+def spelled_names(spark, sf):
+    for name in ("orders", "nation"):
+        table(spark, sf, name).createOrReplaceTempView(f"spelled_{name}")
+    named = _NAMES.replace("FROM orders", "FROM spelled_orders").replace(
+        "FROM nation", "FROM spelled_nation")
+    take = lambda sql: spark.sql(cte(named) + sql)
+    asked = take(f"SELECT DISTINCT db_id, {_SPELLED} AS requested FROM asks")
+    spaces = take("SELECT db_id, ns AS oid, nspname FROM nsp CROSS JOIN (SELECT explode(sequence("
+                  "0L, 4L)) AS db_id) dbs")
+    path = take("SELECT db_id, nspname, place FROM path CROSS JOIN (SELECT explode(sequence(0L, 4L))"
+                " AS db_id) dbs")
+    classes = take("SELECT db_id, oid, relname, ns AS relnamespace, 'r' AS relkind, 1L AS relpages,"
+                   " 1L AS reltuples FROM cls")
+    return cg.resolve_relations(asked, classes, spaces, path).select(
+        "db_id", "requested", F.col("exists").alias("found"),
+        F.coalesce("oid", F.lit(-1)).alias("oid"), F.coalesce("nspname", F.lit("")).alias("schema"))
+
+
 def pg_stat(spark, sf) -> DataFrame:
     c = F.col("o_orderkey")
     return table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(
@@ -316,7 +365,7 @@ def constraint_facts(spark, sf):
 WITH proc AS (SELECT p_brand AS name, p_size % 25 AS ns, (['i','s','v'])[p_partkey % 3 + 1] AS vol,
                      CASE WHEN p_size > 48 THEN 'p' ELSE 'f' END AS kind FROM part),
 req AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'nation_' || CAST(l_suppkey % 25 AS VARCHAR)
-          || '.' ELSE '' END || 'Brand#' || CAST(l_partkey % 40 AS VARCHAR) AS function,
+          || '.' ELSE '' END || '"Brand#' || CAST(l_partkey % 40 AS VARCHAR) || '"' AS function,
           CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey % 25 END AS ns,
           'Brand#' || CAST(l_partkey % 40 AS VARCHAR) AS name FROM lineitem)
 SELECT function, count(p.name) AS overloads, count(p.name) > 0 AS found,
@@ -335,7 +384,8 @@ def function_facts(spark, sf):
     schema = F.when(F.col("l_linenumber") % 2 == 0, F.concat(
         F.lit("nation_"), text(F.col("l_suppkey") % 25), F.lit("."))).otherwise("")
     asked = table(spark, sf, "lineitem").select(one, F.concat(
-        schema, F.lit("Brand#"), text(F.col("l_partkey") % 40)).alias("function")).distinct()
+        schema, F.lit('"Brand#'), text(F.col("l_partkey") % 40), F.lit('"')).alias("function")
+    ).distinct()
     return cg.function_facts(asked, procs, spaces).select(
         "function", "overloads", F.col("exists").alias("found"),
         F.coalesce("volatility", F.lit("unavailable")).alias("volatility"),

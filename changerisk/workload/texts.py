@@ -104,7 +104,7 @@ SCRIPT = [
      "create_index_concurrently", "t#"),
     ("ALTER TABLE ONLY t# ADD COLUMN c int DEFAULT 0, ADD CHECK (id > 0)", "alter_table", "t#"),
     ("update T# set note = E'it\\'s; ok' where id between 1 and 5", "update_batched", "t#"),
-    ('DELETE FROM "Odd;Name"', "delete_without_where", "Odd;Name"),
+    ('DELETE FROM "Odd;Name"', "delete_without_where", '"Odd;Name"'),
     ("WITH x AS (SELECT 1) SELECT * FROM x", "select", None),
     ("CREATE MATERIALIZED VIEW m# AS SELECT 1", "create_matview", "m#"),
     ("ALTER TYPE mood ADD VALUE 'new'", "alter_enum_add_value", "mood"),
