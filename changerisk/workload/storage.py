@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 from changerisk import seeds
 from changerisk.operators import rules
 from changerisk.session import checkpoint_dir
-from changerisk.sources import records, reports, scripts
+from changerisk.sources import records, reports, scripts, snapshots
 from changerisk.workload import adapters
 from changerisk.workload.adapters import pick, pick_sql, table
 from changerisk.workload.registry import query
-from changerisk.workload.sqltext import CORPUS, RELATION_STATS, RULES, UNITS, cte, resolved
-from changerisk.workload.verdicts import OFFLINE, written
+from changerisk.workload.sqltext import (
+    CORPUS,
+    RELATION_STATS,
+    RULES,
+    SERVERS,
+    UNITS,
+    cte,
+    resolved,
+)
+from changerisk.workload.verdicts import OFFLINE, snapshot, written
 
 
 def folder(spark: SparkSession) -> str:
@@ -82,6 +90,25 @@ def snapshot_scan(spark, sf):
         F.coalesce("facts.n_mod.value", F.lit(-1)).alias("n_mod"))
 
 
+@query("snapshot_facts", cte(RELATION_STATS, SERVERS) + """
+SELECT 'relations' AS scope, db_id, relation AS object,
+       CASE WHEN r = 2 AND db_id = 3 THEN -1 ELSE row_count END AS a,
+       CASE WHEN r = 5 THEN -1 ELSE mods END AS b FROM relation_stats
+UNION ALL SELECT 'servers', db_id, '', pg_version, coalesce(probe_ms, -1) FROM servers""")
+def snapshot_facts(spark, sf):
+    """A whole snapshot written as one row per fact and folded back; no list per database."""
+    path = folder(spark)
+    snapshots.write_snapshot(snapshot(spark, sf), path)
+    found = snapshots.read_snapshot(spark, path)
+    return found.relations.select(
+        F.lit("relations").alias("scope"), "db_id", F.col("relation").alias("object"),
+        F.coalesce("facts.reltuples.value", F.lit(-1)).alias("a"),
+        F.coalesce("facts.n_mod.value", F.lit(-1)).alias("b")).unionByName(found.servers.select(
+            F.lit("servers").alias("scope"), "db_id", F.lit("").alias("object"),
+            F.col("pg_version").cast("bigint").alias("a"),
+            F.coalesce("probe.value", F.lit(-1)).alias("b")))
+
+
 @query("rule_table_load", cte(CORPUS, UNITS, RULES, resolved("17")) + """
 SELECT is_action, r_rule_ord AS rule_ord, count(*) AS parts FROM resolved
 WHERE r_rule_ord IS NOT NULL GROUP BY 1, 2""")
