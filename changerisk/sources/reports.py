@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changerisk.functions import tiers
 from changerisk.functions.durations import int_div
+from changerisk.operators import rollup
+from changerisk.seeds.tables import TIERS
 
 PART_STATEMENTS = 1000
 _TREE_LEVELS = 4
@@ -67,23 +70,109 @@ def report_parts(documents: DataFrame, part_size: int = PART_STATEMENTS) -> Data
         "sha256", F.sha2("body", 256))
 
 
-def report_hashes(parts: DataFrame) -> DataFrame:
-    """Root hash of every file's report: a tree with 1000 children per node.
+def report_hashes(parts: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """Root hash of every report: a tree of four levels with 1000 children per node.
 
-    All trees have the same height, at least ``_TREE_LEVELS`` and else as many
-    as the longest report needs to end in one node.
+    Four levels hold 1000 ** 4 parts, of 1000 statement positions each.
     """
-    level = parts.select("file_id", "part", "sha256")
-    last = level.agg(F.max("part")).first()[0] or 0
-    height = _TREE_LEVELS
-    while last >= 1000 ** height:
-        height += 1
-    for _ in range(height):
-        grouped = level.groupBy("file_id", int_div(F.col("part"), 1000).alias("p")).agg(
+    level = parts.select(*keys, "part", "sha256")
+    for _ in range(_TREE_LEVELS):
+        grouped = level.groupBy(*keys, int_div(F.col("part"), 1000).alias("p")).agg(
             F.array_sort(F.collect_list(F.struct("part", "sha256"))).alias("h"))
-        level = grouped.select("file_id", F.col("p").alias("part"),
+        level = grouped.select(*keys, F.col("p").alias("part"),
                                F.sha2(F.array_join(F.col("h.sha256"), ""), 256).alias("sha256"))
-    return level.select("file_id", F.col("sha256").alias("report_sha256"))
+    return level.select(*keys, F.col("sha256").alias("report_sha256"))
+
+
+# --- the whole report of a file -------------------------------------------------------
+def _entry(df: DataFrame, section: str, idx: Column, **fields: Column) -> DataFrame:
+    """Entries of one section; ``idx`` is the statement that one belongs to, 0 for the file."""
+    document = F.struct(*[fields[n].alias(n) for n in sorted(fields)])
+    return df.select("file_id", F.lit(section).alias("section"), idx.cast("bigint").alias("idx"),
+                     canonical_json(document).alias("document"))
+
+
+def report_entries(parts: DataFrame, statements: DataFrame, *, online: bool,
+                   sources: DataFrame | None = None, prose: bool = True) -> DataFrame:
+    """All entries of the files' reports: ``(file_id, section, idx, document)``.
+
+    ``parts`` and ``statements`` are those of an assessment, ``statements`` with
+    the columns of ``rollup``; ``sources(file_id, source)`` adds the evidence of
+    each script. Sections: ``head`` (verdict and counts), ``statements``,
+    ``irreversible``, ``rollback``, ``unverified``, ``locks``, ``rules`` and
+    ``evidence``. ``prose=False`` leaves out free text, so that equal verdicts
+    have equal reports whatever their wording. A file without statements has
+    no entry but its evidence.
+    """
+    col = F.col
+    said = lambda **fields: fields if prose else {}
+    by_file = rollup.tier_counts(statements, ["file_id"]).join(
+        statements.groupBy("file_id").agg(
+            F.count("*").alias("n"), F.max(tiers.tier_rank(col("tier"))).alias("worst")), "file_id")
+    counts = F.struct(*[col(t).alias(t) for t in sorted(TIERS)])
+    sections = [
+        _entry(by_file, "head", F.lit(0), classification_counts=counts, online=F.lit(online),
+               statements=col("n"), verdict=tiers.file_verdict(col("worst"))),
+        _entry(statements, "statements", col("idx"), band=col("band"), classification=col("tier"),
+               index=col("idx"), kind=col("kind"), line=col("line"), method=col("method"),
+               refusal=col("refusal"), refused_from=col("refused_from"),
+               reversibility=col("reversibility"), statement_lock_level=col("lock_level"),
+               **said(rationale=col("rationale"), what_is_lost=col("lost"))),
+        _entry(rollup.irreversible_ledger(statements), "irreversible", col("idx"),
+               index=col("idx"), kind=col("kind"), line=col("line"),
+               **said(what_is_lost=col("lost"))),
+        _entry(rollup.rollback_reasons(statements), "rollback", col("idx"), index=col("idx"),
+               line=col("line"), role=col("role"), **said(reason=col("reason"))),
+        _entry(rollup.unverified_ledger(parts, statements, online), "unverified",
+               F.coalesce("idx", F.lit(0)), index=col("idx"), source=col("source"),
+               **said(reason=col("reason"))),
+        _entry(parts.select("file_id", "idx", "inner_pos", "action_pos",
+                            F.explode("all_locks").alias("lock")), "locks", col("idx"),
+               action=col("action_pos"), certain=col("lock.certain"), index=col("idx"),
+               inner=col("inner_pos"), level=col("lock.level"), relation=col("lock.relation")),
+        _entry(rollup.rules_used(parts), "rules", col("idx"), action=col("action_pos"),
+               conditional=col("conditional"), in_do_block=col("in_block"), index=col("idx"),
+               inner=col("inner_pos"), kind=col("kind"), rule=col("rule_ord")),
+    ]
+    if sources is not None:
+        raw = col("source").cast("binary")
+        sections.append(_entry(sources, "evidence", F.lit(0), bytes=F.octet_length("source"),
+                               name=F.lit("change.sql"), sha256=F.sha2(raw, 256)))
+    out, *rest = sections
+    for df in rest:
+        out = out.unionByName(df)
+    return out
+
+
+def section_parts(entries: DataFrame, part_size: int = PART_STATEMENTS) -> DataFrame:
+    """Bounded parts of every section: the entries of at most ``part_size`` statement positions.
+
+    A statement has few entries in a section, so a part's size is bounded by its
+    positions however long a file is. Entries stand by statement, then by text.
+    """
+    listed = entries.groupBy("file_id", "section", int_div(F.col("idx"), part_size).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("idx", "document"))).alias("d"),
+        F.count("*").alias("entries"))
+    body = F.concat(F.lit("["), F.array_join(F.col("d.document"), ","), F.lit("]"))
+    return listed.select("file_id", "section", "part", "entries", body.alias("body")).withColumn(
+        "sha256", F.sha2("body", 256))
+
+
+def report_roots(parts: DataFrame) -> DataFrame:
+    """Per file and section the number of entries and the root hash; section '' is the whole file.
+
+    The file's hash is that of its ``section:hash`` lines in order of their names.
+    """
+    keys = ("file_id", "section")
+    counts = parts.groupBy(*keys).agg(F.sum("entries").alias("entries"))
+    sections = report_hashes(parts, keys).join(counts, list(keys))
+    line = F.concat_ws(":", "section", "report_sha256")
+    files = sections.groupBy("file_id").agg(
+        F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"),
+        F.sum("entries").alias("entries"))
+    return sections.select(*keys, "entries", "report_sha256").unionByName(files.select(
+        "file_id", F.lit("").alias("section"), "entries",
+        F.sha2("lines", 256).alias("report_sha256")))
 
 
 def change_ids(scripts: DataFrame) -> DataFrame:

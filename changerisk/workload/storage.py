@@ -23,7 +23,9 @@ from changerisk.workload.sqltext import (
     cte,
     resolved,
 )
-from changerisk.workload.verdicts import OFFLINE, snapshot, written
+from changerisk.seeds.tables import TIERS
+from changerisk.workload.rollups import _FILE as FILE_VERDICT_SQL
+from changerisk.workload.verdicts import OFFLINE, flat, snapshot, written
 
 
 def folder(spark: SparkSession) -> str:
@@ -250,6 +252,70 @@ def statement_reports(spark, sf):
     return parts.drop("body")
 
 
+def _json(**fields: str) -> str:
+    """SQL for a canonical object of ready JSON texts."""
+    inside = " || ',' || ".join(f"'\"{n}\":' || {fields[n]}" for n in sorted(fields))
+    return f"'{{' || {inside} || '}}'"
+
+
+def _js(column: str) -> str:
+    return f"coalesce('\"' || {column} || '\"', 'null')"
+
+
+def _num(column: str) -> str:
+    return f"coalesce(CAST({column} AS VARCHAR), 'null')"
+
+
+_COUNTED = "'{' || " + " || ',' || ".join(
+    f"'\"{t}\":' || CAST(count(*) FILTER (WHERE tier = '{t}') AS VARCHAR)"
+    for t in sorted(TIERS)) + " || '}'"
+
+
+@query("report_roots", OFFLINE + f"""
+, entries AS (
+  SELECT file_id, 'head' AS section, CAST(0 AS BIGINT) AS idx, {_json(
+    classification_counts=_COUNTED, online="'false'", statements="CAST(count(*) AS VARCHAR)",
+    verdict=_js(FILE_VERDICT_SQL))} AS doc FROM statement_verdicts GROUP BY file_id
+  UNION ALL SELECT file_id, 'statements', idx, {_json(
+    band=_js("band"), classification=_js("tier"), index=_num("idx"), kind=_js("kind"),
+    line=_num("line"), method=_js("method"), refusal=_js("refusal"),
+    refused_from=_js("refused_from"), reversibility=_js("reversibility"),
+    statement_lock_level=_num("lock_level"))} FROM statement_verdicts
+  UNION ALL SELECT file_id, 'irreversible', idx, {_json(
+    index=_num("idx"), kind=_js("kind"), line=_num("line"))} FROM statement_verdicts
+    WHERE reversibility = 'irreversible'
+  UNION ALL SELECT file_id, 'rollback', idx, {_json(
+    index=_num("idx"), line=_num("line"),
+    role="CASE WHEN reversibility = 'irreversible' THEN '\"blocker\"' ELSE '\"undecided\"' END")}
+    FROM statement_verdicts WHERE reversibility <> 'reversible'
+  UNION ALL SELECT file_id, 'rules', idx, {_json(
+    action=_num("action_pos"), conditional=_num("conditional"), in_do_block=_num("in_block"),
+    index=_num("idx"), inner=_num("inner_pos"), kind=_js("ukind"), rule=_num("r_rule_ord"))}
+    FROM parts WHERE r_kind IS NOT NULL
+  UNION ALL SELECT file_id, 'evidence', 0, {_json(
+    bytes="CAST(strlen(t) AS VARCHAR)", name="'\"change.sql\"'", sha256=_js("sha256(t)"))}
+    FROM (SELECT file_id, 'file ' || file_id AS t FROM (SELECT DISTINCT file_id FROM stmts))),
+p AS (SELECT file_id, section, idx // 1000 AS part, count(*) AS entries,
+        sha256('[' || string_agg(doc, ',' ORDER BY idx, doc) || ']') AS h FROM entries GROUP BY 1, 2, 3),
+l1 AS (SELECT file_id, section, part // 1000 AS part, sum(entries) AS entries,
+         sha256(string_agg(h, '' ORDER BY part)) AS h FROM p GROUP BY 1, 2, 3),
+roots AS (SELECT file_id, section, sum(entries) AS entries,
+            sha256(sha256(sha256(string_agg(h, '' ORDER BY part)))) AS h FROM l1 GROUP BY 1, 2)
+SELECT file_id, section, CAST(entries AS BIGINT) AS entries, h AS report_sha256 FROM roots
+UNION ALL SELECT file_id, '', CAST(sum(entries) AS BIGINT),
+  sha256(string_agg(section || ':' || h, chr(10) ORDER BY section || ':' || h)) FROM roots GROUP BY 1""")
+def report_roots(spark, sf):
+    """The assessed corpus as reports in coded form: a section merge under a hash tree."""
+    assessed = written(spark, sf, False)
+    files = assessed.statements.select("file_id").distinct()
+    entries = reports.report_entries(
+        assessed.parts, flat(assessed), online=False, prose=False,
+        sources=files.withColumn("source", F.concat(F.lit("file "), "file_id")))
+    # Locks and open points have queries of their own; their wording is not SQL's.
+    kept = entries.where(~F.col("section").isin("locks", "unverified"))
+    return reports.report_roots(reports.section_parts(kept))
+
+
 @query("change_ids", """
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'change-' || CAST(doc_id AS VARCHAR)
                     ELSE sha256(text) END AS change_id FROM documents""")
