@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from changerisk.functions.durations import int_div
 from changerisk.functions.facts import fact, known
 from changerisk.functions.names import own_part, schema_part
-from changerisk.operators.recursion import descend
+from changerisk.operators.recursion import descend, fold_chains, fold_subtrees
 from changerisk.seeds import tables
 from changerisk.session import broadcast_if_small
 
@@ -116,20 +116,36 @@ def statistics_facts(resolved: DataFrame, pg_stat: DataFrame) -> DataFrame:
 
 
 def partition_totals(roots: DataFrame, pg_inherits: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Number and total size of everything below each partitioned relation."""
+    """Number and total size of everything below each partitioned relation.
+
+    Partitions have one parent: their totals are gathered upwards, in as many
+    rounds as the depth has bits. Only where some table inherits from several
+    are the nodes below each root walked and counted once.
+    """
     links = pg_inherits.select("db_id", F.col("inhparent").alias("node"),
-                               F.col("inhrelid").alias("next"))
-    start = roots.select("db_id", F.col("oid").alias("root"), F.col("oid").alias("node"))
-    below = descend(start, links, ["db_id"], ["root"]).filter("depth > 0")
-    sized = below.join(sizes.select("db_id", F.col("oid").alias("node"), "total_bytes"),
-                       ["db_id", "node"], "left")
-    totals = sized.groupBy("db_id", "root").agg(
-        F.count("*").alias("partitions"),
-        F.coalesce(F.sum("total_bytes"), F.lit(0)).alias("total_bytes"))
-    return (roots.select("db_id", F.col("oid").alias("root"))
-            .join(totals, ["db_id", "root"], "left")
-            .select("db_id", "root", F.coalesce("partitions", F.lit(0)).alias("partitions"),
-                    F.coalesce("total_bytes", F.lit(0)).alias("total_bytes")))
+                               F.col("inhrelid").alias("next")).distinct()
+    sized = sizes.select("db_id", F.col("oid").alias("node"), "total_bytes")
+    start = roots.select("db_id", F.col("oid").alias("root"))
+    several = links.groupBy("db_id", "next").agg(F.count("*").alias("n")).where("n > 1")
+    if several.isEmpty():
+        names = links.select("db_id", "node").unionByName(
+            links.select("db_id", F.col("next").alias("node"))).distinct()
+        nodes = (names.join(links.select("db_id", F.col("node").alias("parent"),
+                                         F.col("next").alias("node")), ["db_id", "node"], "left")
+                 .join(sized, ["db_id", "node"], "left").withColumn("one", F.lit(1)))
+        own = sized.select("db_id", F.col("node").alias("root"), F.col("total_bytes").alias("own"))
+        totals = (fold_subtrees(nodes, ["db_id"], ["one", "total_bytes"])
+                  .withColumnRenamed("node", "root").join(own, ["db_id", "root"], "left")
+                  .select("db_id", "root", (F.col("one") - 1).alias("partitions"),
+                          (F.col("total_bytes") - F.coalesce("own", F.lit(0))).alias("total_bytes")))
+    else:
+        below = descend(start.withColumn("node", F.col("root")), links, ["db_id"], ["root"]).filter(
+            "depth > 0")
+        totals = below.join(sized, ["db_id", "node"], "left").groupBy("db_id", "root").agg(
+            F.count("*").alias("partitions"), F.sum("total_bytes").alias("total_bytes"))
+    return start.join(totals, ["db_id", "root"], "left").select(
+        "db_id", "root", F.coalesce("partitions", F.lit(0)).alias("partitions"),
+        F.coalesce("total_bytes", F.lit(0)).alias("total_bytes"))
 
 
 def index_facts(pg_index: DataFrame, pg_class: DataFrame, pg_am: DataFrame,
@@ -318,33 +334,29 @@ def function_facts(requested: DataFrame, pg_proc: DataFrame, pg_namespace: DataF
     ).withColumn("exists", F.col("overloads") > 0)
 
 
-def domain_chains(starts: DataFrame, pg_type: DataFrame) -> DataFrame:
-    """The chain of base types below each start type.
+def type_facts(starts: DataFrame, pg_type: DataFrame, pg_constraint: DataFrame) -> DataFrame:
+    """Domain facts along the whole chain of each type.
 
-    ``starts(db_id, type_oid)``. Returns the deepest base, whether any link is
-    NOT NULL or carries a modifier, and the depth.
+    ``starts(db_id, type_oid)``. Returns the deepest base, the number of checks,
+    whether any link is NOT NULL or carries a modifier, and the depth. All chains
+    of a catalog are followed together, in as many rounds as the depth has bits.
     """
-    links = pg_type.filter((F.col("typtype") == "d") & (F.col("typbasetype") != 0)).select(
-        "db_id", F.col("oid").alias("node"), F.col("typbasetype").alias("next"))
-    start = starts.select("db_id", F.col("type_oid"), F.col("type_oid").alias("node")).distinct()
-    return descend(start, links, ["db_id"], ["type_oid"])
-
-
-def type_facts(starts: DataFrame, pg_type: DataFrame, pg_constraint: DataFrame) -> DataFrame:
-    """Domain facts along the whole chain of each type."""
-    chain = domain_chains(starts, pg_type)
     checks = (pg_constraint.filter((F.col("contype") == "c") & F.col("contypid").isNotNull())
               .groupBy("db_id", F.col("contypid").alias("node")).agg(F.count("*").alias("checks")))
-    types = pg_type.select("db_id", F.col("oid").alias("node"), "typtype", "typnotnull",
-                           "typtypmod")
-    linked = (chain.join(types, ["db_id", "node"]).join(checks, ["db_id", "node"], "left"))
-    return linked.groupBy("db_id", "type_oid").agg(
-        F.bool_or((F.col("depth") == 0) & (F.col("typtype") == "d")).alias("is_domain"),
-        F.max_by("node", "depth").alias("base_oid"),
-        F.bool_or("typnotnull").alias("not_null"),
-        F.coalesce(F.sum("checks"), F.lit(0)).alias("checks"),
-        F.bool_or((F.col("typtype") == "d") & (F.col("typtypmod") != -1)).alias("has_typmod"),
-        F.max("depth").alias("depth"))
+    is_domain = F.col("typtype") == "d"
+    nodes = pg_type.select(
+        "db_id", F.col("oid").alias("node"),
+        F.when(is_domain & (F.col("typbasetype") != 0), F.col("typbasetype")).alias("next"),
+        F.col("typnotnull").alias("not_null"),
+        (is_domain & (F.col("typtypmod") != -1)).alias("has_typmod"),
+        is_domain.alias("is_domain")).join(checks, ["db_id", "node"], "left")
+    folded = fold_chains(nodes, ["db_id"], ["checks"], ["not_null", "has_typmod"])
+    own = nodes.select("db_id", F.col("node").alias("type_oid"), "is_domain")
+    asked = starts.select("db_id", "type_oid").distinct()
+    return asked.join(own, ["db_id", "type_oid"]).join(
+        folded.withColumnRenamed("node", "type_oid"), ["db_id", "type_oid"]).select(
+        "db_id", "type_oid", "is_domain", F.col("last").alias("base_oid"), "not_null", "checks",
+        "has_typmod", "depth")
 
 
 def type_change_facts(requests: DataFrame, pg_type: DataFrame, pg_constraint: DataFrame,
