@@ -580,17 +580,19 @@ def probe_calibration(spark, sf):
 
 
 @query("schema_differences", """
-WITH l AS (SELECT p_brand AS a, NULLIF(p_size % 7, 0) AS b FROM part WHERE p_retailprice < 1500),
-r AS (SELECT p_brand AS a, NULLIF(p_size % 7, 0) AS b FROM part WHERE p_size > 20),
+WITH l AS (SELECT p_brand AS a, NULLIF(CAST(floor(p_retailprice) AS BIGINT), 1000) AS b FROM part
+           WHERE p_size <= 25),
+r AS (SELECT p_brand AS a, NULLIF(CAST(floor(p_retailprice) AS BIGINT), 1000) AS b FROM part
+      WHERE p_size > 25 OR p_size IS NULL),
 c AS (SELECT a, b, sum(x) AS l, sum(y) AS r FROM (SELECT a, b, 1 AS x, 0 AS y FROM l
       UNION ALL SELECT a, b, 0, 1 FROM r) GROUP BY a, b)
 SELECT a AS relation, coalesce(b, -1) AS attribute, CASE WHEN r = 0 THEN 'left' ELSE 'right' END AS only,
        CAST(greatest(l, r) AS BIGINT) AS copies FROM c WHERE l = 0 OR r = 0""")
 def schema_differences(spark, sf):
-    part = table(spark, sf, "part").selectExpr("p_brand AS relation",
-                                               "nullif(p_size % 7, 0) AS attribute",
-                                               "p_retailprice", "p_size")
-    out = cg.schema_differences(part.filter("p_retailprice < 1500"), part.filter("p_size > 20"),
+    part = table(spark, sf, "part").selectExpr(
+        "p_brand AS relation", "nullif(floor(p_retailprice), 1000) AS attribute",
+        "coalesce(p_size <= 25, false) AS is_left")
+    out = cg.schema_differences(part.filter("is_left"), part.filter("NOT is_left"),
                                 ["relation", "attribute"])
     return out.withColumn("attribute", F.coalesce("attribute", F.lit(-1)))
 

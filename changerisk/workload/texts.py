@@ -43,22 +43,36 @@ PATHS = [
     ("deep/db/#_x.up.sql", "golang_migrate", "sql"),
     ("  migrations/a/#.sql ", "generic", "sql"), ("docs/#.md", None, None),
 ]
-_RAW = f"replace({listed([p for p, _, _ in PATHS], f'page_id % {len(PATHS)}')}, '#', CAST(page_id AS VARCHAR))"
+# A page's form of path is filled with the number in its url.
+_URL_NO = "coalesce(nullif(regexp_extract(url, '://[^/]*/[a-z]+/([0-9]+)', 1), ''), '0')"
+_RAW = f"replace({listed([p for p, _, _ in PATHS], f'page_id % {len(PATHS)}')}, '#', {_URL_NO})"
+_URL_PATH = "regexp_extract(url, '://[^/?#]*([^?#]*)', 1)"
 _NORMAL = ("regexp_replace(replace(trim(raw), chr(92), '/'), '^(\\./)*/*', '')")
 
 
 @query("path_normalization", f"""
-SELECT page_id, {_NORMAL} AS path FROM (SELECT page_id, {_RAW} AS raw FROM pages)""")
+SELECT page_id, {_NORMAL} AS path, regexp_replace({_URL_PATH}, '^/+', '') AS url_path
+FROM (SELECT page_id, url, {_RAW} AS raw FROM pages)""")
 def path_normalization(spark, sf):
-    raw = formed([p for p, _, _ in PATHS], F.col("page_id"))
-    return table(spark, sf, "pages").select("page_id", text.normalize_path(raw).alias("path"))
+    url_path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    return table(spark, sf, "pages").select(
+        "page_id", text.normalize_path(page_path()).alias("path"),
+        text.normalize_path(url_path).alias("url_path"))
+
+
+def page_path() -> Column:
+    """The form of path that a page's id selects, filled with the number in its url."""
+    number = F.coalesce(F.nullif(F.regexp_extract("url", "://[^/]*/[a-z]+/([0-9]+)", 1), F.lit("")),
+                        F.lit("0"))
+    return F.replace(pick([p for p, _, _ in PATHS], F.col("page_id") % len(PATHS)), F.lit("#"),
+                     number)
 
 
 @query("framework_tagging", f"""
 SELECT page_id, {listed([f for _, f, _ in PATHS], f'page_id % {len(PATHS)}')} AS framework,
        {listed([k for _, _, k in PATHS], f'page_id % {len(PATHS)}')} AS source_kind FROM pages""")
 def framework_tagging(spark, sf):
-    path = text.normalize_path(formed([p for p, _, _ in PATHS], F.col("page_id")))
+    path = text.normalize_path(page_path())
     found = text.framework_of(path)
     return table(spark, sf, "pages").select(
         "page_id", found["framework"].alias("framework"),
@@ -74,7 +88,7 @@ SELECT path, CASE WHEN path LIKE 'prisma%' THEN 'prisma' WHEN path LIKE 'migrati
 FROM p WHERE (regexp_matches(path, '\\.sql$')) AND NOT regexp_matches(path, '^sql/V[0-9]*0__')""")
 def script_detection(spark, sf):
     pages = table(spark, sf, "pages")
-    raw = formed([p for p, _, _ in PATHS], F.col("page_id")).alias("path")
+    raw = page_path().alias("path")
     twice = pages.select(raw).unionByName(pages.filter("page_id % 2 = 0").select(raw))
     return text.detect_scripts(twice, ["**/*.sql"], ["sql/V*0__*.sql"])
 
@@ -86,8 +100,7 @@ WHERE trim(raw) <> ''""")
 def changed_path_list(spark, sf):
     from changerisk.sources.scripts import changed_paths
 
-    raw = F.when(F.col("page_id") % 4 == 1, "   ").otherwise(
-        formed([p for p, _, _ in PATHS], F.col("page_id")))
+    raw = F.when(F.col("page_id") % 4 == 1, "   ").otherwise(page_path())
     lines = table(spark, sf, "pages").select("page_id", raw.alias("path"))
     normal = changed_paths(lines.select("path")).distinct()
     return lines.select("page_id", text.normalize_path(F.col("path")).alias("path")).join(
