@@ -11,7 +11,8 @@ and are then verified on all tokens.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,14 @@ BLOCK = 64
 
 
 def line_words(line: Column) -> Column:
-    """Words of a line: runs of anything but space and the control characters 9 to 13."""
-    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
+    """Words of a line: runs of anything but space and the control characters 9 to 13.
+
+    Cut at single spaces, which needs no pattern; other blanks become spaces first.
+    """
+    blanks = "\t\n\x0b\x0c\r"
+    odd = reduce(or_, [line.contains(c) for c in blanks])
+    spaced = F.when(odd, F.translate(line, blanks, " " * len(blanks))).otherwise(line)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def has_word(line: Column) -> Column:
@@ -49,7 +56,7 @@ def line_tokens(words: Column, shingle: int = SHINGLE) -> Column:
             lambda i: F.xxhash64(*[F.get(ws, i + k if k else i) for k in range(shingle)])))
 
     # One lambda over a one-element array keeps the words from being computed per use.
-    return F.sort_array(F.array_distinct(F.element_at(F.transform(F.array(words), spread), 1)))
+    return F.array_distinct(F.sort_array(F.element_at(F.transform(F.array(words), spread), 1)))
 
 
 def _fits(a: str, b: str, ratio: tuple[int, int]) -> Column:
