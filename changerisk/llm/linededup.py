@@ -29,6 +29,8 @@ SHARED = 4
 #: Words of the bit map that stands for the lines with a shared token.
 FILTER_LONGS = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters between words, besides space.
+BLANKS = "\t\n\x0b\x0c\r"
 #: Lines of a posting that one row compares with a line.
 BLOCK = 64
 
@@ -38,25 +40,29 @@ def line_words(line: Column) -> Column:
 
     Cut at single spaces, which needs no pattern; other blanks become spaces first.
     """
-    blanks = "\t\n\x0b\x0c\r"
-    odd = reduce(or_, [line.contains(c) for c in blanks])
-    spaced = F.when(odd, F.translate(line, blanks, " " * len(blanks))).otherwise(line)
+    odd = reduce(or_, [line.contains(c) for c in BLANKS])
+    spaced = F.when(odd, F.translate(line, BLANKS, " " * len(BLANKS))).otherwise(line)
     return F.array_remove(F.split(spaced, " "), "")
 
 
 def has_word(line: Column) -> Column:
-    return line.rlike(r"[^\x20\x09-\x0D]")
+    return F.ltrim(line, F.lit(" " + BLANKS)) != ""
 
 
-def line_tokens(words: Column, shingle: int = SHINGLE) -> Column:
-    """Sorted distinct 64-bit hashes of the shingles; fewer words make one token."""
+def shingle_hashes(words: Column, shingle: int = SHINGLE) -> Column:
+    """Sorted 64-bit hashes of the shingles, with repeats; fewer words make one."""
     def spread(ws: Column) -> Column:
         return F.when(F.size(ws) < shingle, F.array(F.xxhash64(ws))).otherwise(F.transform(
             F.sequence(F.lit(0), F.size(ws) - shingle),
             lambda i: F.xxhash64(*[F.get(ws, i + k if k else i) for k in range(shingle)])))
 
     # One lambda over a one-element array keeps the words from being computed per use.
-    return F.array_distinct(F.sort_array(F.element_at(F.transform(F.array(words), spread), 1)))
+    return F.sort_array(F.element_at(F.transform(F.array(words), spread), 1))
+
+
+def line_tokens(words: Column, shingle: int = SHINGLE) -> Column:
+    """Sorted distinct 64-bit hashes of the shingles; fewer words make one token."""
+    return F.array_distinct(shingle_hashes(words, shingle))
 
 
 def _fits(a: str, b: str, ratio: tuple[int, int]) -> Column:
@@ -91,11 +97,10 @@ class LineJoin:
         self.scratch = Scratch(docs.sparkSession)
         self.ratio, self.shingle = ratio, shingle
         self.docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        lines = self._lines().select("cls", F.xxhash64(F.lit(1), "line").alias("cls2"),
-                                     F.struct("key", "pos").alias("f"))
-        self.first, _ = self.scratch.keep(
-            lines.groupBy("cls", "cls2").agg(F.min("f").alias("f")).select("cls", "cls2", "f.*"))
-        self.matches, _ = self.scratch.keep(self._matches())
+        self.folded, path = self.scratch.keep(self._classes())
+        self.first = self.folded.select("cls", "cls2", "key", "pos")
+        self.matches, found = self.scratch.keep(self._matches())
+        self.scratch.drop_all(path, found)
 
     def _lines(self) -> DataFrame:
         """All occurrences of lines with words: ``(key, pos, line, cls)``."""
@@ -106,22 +111,43 @@ class LineJoin:
             .select("key", (F.col("th") + F.col("at")).alias("pos"), "line",
                     F.xxhash64("line").alias("cls")))
 
+    def _classes(self) -> DataFrame:
+        """One row per class of equal lines: its first occurrence and its prefix by hash.
+
+        Occurrences are folded before any token is a row of its own, so a line
+        that a third of all rows hold is one line to the join.
+        """
+        num, den = self.ratio
+        least = F.expr(f"(size(tokens) * {num} + {den - 1}) div {den}").cast("int")
+        need = F.least(F.lit(SHARED), least)
+        prefix = F.slice("tokens", 1, F.size("tokens") - least + need).alias("prefix")
+        of_line = ["cls", "cls2", "f"]
+        hashes = self._lines().select(
+            "cls", F.xxhash64(F.lit(1), "line").alias("cls2"), F.struct("key", "pos").alias("f"),
+            shingle_hashes(line_words(F.col("line")), self.shingle).alias("tokens"))
+        # Where the prefix over all hashes holds no hash twice it covers the one
+        # over distinct tokens, and as many of it are needed; elsewhere it is cut again.
+        again = F.size(F.array_distinct("prefix")) < F.size("prefix")
+        tokens = F.when(again, F.array_distinct("tokens")).otherwise(F.col("tokens"))
+        return (
+            hashes.select(*of_line, "tokens", prefix)
+            .select(*of_line, tokens.alias("tokens"))
+            .select(*of_line, need.alias("need"), prefix)
+            .groupBy("cls", "cls2")
+            .agg(F.min("f").alias("f"), F.first("need").alias("need"),
+                 F.first("prefix").alias("prefix"))
+            .select("cls", "cls2", "f.*", "need", "prefix"))
+
     def _postings(self) -> tuple[DataFrame, DataFrame]:
         """``_prefixes`` of the lines that share enough tokens, and ``(line, tokens)`` of these."""
-        num, den = self.ratio
         tokens_of = line_tokens(line_words(F.col("line")), self.shingle).alias("tokens")
 
         # A prefix under any fixed order finds all pairs, so the first one, over
-        # all lines, is by hash: only lines that share SHARED tokens of it go on,
+        # all classes, is by hash: only lines that share SHARED tokens of it go on,
         # and among these rarity is counted exactly. One shuffle serves the count
         # and the join back: both read the same columns, so Spark reuses it.
-        n = F.size("tokens")
-        least = F.expr(f"(size(tokens) * {num} + {den - 1}) div {den}").cast("int")
         prefix = (
-            self._lines().select("cls", tokens_of)
-            .select("cls", F.least(F.lit(SHARED), least).alias("need"), "tokens")
-            .select("cls", "need", F.explode(F.slice("tokens", 1, n - least + F.col("need")))
-                    .alias("token"))
+            self.folded.select("cls", "need", F.explode("prefix").alias("token"))
             .where("token is not null and cls is not null and need is not null")
             .repartition("token"))
         shared = (prefix.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b"),
@@ -232,8 +258,8 @@ class LineJoin:
         least = F.expr(f"(n * {num} + {den - 1}) div {den}").cast("int")
         ranked = (
             spread.join(often.hint("shuffle_hash"), "token")
-            .withColumn("r", F.count(F.lit(1)).over(of_line).cast("int"))
             .withColumn("at", F.row_number().over(of_line.orderBy("df", "token")))
+            .withColumn("r", F.count(F.lit(1)).over(of_line).cast("int"))
             .where((F.col("r") >= least) & (F.col("at") <= F.col("r") - least + 1)))
         return (ranked.join(lists.select("cls", F.col("spot").alias("line")), "cls")
                 .select("token", "line", "n", (F.col("n") - F.col("r") + F.col("at") - 1)

@@ -25,6 +25,7 @@ class Scratch:
         self._spark = spark
         self._root = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
         self._count = 0
+        self._kept: set[str] = set()
 
     def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
         self._count += 1
@@ -36,9 +37,16 @@ class Scratch:
             df.write.parquet(path, compression="zstd")
         finally:
             self._spark.conf.set(_CLEANUP, before)
+        self._kept.add(path)
         return self._spark.read.schema(df.schema).parquet(path), path
 
+    def drop_all(self, *but: str) -> None:
+        """Deletes the tables of this run except those in ``but``."""
+        for path in self._kept - set(but):
+            self.drop(path)
+
     def drop(self, path: str) -> None:
+        self._kept.discard(path)
         target = self._spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
 
