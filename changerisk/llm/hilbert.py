@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changerisk.llm.columns import own_name
 from changerisk.llm.scratch import written
 
 #: Rows of one cell are counted and ordered in this many parts.
@@ -75,7 +76,8 @@ def shard(df: DataFrame, cells: dict[str, Column], shards: int, *, bits: int = 5
     Places are counted, not sorted globally: counts per (cell, part) give every
     part its first rank, with windows over at most ``2**(bits * columns)``
     cells and PARTS parts, and only the rows of one part are sorted together.
-    An empty table gives an empty one.
+    An empty table gives an empty one. A name that ``carry`` has already gets
+    ``_1`` after it.
     """
     if bits * len(cells) > 17:
         raise ValueError("too many cells to count: lower bits")
@@ -107,11 +109,14 @@ def shard(df: DataFrame, cells: dict[str, Column], shards: int, *, bits: int = 5
     in_part = Window.partitionBy("curve", "__part").orderBy("__tie")
     total, rank = F.col("__total"), F.col("__rank")
     cut = F.expr(f"__rank * {shards} div __total")
+    taken = rows.select("__row.*").columns
     return (
         rows.join(offsets, ["curve", "__part"])
         .withColumn("__rank", F.col("__base") + F.row_number().over(in_part) - 1)
-        .select("__row.*", "curve", cut.cast("int").alias("shard"),
-                (rank - F.ceil(cut * total / shards)).cast("long").alias("slot"))
+        .select("__row.*", F.col("curve").alias(own_name(taken, "curve")),
+                cut.cast("int").alias(own_name(taken, "shard")),
+                (rank - F.ceil(cut * total / shards)).cast("long")
+                .alias(own_name(taken, "slot")))
     )
 
 

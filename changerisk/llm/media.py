@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changerisk.llm.columns import own_name
+
 #: Samples in a row of the image that holds a payload; payloads are padded to it.
 PAYLOAD_WIDTH = 64
 
@@ -176,7 +178,8 @@ def media_features(media: DataFrame, *, side: int = 32) -> DataFrame:
     ``samples_sha256`` (of the decoded samples), ``tail_crc32`` (of the last 64
     of them), ``media_bytes``, ``media_sha256``, ``feature`` (difference hash),
     ``tile`` (NPY) and ``error``. Bytes that are null or no such image give
-    null features and a reason in ``error``; no row is dropped.
+    null features and a reason in ``error``; no row is dropped. A name that the
+    input has already, ``media`` apart, gets ``_1`` after it.
     """
     added = ("samples long, samples_sha256 string, tail_crc32 long, media_bytes long, "
              "media_sha256 string, feature string, tile binary, error string")
@@ -194,13 +197,17 @@ def media_features(media: DataFrame, *, side: int = 32) -> DataFrame:
         except (ValueError, IndexError) as e:
             return (None, None, None, *stored, None, None, str(e))
 
-    names = [c.split()[0] for c in added.split(", ")]
+    own = [c for c in media.columns if c != "media"]
+    kinds = {own_name(own, c.split()[0]): c.split()[1] for c in added.split(", ")}
+    added = ", ".join(f"{c} {kind}" for c, kind in kinds.items())
+    names = list(kinds)
+    longs = [c for c, kind in kinds.items() if kind == "long"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [features(m if m is None else bytes(m)) for m in batch.pop("media")]
             made = pd.DataFrame(found, columns=names).astype(
-                {c: "Int64" for c in ("samples", "tail_crc32", "media_bytes")})
+                {c: "Int64" for c in longs})
             yield pd.concat([batch.reset_index(drop=True), made], axis=1)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema

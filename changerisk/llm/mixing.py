@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changerisk.llm.columns import word_count
+from changerisk.llm.columns import own_name, word_count
 from changerisk.llm.scratch import written
 
 #: Hexadecimal digits of the key that name its range: 16**3 ranges of a source.
@@ -78,11 +78,12 @@ def mix(docs: DataFrame, *, size: Column | None = None, key: str = "doc_id",
     Null texts have size 0, null sources are one source, null keys count as
     the empty key. Rows with equal keys are ordered by size, so equal rows get
     the same multiset of results whatever their order. An empty table gives an
-    empty one. Columns of the input other than those named are not read.
+    empty one. Columns of the input other than those named are not read. A name
+    that ``carry`` has already gets ``_1`` after it.
     """
     carry = carry if carry is not None else [key]
     sized = written(docs.select(
-        F.struct(*[F.col(c) for c in carry]).alias("__row"), F.col(source).alias("source"),
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row"), F.col(source).alias("source"),
         F.coalesce(size if size is not None else word_count(F.col(text)),
                    F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("__key"))
@@ -108,11 +109,14 @@ def mix(docs: DataFrame, *, size: Column | None = None, key: str = "doc_id",
         .withColumn("__whole", whole.cast("long"))
         .withColumn("__rest", F.floor("target") - F.col("__whole") * F.col("source_size"))
         .select(
-            "__row.*", F.col("d.size").alias("size"), "source_size", "target",
+            "__row.*", F.col("d.size").alias(own_name(carry, "size")),
+            F.col("source_size").alias(own_name(carry, "source_size")),
+            F.col("target").alias(own_name(carry, "target")),
             (F.col("__whole") * F.col("d.size") + F.greatest(F.lit(0), F.least(
-                F.col("d.size"), F.col("__rest") - F.col("__before")))).alias("taken"),
+                F.col("d.size"), F.col("__rest") - F.col("__before"))))
+            .alias(own_name(carry, "taken")),
             (F.col("__whole") + (F.col("__before") < F.col("__rest")).cast("long"))
-            .alias("passes")))
+            .alias(own_name(carry, "passes"))))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:

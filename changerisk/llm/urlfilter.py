@@ -141,7 +141,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, links: DataFrame | None
     keep = keep if keep is not None else list(pages.columns)
     links = written(links if links is not None else page_links(pages, url=url))
     rows = pages.select(
-        F.struct(*[F.col(c) for c in keep]).alias("__row"), host_of(F.col(url)).alias("host"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), host_of(F.col(url)).alias("host"),
         path_of(F.col(url)).alias("path"), address(F.col(url)).alias("__node"))
     member = written(components(links))
     as_url = F.concat(F.lit("x://"), F.col("node"))

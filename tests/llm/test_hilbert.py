@@ -55,3 +55,11 @@ def test_files(spark, tmp_path, odd_docs):
     assert back.count() == odd_docs.count()
     ranges = hilbert.manifest(out, ["size"]).collect()
     assert sum(r["rows"] for r in ranges) == odd_docs.count()
+
+
+def test_names_the_input_has(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 6)], "doc_id long, curve long")
+    got = hilbert.shard(rows, {"a": F.col("doc_id")}, 2, tie=[F.col("doc_id")],
+                        carry=[F.col("doc_id"), F.col("curve")])
+    assert got.columns == ["doc_id", "curve", "curve_1", "shard", "slot"]
+    assert {r["curve"] for r in got.collect()} == {5, 6}

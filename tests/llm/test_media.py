@@ -71,3 +71,12 @@ def test_bad_bytes(spark):
                                "key int, media binary")
     got = media.media_features(df).collect()
     assert len(got) == 4 and all(r["error"] and r["feature"] is None for r in got)
+
+
+def test_names_the_input_has(spark):
+    images = media.text_images(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))
+    clashing = images.selectExpr("key", "media", "'mine' AS feature", "7 AS samples")
+    got = media.media_features(clashing)
+    row = got.first()
+    assert (row["feature"], row["samples"]) == ("mine", 7)
+    assert len(row["feature_1"]) > 0 and row["samples_1"] == 64

@@ -62,3 +62,10 @@ def test_repeated_keeps_columns(odd_docs, no_docs):
 def test_native_plan(odd_docs):
     plan = mixing.mix(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_names_the_input_has(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", -1, "p")],
+                                 "doc_id long, text string, source string, size long, `a.b` string")
+    row = mixing.mix(docs, carry=["doc_id", "size", "a.b"]).first()
+    assert (row["size"], row["size_1"], row["taken"], row["a.b"]) == (-1, 3, 3, "p")
