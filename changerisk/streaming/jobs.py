@@ -44,9 +44,13 @@ def assess_stream(scripts: DataFrame, folder: str, pg_version: int,
     """Assess script files as they arrive, with the latest snapshot of each moment.
 
     Every micro-batch holds whole files, so file state needs no stream state.
-    A repeated batch overwrites its own output partition.
+    A repeated batch overwrites its own output partition. Without a batch the
+    result is empty.
     """
     spark = scripts.sparkSession
+    schema = "file_id string, idx bigint, kind string, tier string, method string"
+    # A table of no rows, to be read where no batch comes.
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         done = assess(tag_scripts(batch), snapshot() if snapshot else None,
@@ -60,5 +64,4 @@ def assess_stream(scripts: DataFrame, folder: str, pg_version: int,
              .option("checkpointLocation", f"{folder}/progress")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema("file_id string, idx bigint, kind string, tier string, "
-                             "method string, batch bigint").parquet(f"{folder}/rows")
+    return spark.read.schema(f"{schema}, batch bigint").parquet(f"{folder}/rows")

@@ -21,8 +21,16 @@ EVENTS = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 DELAY = "10 minutes"
 
 
+def table_stream(spark, sf, name: str, schema: str) -> DataFrame:
+    """A given table as a stream, be it one file or a folder of part files.
+
+    As a pattern, so that the source takes no folder for the base of partitions.
+    """
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}[.]parquet")
+
+
 def event_stream(spark, sf) -> DataFrame:
-    raw = (spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf))
+    raw = table_stream(spark, sf, "events", EVENTS)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -130,9 +138,8 @@ SELECT v.kind, v.tier, n.statements FROM (VALUES
   (SELECT count(*) AS statements FROM documents) n""")
 def continuous_assessment(spark, sf):
     """Script files from documents assessed as they arrive."""
-    docs = (spark.readStream.schema("doc_id bigint, text string, lang string, source string, "
-                                    "n_chars bigint")
-            .option("pathGlobFilter", "documents.parquet").parquet(sf))
+    docs = table_stream(spark, sf, "documents", "doc_id bigint, text string, lang string, "
+                        "source string, n_chars bigint")
     scripts = docs.select(F.col("doc_id").cast("string").alias("file_id"),
                           script_source().alias("source"))
     done = jobs.assess_stream(scripts, jobs.stream_folder(spark), pg_version=17)
