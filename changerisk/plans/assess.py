@@ -166,6 +166,9 @@ def assess(statements: DataFrame, snapshot: Snapshot | None = None, *,
     if online:
         units = verdict.add_narrowing(join_facts(units, snapshot))
         units = du.with_sizing(units)
+        # What follows reads only the size of all the facts.
+        units = units.withColumn("facts", F.when(F.col("facts").isNotNull(), F.struct(
+            F.col("facts.size_bytes").alias("size_bytes"))))
     else:
         units = units.withColumn("narrow", F.lit(None).cast(verdict.NARROW_TYPE)).withColumn(
             "all_locks", F.col("locks"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def offline(spark, sf) -> Assessment:
     return assess(adapters.statements(spark, sf), pg_version=17)
 
 
-def flat(assessed: Assessment) -> DataFrame:
+def flat(assessed: Assessment | Written) -> DataFrame:
     v = F.col("verdict")
     return assessed.statements.select(
         "file_id", "idx", "line", F.col("statement_kind").alias("kind"), "deciding_kind",
@@ -40,20 +42,33 @@ def flat(assessed: Assessment) -> DataFrame:
         "lock_level")
 
 
-_WRITTEN: dict[tuple[str, str, bool], Assessment] = {}
+class Written:
+    """An assessment whose tables are written when a query first reads them."""
+
+    def __init__(self, assessed: Assessment) -> None:
+        self._assessed = assessed
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        return cut_lineage(self._assessed.parts.select(*_PART_COLUMNS))
+
+    @cached_property
+    def statements(self) -> DataFrame:
+        return cut_lineage(self._assessed.statements)
+
+
+_WRITTEN: dict[tuple[str, str, bool], Written] = {}
 _PART_COLUMNS = ["file_id", "idx", "inner_pos", "action_pos", "db_id", "kind", "is_action",
                  "statement_kind", "in_block", "conditional", "branch", "block", "file_local",
                  "live_exclusive", "contended", "contention_active", "rule", "locks",
                  "all_locks", "duration", "verdict", "empty"]
 
 
-def written(spark, sf, with_facts: bool) -> Assessment:
-    """The assessment as tables, written once per session and read by every rollup."""
+def written(spark, sf, with_facts: bool) -> Written:
+    """The assessment as tables, each written once per session and read by every rollup."""
     key = (spark.sparkContext.applicationId, sf, with_facts)
     if key not in _WRITTEN:
-        assessed = online(spark, sf) if with_facts else offline(spark, sf)
-        _WRITTEN[key] = Assessment(cut_lineage(assessed.parts.select(*_PART_COLUMNS)),
-                                   cut_lineage(assessed.statements))
+        _WRITTEN[key] = Written(online(spark, sf) if with_facts else offline(spark, sf))
     return _WRITTEN[key]
 
 
