@@ -17,6 +17,9 @@ from changerisk.seeds.tables import TIERS
 
 PART_STATEMENTS = 1000
 _TREE_LEVELS = 4
+#: Different characters outside ASCII that are replaced one after the other; a
+#: text with more is cut into pieces.
+_FEW = 64
 
 
 def escape_non_ascii(text: Column) -> Column:
@@ -31,16 +34,30 @@ def escape_non_ascii(text: Column) -> Column:
                 .otherwise(F.concat(unit(int_div(rest, 1024) + 0xD800),
                                     unit(rest.bitwiseAND(0x3FF) + 0xDC00))))
 
-    escaped = F.array_join(F.transform(F.split(text, ""), one), "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), escaped).otherwise(text)
+    def escaped(seen: Column) -> Column:
+        # Pieces are single characters outside ASCII and the runs between them,
+        # which stay as they are; never cut inside a pair.
+        pieces = F.split(
+            text, r"(?<=[^\x00-\x7F])(?![\uDC00-\uDFFF])|(?=[^\x00-\x7F\uDC00-\uDFFF])")
+        return F.when(F.size(seen) <= _FEW, F.aggregate(
+            seen, text, lambda out, ch: F.replace(out, ch, one(ch)))).otherwise(
+            F.array_join(F.transform(pieces, one), ""))
+
+    # One lambda over a one-element array keeps the list from being computed per use.
+    found = F.array(F.array_distinct(F.regexp_extract_all(
+        text, F.lit(r"[^\x00-\x7F]"), F.lit(0))))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.element_at(
+        F.transform(found, escaped), 1)).otherwise(text)
 
 
 def canonical_json(value: Column) -> Column:
     """Compact ASCII JSON; NULL fields stay. Name the struct's fields in sorted order."""
     text = F.to_json(value, {"ignoreNullFields": "false"})
-    # control characters in lower-case hex
+    # control characters in lower-case hex, where there may be any
+    lower = text
     for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
-        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    text = F.when(text.contains("\\u00") & text.rlike(r"\\u00(?:0[BEF]|1[A-F])"), lower).otherwise(text)
     return escape_non_ascii(text)
 
 

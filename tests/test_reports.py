@@ -91,3 +91,18 @@ def test_coded_reports_do_not_depend_on_wording(made):
     for r in made[0][False].collect():
         assert not {"rationale", "reason", "what_is_lost"} & set(json.loads(r["document"]))
     assert reports.report_roots(reports.section_parts(made[0][False].where("false"))).collect() == []
+
+
+def test_escapes_like_json(spark):
+    """Few and many characters outside ASCII, pairs, control characters and backslashes."""
+    many = "".join(chr(0x4E00 + i) + ("x" if i % 3 else "") for i in range(300))
+    texts = ["", "plain", "é", "aé", "éa", "aébÿc", "\U0001f600", "a\U0001f600b\U0001f601\U0001f600",
+             "é\U0001f600", many, many + "\U0001f600" + many, "\x0b\x0e\x1f é", "\\u001F", "\\\x1f",
+             "\\\\u000B\x1a", 'q"\n\t', "é" * 100 + "ü", "́eﬁ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = rows.select("i", reports.canonical_json(F.struct("t")).alias("j")).collect()
+    assert {r["i"]: r["j"] for r in got} == {
+        i: json.dumps({"t": t}, separators=(",", ":")) for i, t in enumerate(texts)}
+    none = spark.createDataFrame([(None,)], "t string").select(
+        reports.escape_non_ascii(F.col("t")).alias("e")).first()["e"]
+    assert none is None
