@@ -56,12 +56,13 @@ def transaction_groups(statements: DataFrame) -> DataFrame:
     """
     begins, closes, chained = _marks_of_blocks()
     mark = F.when(begins, 1).when(closes & ~chained, 0)
-    chunked = statements.withColumn("__part", _chunk())
+    # Known before the scans, which need not carry the attributes then.
+    chunked = statements.withColumns({"__part": _chunk(), "__chained": closes & chained})
     order = ["idx", "inner_pos"]
     scanned = prefix_scan(chunked, ["file_id"], order, "__part", {"__open": ("last", mark)})
     inside = F.coalesce(F.col("__open") == 1, F.lit(False))
     boundary = (begins & ~inside) | (closes & inside)
-    staged = scanned.select(*statements.columns, "__part", inside.alias("inside"),
+    staged = scanned.select(*statements.columns, "__part", "__chained", inside.alias("inside"),
                             boundary.cast("bigint").alias("__boundary"))
     numbered = prefix_scan(staged, ["file_id"], order, "__part",
                            {"__before": ("sum", F.col("__boundary"))})
@@ -73,7 +74,7 @@ def transaction_groups(statements: DataFrame) -> DataFrame:
         (F.col("inside") & ~closes & ~begins).alias("explicit"),
         F.when(begins & F.col("inside"), "begin inside an open block")
         .when(closes & ~F.col("inside"), "no block to close").alias("warning"),
-        (F.col("__boundary") == 1).alias("is_boundary"), (closes & chained).alias("chained"),
+        (F.col("__boundary") == 1).alias("is_boundary"), F.col("__chained").alias("chained"),
     )
 
 
