@@ -11,6 +11,7 @@ and are then verified on all tokens.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -199,7 +200,6 @@ class LineJoin:
         return earliest, pairs
 
     def _matches(self) -> DataFrame:
-        num, den = self.ratio
         placed, tokens = self._postings()
 
         # First the earliest line of every posting against the others: of copies
@@ -210,34 +210,53 @@ class LineJoin:
 
         # Then each line still kept against all earlier ones but the first, a
         # posting's lines dealt into blocks by hash.
-        rest = (placed.join(earliest.where("members > 2").select(
+        rest = self._dealt(placed, earliest)
+        later = rest.join(found.select("line"), "line", "left_anti")
+        open_tokens = later.select("token").distinct()
+        held = rest.join(open_tokens, "token", "left_semi")
+        more = (self._in_blocks(later, held, tokens)
+                .select("line", F.array_min(F.transform("similar", lambda y: y["line"]))
+                        .alias("match"))
+                .where("match is not null").groupBy("line").agg(F.min("match").alias("match")))
+        return found.unionByName(more).select(
+            "line.*", F.col("match.key").alias("match_key"), F.col("match.pos").alias("match_pos"))
+
+    def _dealt(self, placed: DataFrame, earliest: DataFrame) -> DataFrame:
+        """``placed`` without the earliest line of every posting, and the blocks of the posting."""
+        return (placed.join(earliest.where("members > 2").select(
                     "token", F.col("p.line").alias("pivot"), "members"), "token")
                 .where(F.col("line") != F.col("pivot"))
                 .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")))
-        later = rest.join(found.select("line"), "line", "left_anti")
-        open_tokens = later.select("token").distinct()
-        blocks = (rest.join(open_tokens, "token", "left_semi").join(tokens, "line")
+
+    def _in_blocks(self, asked: DataFrame, held: DataFrame, tokens: DataFrame,
+                   part: str | None = None) -> DataFrame:
+        """Every line of ``asked`` with each block of ``held`` lines of its posting.
+
+        ``similar`` has those of the block that are earlier and similar; with
+        ``part`` only such as differ in that column.
+        """
+        num, den = self.ratio
+        also = [part] if part else []
+        blocks = (held.join(tokens, "line")
                   .groupBy("token", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")
                            .alias("block"))
-                  .agg(F.collect_list(F.struct("line", "n", "i", "tokens")).alias("others")))
-        asked = (later.join(tokens, "line")
-                 .select("token", "line", "n", "i", "tokens", F.explode(F.sequence(
-                     F.lit(0), F.col("blocks") - 1)).alias("block")))
+                  .agg(F.collect_list(F.struct("line", "n", "i", "tokens", *also))
+                       .alias("others")))
+        spread = (asked.join(tokens, "line")
+                  .select("token", "line", "n", "i", "tokens", *also, F.explode(F.sequence(
+                      F.lit(0), F.col("blocks") - 1)).alias("block")))
 
         def matching(y: Column) -> Column:
             least, most = F.least("n", y["n"]), F.greatest("n", y["n"])
             reach = (F.least("i", y["i"]) + 1
                      + F.least(F.col("n") - 1 - F.col("i"), y["n"] - 1 - y["i"]))
-            return ((y["line"] < F.col("line")) & (least * den >= most * num)
+            apart = F.col(part) != y[part] if part else F.lit(True)
+            return (apart & (y["line"] < F.col("line")) & (least * den >= most * num)
                     & (reach * (num + den) >= (F.col("n") + y["n"]) * num)
                     & _similar(F.col("tokens"), y["tokens"], self.ratio))
 
-        more = (asked.join(blocks, ["token", "block"])
-                .select("line", F.array_min(F.transform(
-                    F.filter("others", matching), lambda y: y["line"])).alias("match"))
-                .where("match is not null").groupBy("line").agg(F.min("match").alias("match")))
-        return found.unionByName(more).select(
-            "line.*", F.col("match.key").alias("match_key"), F.col("match.pos").alias("match_pos"))
+        return spread.join(blocks, ["token", "block"]).select(
+            "line", F.filter("others", matching).alias("similar"))
 
     def _prefixes(self, lists: DataFrame) -> DataFrame:
         """Postings ``(token, line, n, i)`` of the lines that can still have a match.
@@ -272,38 +291,56 @@ class TextJoin(LineJoin):
     Words are those of a line, A-Z count as a-z. ``first`` has a row per class
     of texts with equal words, ``matches`` links ``(a, b)`` between ``(key,
     pos)`` of these, whose components are those over all similar pairs.
+    ``candidates(first)`` gives pairs ``(line, match)`` of such spots. They are
+    verified first; the postings only link what these leave apart.
     """
 
+    def __init__(self, docs: DataFrame, candidates: Callable[[DataFrame], DataFrame],
+                 **settings):
+        self.candidates = candidates
+        super().__init__(docs, **settings)
+
     def _lines(self) -> DataFrame:
         words = line_words(F.translate("text", UPPER, LOWER))
         return (self.docs.select("key", position(F.col("text")).alias("pos"),
                                  F.xxhash64("text").alias("tie"), F.array_join(words, " ").alias("line"))
                 .where("line <> ''").withColumn("cls", F.xxhash64("line")))
 
+    def _named(self, links: DataFrame) -> DataFrame:
+        """``(node, component)`` over ``links(line, match)``."""
+        return self.scratch.keep(components(links.select(F.col("line").alias("a"),
+                                                         F.col("match").alias("b"))))[0]
+
     def _matches(self) -> DataFrame:
         placed, tokens = self._postings()
-        earliest, pairs = self._with_earliest(placed)
-        found, _ = self.scratch.keep(self._verified(pairs, tokens))
 
-        # Of the others only those are paired that the earliest do not connect yet.
-        named, _ = self.scratch.keep(components(found.select(F.col("line").alias("a"),
-                                                             F.col("match").alias("b"))))
+        # Texts that are in no posting are similar to none, so they have no tokens here.
+        close, _ = self.scratch.keep(self._verified(self.candidates(self.first), tokens))
+        named = self._named(close)
+        earliest, pairs = self._with_earliest(placed)
+        for end in ("line", "match"):
+            pairs = pairs.join(named.select(F.col("node").alias(end),
+                                            F.col("component").alias(f"{end}_part")), end, "left")
+        pairs = pairs.where(F.coalesce("line_part", "line") != F.coalesce("match_part", "match"))
+        found, _ = self.scratch.keep(self._verified(pairs.select("line", "match"), tokens)
+                                     .unionByName(close))
+
+        # Of the others only those are compared that these links do not connect yet, in
+        # blocks: unlike texts that share a passage are no row for each two of them. A
+        # text is linked to the part of what it resembles, which names one of its spots.
+        named = self._named(found)
         rest, _ = self.scratch.keep(
-            placed.join(earliest.where("members > 2").select(
-                "token", F.col("p.line").alias("pivot")), "token")
-            .where(F.col("line") != F.col("pivot"))
+            self._dealt(placed, earliest)
             .join(named.withColumnRenamed("node", "line"), "line", "left")
-            .select("token", "line", "n", "i", F.coalesce("component", "line").alias("part")))
+            .select("token", "line", "n", "i", "blocks",
+                    F.coalesce("component", "line").alias("part")))
         apart = rest.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")
                                           ).where("lo <> hi").select("token")
         rest = rest.join(apart, "token", "left_semi")
-        others = (rest.alias("x").join(rest.alias("y"), "token")
-                  .where((F.col("x.line") > F.col("y.line"))
-                         & (F.col("x.part") != F.col("y.part")) & _fits("x", "y", self.ratio))
-                  .select(F.col("x.line").alias("line"), F.col("y.line").alias("match"))
-                  .distinct())
-        return found.unionByName(self._verified(others, tokens)).select(
-            F.col("line").alias("a"), F.col("match").alias("b"))
+        more = (self._in_blocks(rest, rest, tokens, part="part")
+                .select("line", F.explode(F.array_distinct(F.transform(
+                    "similar", lambda y: y["part"]))).alias("match")).distinct())
+        return found.unionByName(more).select(F.col("line").alias("a"), F.col("match").alias("b"))
 
     def parts(self) -> DataFrame:
         """``(cls, cls2, part)``: the component of every class, named by one of its spots."""

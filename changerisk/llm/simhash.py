@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from changerisk.llm.columns import constants, own_name
 from changerisk.llm.components import components
-from changerisk.llm.linededup import TextJoin, has_word
+from changerisk.llm.linededup import TextJoin, has_word, position
 from changerisk.llm.scratch import Scratch, written
 
 BITS = 64
@@ -276,21 +276,48 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return rows.join(of_print, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+def close_pairs(docs: DataFrame, first: DataFrame, *, words: int, distance: int) -> DataFrame:
+    """Candidates ``(line, match)``: texts whose fingerprints differ in ``distance`` bits at most.
+
+    ``docs(key, text)``; ``first`` has the spot ``(key, pos)`` of one text of
+    every class of equal words. Texts with one fingerprint are paired with the
+    smallest spot among them, fingerprints by the ``neighbour_links`` between
+    these spots, so no group makes pairs by the square.
+    """
+    spot = F.struct("key", "pos").alias("spot")
+    rows = fingerprints(docs.select("key", position(F.col("text")).alias("pos"), "text"),
+                        words=words)
+    spots = written(rows.select(spot, "fp").join(first.select(spot), "spot", "left_semi")
+                    .dropDuplicates(["spot"]))
+    prints = written(spots.groupBy("fp").agg(F.min("spot").alias("least")))
+    same = (spots.join(prints, "fp").where("spot <> least")
+            .select(F.col("spot").alias("line"), F.col("least").alias("match")))
+    links = neighbour_links(prints.select(F.col("fp").alias("id"), "fp"), distance)
+    for end in ("a", "b"):
+        links = links.join(prints.select(F.col("fp").alias(end),
+                                         F.col("least").alias(f"spot_{end}")), end)
+    return same.unionByName(links.select(F.greatest("spot_a", "spot_b").alias("line"),
+                                         F.least("spot_a", "spot_b").alias("match")))
+
+
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5,
-             ratio: tuple[int, int] = (4, 5)) -> DataFrame:
+             ratio: tuple[int, int] = (4, 5), distance: int = 2) -> DataFrame:
     """``docs`` with one row of every component, columns as they are.
 
     Texts are linked if the Jaccard similarity of their ``words``-word shingles
-    is ``ratio`` or more, found exactly by a prefix join (``TextJoin``). Texts
-    without words, null ones among them, are one component. The row with the
-    smallest key stays, null last; of rows with that key the one with the
-    smallest hash of its text, and one of repeated rows. A null text counts as
-    an empty one and stays null if its row stays.
+    is ``ratio`` or more. Texts whose SimHash fingerprints of these shingles
+    differ in ``distance`` bits at most are compared first; a prefix join
+    (``TextJoin``) adds the similar ones whose fingerprints lie further apart,
+    so the components are exact. Texts without words, null ones among them, are
+    one component. The row with the smallest key stays, null last; of rows with
+    that key the one with the smallest hash of its text, and one of repeated
+    rows. A null text counts as an empty one and stays null if its row stays.
     """
     tie = F.xxhash64(text)
-    join = TextJoin(docs, key=key, text=text, ratio=ratio, shingle=words)
     order = F.struct(F.col("key").isNull().alias("none"), "key", "tie")
     rows = docs.select(F.col(key).alias("key"), tie.alias("tie"), F.col(text).alias("text"))
+    join = TextJoin(docs, lambda first: close_pairs(rows, first, words=words, distance=distance),
+                    key=key, text=text, ratio=ratio, shingle=words)
     blank = ~F.coalesce(has_word(F.col("text")), F.lit(False))
     silent = (rows.where(blank).groupBy().agg(F.min(order).alias("s"))
               .where("s is not null").select("s.*"))

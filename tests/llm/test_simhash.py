@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from changerisk.llm import simhash
+from changerisk.llm import linededup, simhash
 from changerisk.llm.components import components
 
 
@@ -129,3 +129,56 @@ def test_keep_one_like_brute_force_jaccard(spark):
                                                  "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == want
     assert len(want) < len(texts)
+
+
+def test_keep_one_takes_close_fingerprints_first(spark, monkeypatch):
+    """Close fingerprints give the first candidates; the exact check and the join decide."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(9000)}" for _ in range(600)]
+    turned = base[300:] + base[:300]  # four shingles of 600 differ at the cut and the ends
+    other = [f"v{rng.randrange(9000)}" for _ in range(600)]
+    many = [f"x{i}" if i % 60 == 0 else w for i, w in enumerate(base)]  # Jaccard 0.84
+    texts = [" ".join(t) for t in (base, base + ["end"], turned, other, many)]
+    docs = spark.createDataFrame([*enumerate(texts), (9, texts[0].upper()), (None, texts[3])],
+                                 "doc_id long, text string")
+    prints = [slow_fingerprint(t, 5) for t in texts]
+    close = {(b, a) for b in range(5) for a in range(b)
+             if (prints[a] ^ prints[b]).bit_count() <= 2}
+    assert close and (4, 0) not in close
+
+    seen, real = [], simhash.close_pairs
+
+    def watched(*args, **kwargs):
+        got = real(*args, **kwargs)
+        seen.extend((r["line"]["key"], r["match"]["key"]) for r in got.collect())
+        return got
+
+    monkeypatch.setattr(simhash, "close_pairs", watched)
+    kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
+    # Of the two spellings of one class the first in the join's order stands for both.
+    assert reach(range(5), lambda a, b: (max(a, b), min(a, b)) in close) == reach(
+        range(5), lambda a, b: (max(a, b), min(a, b)) in {
+            (max(p), min(p)) for p in seen if None not in p})
+    assert sorted(kept) == [0, 3]
+
+
+def test_keep_one_compares_a_crowded_posting_in_blocks(spark, monkeypatch):
+    """Windows over one passage: the earliest resembles few, the others each other."""
+    monkeypatch.setattr(linededup, "BLOCK", 2)
+    passage = [f"c{i}" for i in range(400)]
+    texts = [passage[k:k + 180] for k in (30, 0, 60, 67, 25, 90, 120, 127, 141, 162)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in texts]
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    want = sorted(set(reach(range(len(texts)), near).values()))
+    rows, real = [], linededup.LineJoin._in_blocks
+
+    def watched(self, *args, **kwargs):
+        got = real(self, *args, **kwargs)
+        rows.append(got.where("size(similar) > 0").count())
+        return got
+
+    monkeypatch.setattr(linededup.LineJoin, "_in_blocks", watched)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)],
+                                 "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == want
+    assert 1 < len(want) < len(texts) and rows[0] > 0
