@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -163,10 +164,10 @@ def test_keep_one_takes_close_fingerprints_first(spark, monkeypatch):
 
 
 def test_keep_one_compares_a_crowded_posting_in_blocks(spark, monkeypatch):
-    """Windows over one passage: the earliest resembles few, the others each other."""
+    """Three of six passages in every text, and a copy of each with one other word."""
     monkeypatch.setattr(linededup, "BLOCK", 2)
-    passage = [f"c{i}" for i in range(400)]
-    texts = [passage[k:k + 180] for k in (30, 0, 60, 67, 25, 90, 120, 127, 141, 162)]
+    texts = [[f"{p}{i}" for p in some for i in range(60)] for some in combinations("abcdef", 3)]
+    texts += [[*w[:20], "other", *w[21:]] for w in texts]
     sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in texts]
     near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
     want = sorted(set(reach(range(len(texts)), near).values()))
