@@ -39,7 +39,9 @@ SPACE = "▁"
 #: Code of a space mark that stands in the text itself; no piece has it.
 LITERAL_MARK = 0x110000
 #: Code points worked on at once.
-CHARS = 1 << 18
+CHARS = 1 << 17
+#: Ids decoded at once.
+IDS = 1 << 16
 _MASK = (1 << 64) - 1
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _BACK = pow(_A, -1, 1 << 64)
@@ -585,6 +587,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
                      *[pa.array([float(x[i]) for x in flat], pa.float64()) for i in (1, 2, 3)]],
                     names=[*rest.schema.names, *own])
                 at += len(some)
+            # Nothing of a batch is held while the next one comes.
+            batch = texts = rest = some = drawn = flat = made = None
+            pa.default_memory_pool().release_unused()
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(
@@ -593,6 +598,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
         run, f"{kept}, {added}")
 
 
+def decoded_parts(batch: pa.RecordBatch, decoder: Decoder, ids: str, into: str
+                  ) -> Iterator[pa.RecordBatch]:
+    """The batch with its texts, in parts of ``IDS`` ids or of one row, whose texts alone are held."""
+    column = batch.column(ids)
+    values = column.values.to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    known = column.is_valid().to_pylist()
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + IDS, "right")) - 1)
+        texts = [decoder.decode(values[a:b]) if ok else None for a, b, ok in
+                 zip(offsets[at:to], offsets[at + 1:to + 1], known[at:to], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.slice(at, to - at).columns, pa.array(texts, pa.string())],
+            names=[*batch.schema.names, into])
+        at = to
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids",
            into: str = "decoded") -> DataFrame:
     """Adds the text of ``ids`` to all columns; ``into`` gets ``_1`` after it if it is in use.
@@ -604,16 +627,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids",
     sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _decoder(sent.value)
         for batch in batches:
-            column = batch.column(ids)
-            values = column.values.to_numpy(zero_copy_only=False)
-            offsets = column.offsets.to_numpy()
-            known = column.is_valid().to_pylist()
-            texts = [decoder.decode(values[a:b]) if ok else None for a, b, ok in
-                     zip(offsets[:-1], offsets[1:], known, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
+            yield from decoded_parts(batch, _decoder(sent.value), ids, into)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{kept}, `{into}` string")

@@ -4,6 +4,8 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,18 @@ def test_real_vocabulary_round_trip(spark, odd_docs, no_docs):
     assert gumbel.encode(no_docs, vocabulary).count() == 0
     ids = encoded.select(F.when(F.col("sample") == 1, F.col("ids_1")).alias("ids"))
     assert gumbel.decode(ids, vocabulary).where("ids is null and decoded is not null").count() == 0
+
+
+def test_decoding_holds_the_texts_of_a_part_alone():
+    vocabulary = Vocabulary.load()
+    decoder, piece = Decoder(vocabulary), vocabulary.pieces.index(("▁the", "piece"))
+    rows = [[piece] * n for n in (30_000, 30_000, 0, 30_000, 90_000, 5)] + [None, [piece]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.int32()))], names=["n", "ids"])
+    parts = list(gumbel.decoded_parts(batch.slice(1), decoder, "ids", "text"))
+    assert [p.column("n").to_pylist() for p in parts] == [[1, 2, 3], [4], [5, 6, 7]]
+    assert all(p.num_rows == 1 or pc.sum(pc.list_value_length(
+        p.column("ids"))).as_py() <= gumbel.IDS for p in parts)
+    made = [x for p in parts for x in p.column("text").to_pylist()]
+    assert made == [None if r is None else " ".join(["the"] * len(r)) for r in rows[1:]]
+    assert not list(gumbel.decoded_parts(batch.slice(0, 0), decoder, "ids", "text"))
