@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,9 +79,12 @@ class Vocabulary:
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """The last step of SplitMix64, on whole arrays."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(_B)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(_C)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(_B)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(_C)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _uniform(seed: int, *place: int) -> float:
@@ -131,7 +135,8 @@ class Path:
 
     def __init__(self, at: np.ndarray, edge: np.ndarray, log_q: np.ndarray):
         self.at, self.edge = at, edge
-        self.cum = np.concatenate([[0.0], np.cumsum(log_q)])
+        self.cum = np.zeros(log_q.size + 1)
+        np.cumsum(log_q, out=self.cum[1:])
 
     def mass(self, start: int, end: int) -> float:
         """Log mass of the paths that leave this one at a step from ``start`` to ``end``."""
@@ -169,6 +174,8 @@ class Sampler:
         self.index = np.zeros(LITERAL_MARK + 1, dtype=np.int64)
         self.index[known] = np.arange(1, len(known) + 1)
         self.side = len(known) + 1
+        self.roots = np.zeros(self.side, dtype=np.int64)
+        self.roots[1:] = [nodes.get((0, c), 0) for c in known]
         joined = np.zeros(self.side * self.side // 8 + 1, dtype=np.uint8)
         pairs = np.array(sorted({int(self.index[ord(a)]) * self.side + int(self.index[ord(b)])
                                  for p, _ in usable for a, b in zip(p, p[1:], strict=False)}),
@@ -196,9 +203,10 @@ class Sampler:
         key = (node << 21) | code
         with np.errstate(over="ignore"):
             slot = ((key.astype(np.uint64) * np.uint64(_A)) >> self.shift).astype(np.int64)
-        held = self.keys[slot]
-        out = np.where(held == key, self.next[slot], 0)
-        open_ = np.flatnonzero((held != key) & (held >= 0))
+        held = self.keys.take(slot)
+        same = held == key
+        out = self.next.take(slot) * same
+        open_ = np.flatnonzero(~same & (held >= 0))
         while open_.size:
             slot[open_] = (slot[open_] + 1) % self.keys.size
             held = self.keys[slot[open_]]
@@ -217,21 +225,25 @@ class Sampler:
                ) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For every text up to ``k`` of (ids, log probability, perturbed, inclusion)."""
         out: list[list[tuple[np.ndarray, float, float, float]]] = []
-        group: list[int] = []
-        size = 0
-        for i, t in enumerate(texts):
-            if group and size + len(t) > CHARS:
-                out += _Lattice(self, [texts[j] for j in group], alpha).search(
-                    [seeds[j] for j in group], k)
-                group, size = [], 0
-            group.append(i)
-            size += len(t) + 1
-        if group:
-            out += _Lattice(self, [texts[j] for j in group], alpha).search(
-                [seeds[j] for j in group], k)
+        at = 0
+        while at < len(texts):
+            to = group_end(map(len, texts[at:]), at)
+            out += _Lattice(self, texts[at:to], alpha).search(seeds[at:to], k)
+            at = to
         return out
 
 
+def group_end(lengths: Iterable[int], at: int) -> int:
+    """End of the texts from ``at`` that are worked on at once: one, or more of ``CHARS`` in all."""
+    size = 0
+    for n in lengths:
+        size += n + 1
+        if size > CHARS and size > n + 1:
+            break
+        at += 1
+    return at
+
+
 @lru_cache(maxsize=1)
 def _sampler(vocabulary: Vocabulary) -> Sampler:
     """Built once in a worker, whatever the number of its tasks."""
@@ -291,67 +303,69 @@ class _Lattice:
     def _edges(self, alpha: float) -> None:
         """All pieces at all places, backward sums, and the chance of every edge at its node."""
         at = np.arange(self.chars.size)
-        state = np.zeros(at.size, dtype=np.int64)
         found = []
-        single = np.zeros(at.size, dtype=bool)
+        degree = np.zeros(at.size, dtype=np.int64)
+        state = self.s.roots[self.s.index[self.chars]]
         for n in range(1, self.s.longest + 1):
-            state = self.s._child(state, self.chars[at + n - 1])
-            alive = state > 0
+            if n > 1:
+                state = self.s._child(state, self.chars[at + n - 1])
+            alive = np.flatnonzero(state)
             at, state = at[alive], state[alive]
             ends = self.s.ends[state]
-            hit = ends >= 0
+            hit = np.flatnonzero(ends >= 0)
+            places = at[hit]
+            shorter = degree[places]
+            degree[places] = shorter + 1
+            found.append((places, shorter, ends[hit] << 16 | n))
             if n == 1:
-                single[at[hit]] = True
-            found.append((at[hit], np.full(int(hit.sum()), n), ends[hit]))
-            more = self.left[at] > n
+                alone = np.flatnonzero(degree == 0)
+            more = np.flatnonzero(self.left[at] > n)
             at, state = at[more], state[more]
             if not at.size:
                 break
-        alone = np.flatnonzero(~single)
-        found.append((alone, np.ones(alone.size, dtype=np.int64), np.full(alone.size, -1)))
-        # Edges lie by place, long pieces first; every group has a place once at most.
-        degree = np.zeros(self.chars.size, dtype=np.int64)
-        for places, _, _ in found:
-            degree[places] += 1
-        low = np.cumsum(degree) - degree
-        free, total = low.copy(), int(degree.sum())
-        src, self.step, self.piece = (np.empty(total, dtype=np.int64) for _ in range(3))
-        for places, n, piece in [found[-1], *found[-2::-1]]:
-            slot = free[places]
-            free[places] += 1
-            src[slot], self.step[slot], self.piece[slot] = places, n, piece
+        found.append((alone, degree[alone], np.full(alone.size, -1 << 16 | 1)))
+        degree[alone] += 1
+        # Edges lie by what is left of the form behind their place, then by place, a byte
+        # first, then long pieces before short ones.
+        most = int(self.left.max())
+        order = np.argsort(self.left.astype(np.uint16) if most < 1 << 16 else self.left,
+                           kind="stable")
+        heads = np.concatenate([[0], np.cumsum(degree[order])])
+        last = np.empty(degree.size, dtype=np.int64)
+        last[order] = heads[1:] - 1
+        packed = np.empty(int(heads[-1]), dtype=np.int64)
+        for places, shorter, edge in found:
+            packed[last[places] - shorter] = edge
+        del found
+        self.piece, self.step = packed >> 16, packed & 0xFFFF
         weight = self.s.log_p[self.piece]  # -1 picks the last: a byte
-        if alone.size:
-            own = self.piece < 0
-            weight[own] *= _utf8_length(self.chars[src[own]])
+        first = last[alone] - degree[alone] + 1
+        weight[first] *= _utf8_length(self.chars[alone])
         weight *= alpha
-        start = self.node[src]
+        nodes = self.node[order]
+        start = np.repeat(nodes, degree[order])
         self.to = start + self.step
         # Backward sums, from the last places of all forms to the first.
-        left = self.left[src]
-        most = int(left.max())
-        order = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")
-        by_left, to, from_, weight_ = left[order], self.to[order], start[order], weight[order]
-        heads = np.flatnonzero(np.diff(from_, prepend=-1))
         beta = np.zeros(self.chars.size + self.length.size)
-        cuts = np.searchsorted(by_left, np.arange(1, most + 2)).tolist()
-        head_cuts = np.searchsorted(heads, cuts).tolist()
-        for a, b, c, d in zip(cuts[:-1], cuts[1:], head_cuts[:-1], head_cuts[1:], strict=True):
+        cuts = np.searchsorted(self.left[order], np.arange(1, most + 2))
+        for c, d, a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), heads[cuts[:-1]].tolist(),
+                              heads[cuts[1:]].tolist(), strict=True):
             if a < b:
-                value = weight_[a:b] + beta[to[a:b]]
-                beta[from_[heads[c:d]]] = np.logaddexp.reduceat(value, heads[c:d] - a)
-        del by_left, to, from_, weight_, order, left
+                value = weight[a:b] + beta[self.to[a:b]]
+                beta[nodes[c:d]] = np.logaddexp.reduceat(value, heads[c:d] - a)
         self.log_q = weight + beta[self.to] - beta[start]
         self.low = np.zeros(beta.size, dtype=np.int64)
         self.high = np.zeros(beta.size, dtype=np.int64)
-        self.low[self.node], self.high[self.node] = low, low + degree
-        self.log_q[low[degree == 1]] = 0.0
+        self.low[nodes], self.high[nodes] = heads[:-1], heads[1:]
+        self.log_q[last[degree == 1]] = 0.0
         self.q = np.exp(self.log_q)
+        # For the walk, which takes a place's last edge whatever is left.
+        self.scan = self.q.copy()
+        self.scan[last] = np.inf
         # Ids of edges, -2 where a code point takes several bytes.
-        self.id_of = self.piece.copy()
-        if alone.size:
-            code = self.chars[src[own]]
-            self.id_of[own] = np.where(code < 0x80, self.s.byte_ids[np.minimum(code, 127)], -2)
+        self.id_of = self.piece.astype(np.int32)
+        code = self.chars[alone]
+        self.id_of[first] = np.where(code < 0x80, self.s.byte_ids[np.minimum(code, 127)], -2)
 
     def _walk(self, node: np.ndarray, at: np.ndarray, seed: np.ndarray, last: np.ndarray,
               edge_at: np.ndarray) -> None:
@@ -359,19 +373,23 @@ class _Lattice:
         while node.size:
             with np.errstate(over="ignore"):
                 r = _mixed(seed + at.astype(np.uint64) * np.uint64(_A))
-            u = (r >> np.uint64(11)).astype(np.float64) / (1 << 53)
-            edge = self.low[node]
-            high = self.high[node] - 1
-            rest = u - self.q[edge]
-            open_ = np.flatnonzero((rest >= 0) & (edge < high))
+            u = (r >> np.uint64(11)).astype(np.float64)
+            u /= 1 << 53
+            edge = self.low.take(node)
+            u -= self.scan.take(edge)
+            open_ = np.flatnonzero(u >= 0)
+            some, rest = edge.take(open_), u.take(open_)
             while open_.size:
-                edge[open_] += 1
-                rest[open_] -= self.q[edge[open_]]
-                open_ = open_[(rest[open_] >= 0) & (edge[open_] < high[open_])]
+                some += 1
+                rest -= self.scan.take(some)
+                edge[open_] = some
+                on = np.flatnonzero(rest >= 0)
+                open_, some, rest = open_.take(on), some.take(on), rest.take(on)
             edge_at[at] = edge
-            node, at = self.to[edge], at + self.step[edge]
-            on = node < last
-            node, at, seed, last = node[on], at[on], seed[on], last[on]
+            step = self.step.take(edge)
+            node, at = node + step, at + step
+            on = np.flatnonzero(node < last)
+            node, at, seed, last = node.take(on), at.take(on), seed.take(on), last.take(on)
 
     def _draw(self, rows: list[int], nodes: list[int], places: list[int], seeds: list[int]
               ) -> dict[int, np.ndarray]:
@@ -398,7 +416,7 @@ class _Lattice:
                 for row, place in zip(rows, places, strict=True)}
 
     def _path(self, at: np.ndarray, edge: np.ndarray) -> Path:
-        return Path(at, edge, self.log_q[edge])
+        return Path(at, edge, self.log_q.take(edge))
 
     def search(self, seeds: list[int], k: int
                ) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -441,7 +459,7 @@ class _Lattice:
         if paths:
             ends = np.cumsum([p.edge.size for p in paths]).tolist()
             starts = [0, *ends[:-1]]
-            ids = self.id_of[np.concatenate([p.edge for p in paths])].astype(np.int32)
+            ids = self.id_of.take(np.concatenate([p.edge for p in paths]))
             spelled = {id(p): self._ids(p) if bare else ids[a:b] for p, bare, a, b in
                        zip(paths, np.logical_or.reduceat(ids < 0, starts), starts, ends,
                            strict=True)}
@@ -564,18 +582,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
         sampler = _sampler(sent.value)
         for batch in batches:
             texts = batch.column("__text")
+            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             seeds = batch.column("__seed").to_pylist()
             rest = batch.select([n for n in batch.schema.names if n not in ("__text", "__seed")])
             at = 0
             while at < batch.num_rows:
-                some, size = [], 0
-                while at + len(some) < batch.num_rows and size < CHARS:
-                    some.append(texts[at + len(some)].as_py() or "")
-                    size += len(some[-1]) + 1
-                drawn = sampler.sample(some, [s & _MASK for s in seeds[at:at + len(some)]], k,
-                                       alpha)
+                to = group_end(lengths[at:], at)
+                some = [t or "" for t in texts.slice(at, to - at).to_pylist()]
+                drawn = sampler.sample(some, [s & _MASK for s in seeds[at:to]], k, alpha)
                 flat = [x for found in drawn for x in found]
-                owner = np.repeat(np.arange(at, at + len(some)), [len(f) for f in drawn])
+                owner = np.repeat(np.arange(at, to), [len(f) for f in drawn])
                 offsets = np.concatenate([[0], np.cumsum([x[0].size for x in flat])])
                 made = rest.take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays(
@@ -586,7 +602,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
                          np.concatenate([x[0] for x in flat]), pa.int32())),
                      *[pa.array([float(x[i]) for x in flat], pa.float64()) for i in (1, 2, 3)]],
                     names=[*rest.schema.names, *own])
-                at += len(some)
+                at = to
             # Nothing of a batch is held while the next one comes.
             batch = texts = rest = some = drawn = flat = made = None
             pa.default_memory_pool().release_unused()

@@ -118,3 +118,27 @@ def test_decoding_holds_the_texts_of_a_part_alone():
     made = [x for p in parts for x in p.column("text").to_pylist()]
     assert made == [None if r is None else " ".join(["the"] * len(r)) for r in rows[1:]]
     assert not list(gumbel.decoded_parts(batch.slice(0, 0), decoder, "ids", "text"))
+
+
+def test_a_group_is_one_lattice(monkeypatch):
+    built = []
+
+    class Counted(gumbel._Lattice):
+        def __init__(self, sampler, texts, alpha):
+            built.append(sum(len(t) + 1 for t in texts))
+            super().__init__(sampler, texts, alpha)
+
+    monkeypatch.setattr(gumbel, "CHARS", 100)
+    monkeypatch.setattr(gumbel, "_Lattice", Counted)
+    lengths = [39, 39, 39, 0, 19, 250, 0, 99, 5]
+    texts, at, groups = ["ab" * (n // 2) + "a" * (n % 2) for n in lengths], 0, []
+    while at < len(texts):
+        to = gumbel.group_end(lengths[at:], at)
+        groups.append((at, to))
+        Sampler(SMALL).sample(texts[at:to], [1] * (to - at), 2, 1.0)
+        at = to
+    assert groups == [(0, 2), (2, 5), (5, 6), (6, 7), (7, 8), (8, 9)]
+    assert built == [80, 61, 251, 1, 100, 6]
+    built.clear()
+    Sampler(SMALL).sample(texts, [1] * len(texts), 2, 1.0)
+    assert built == [80, 61, 251, 1, 100, 6]
